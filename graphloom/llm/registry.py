@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from graphloom.llm import decontaminate
 from graphloom.llm.packing import op1_best_fit_packing
 
-QUERIES: dict = {"op1_best_fit_packing": op1_best_fit_packing}
-ORACLES: dict = {}
+QUERIES: dict = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+}
+ORACLES: dict = {
+    "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+}
