@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate
-from graphloom.llm.packing import op1_best_fit_packing
+from graphloom.llm import chat, decontaminate, packing, quality, toxicity
 
 QUERIES: dict = {
-    "op1_best_fit_packing": op1_best_fit_packing,
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality_classifier": quality.op6_quality_classifier,
 }
 ORACLES: dict = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op4_chat_formatting": chat.OP4_SQL,
 }
