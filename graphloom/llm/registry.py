@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, decontaminate, packing, quality, toxicity
+from graphloom.llm import chat, decontaminate, fingerprint, packing, pii, quality, secrets, toxicity
 
 QUERIES: dict = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,9 @@ QUERIES: dict = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_document_fingerprints": fingerprint.op7_document_fingerprints,
+    "op9_pii": pii.op9_pii,
+    "op10_secret_scans": secrets.op10_secret_scans,
 }
 ORACLES: dict = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
