@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, decontaminate, fingerprint, packing, pii, quality, secrets, toxicity
+from graphloom.llm import chat, decontaminate, fingerprint, ngram_join, packing, pii, quality, secrets, toxicity
 
 QUERIES: dict = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_document_fingerprints": fingerprint.op7_document_fingerprints,
+    "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
     "op9_pii": pii.op9_pii,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
