@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, decontaminate, fingerprint, ngram_join, packing, pii, quality, secrets, toxicity
+from graphloom.llm import chat, decontaminate, fingerprint, ngram_join, packing, pii, quality, secrets, substring_dedup, toxicity
 
 QUERIES: dict = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_classifier": quality.op6_quality_classifier,
@@ -17,5 +18,6 @@ QUERIES: dict = {
 }
 ORACLES: dict = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
 }
