@@ -168,7 +168,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("node", F.xxhash64("text", F.octet_length("text")))
     known = rows.where(F.col("doc_id").isNotNull())
     placed = known.repartition("doc_id")  # used twice, shuffled once
-    met = known.mapInArrow(_met, "key long, node long").repartition("key")  # used twice, shuffled once
+    met = known.mapInArrow(_met, "key long, node long").where("key IS NOT NULL").repartition("key")  # used twice, shuffled once: the filter that a join would add is there for both
     shared = met.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", (F.col("n") > shard_texts).alias("hot"))
     pairs = met.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("key", "hot")).alias("a"))
     anchors = pairs.select("node", F.col("a.key").alias("anchors"), F.col("a.hot").alias("hot"))
