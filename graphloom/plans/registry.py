@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from graphloom.operators import quaternary, retrieval, text
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (text, retrieval, quaternary):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
 FLAGSHIP = "bm25_topk"
