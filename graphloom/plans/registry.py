@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.operators import quaternary, retrieval, text
+from graphloom.operators import graph, kb, quaternary, retrieval, temporal, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (text, retrieval, quaternary):
+for _module in (text, retrieval, quaternary, kb, graph, temporal):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
 FLAGSHIP = "bm25_topk"
