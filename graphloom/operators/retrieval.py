@@ -9,8 +9,14 @@ from graphloom.operators.text import normalize_answer, token_estimate, token_f1,
 from graphloom.sources.tables import table
 
 K1, B = 1.5, 0.75
-#: Words that a query drops unless nothing else is left.
-STOPWORDS = "a an and are as at be by for from how in is it of on or that the this to was were what when where which who why will with".split()
+#: Words that a query drops unless nothing else is left.
+STOPWORDS = """
+what who where why when how which whose whom is are was were the a an in on at by for with about against between into through
+during before after above below to from up down out over under again further then once here there all any both each few more most
+other some such no nor not only own same so than too very s t can will just don should now answer instructions question query prompt
+final direct directly strictly provided conclude format based exact do does did done leave leaves leaving left of and or as be been
+being have has had having it its they them their theirs this that these those i me my you your yours he him his she her hers we us our ours
+""".split()
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text", stopwords: list[str] = STOPWORDS) -> DataFrame:

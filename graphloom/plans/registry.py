@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.operators import graph, kb, quaternary, retrieval, temporal, text
+from graphloom.operators import graph, kb, metrics, quaternary, relational, resolve, retrieval, spatial, temporal, text
+from graphloom.streaming import windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (text, retrieval, quaternary, kb, graph, temporal):
+for _module in (text, retrieval, quaternary, kb, graph, temporal, metrics, resolve, spatial, relational, windows):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
 FLAGSHIP = "bm25_topk"
