@@ -191,7 +191,7 @@ def find_contamination(
     docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text",
     keep: tuple[str, ...] = (), window: int = WINDOW, min_words: int = 1, max_coverage: float = 0.8, shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, the columns named in keep, n_words, n_hit, n_items, items_sha256, contaminated, clean_text, over_coverage, hit_ranges.
+    """One row per row of docs: doc_id, rest (a struct of the columns named in keep, if any), n_words, n_hit, n_items, items_sha256, contaminated, clean_text, over_coverage, hit_ranges.
 
     A window is `window` consecutive words of an item (a shorter item is one window; an item without words
     none).  clean_text lacks the hit spans of at least min_words words; over_coverage marks documents of
@@ -204,7 +204,8 @@ def find_contamination(
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    df = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("_text"))
+    rest = [F.struct(*[docs[c] for c in keep]).alias("rest")] if keep else []
+    df = docs.select(docs[id_col].alias("doc_id"), *rest, docs[text_col].cast("string").alias("_text"))
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "_text")
     for k, shard in enumerate(_shards(bench, bench_id, bench_text, window, shard_words)):
         df = df.mapInArrow(_matched(spark.sparkContext.broadcast(shard), window, k > 0), f"{base}, _text string, {_STATE}")
@@ -212,11 +213,11 @@ def find_contamination(
     return df.mapInArrow(_cleaned(min_words, max_coverage), out)
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """docs with hit spans removed, in its own columns; documents over the coverage limit go, all others stay."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", text_col))
-    found = find_contamination(docs, bench, text_col=text_col, keep=keep, **options).where(~F.col("over_coverage"))
-    return found.withColumnRenamed("clean_text", text_col).select(*docs.columns)
+def decontaminate(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with hit spans removed, in its own columns; documents over the coverage limit go, all others stay.  Extra columns may have any names."""
+    keep = tuple(c for c in docs.columns if c != text_col)
+    found = find_contamination(docs, bench, id_col=id_col, text_col=text_col, keep=keep, **options).where(~F.col("over_coverage"))
+    return found.select(*[F.col("clean_text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

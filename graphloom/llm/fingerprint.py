@@ -20,14 +20,18 @@ _QUANTILES = 100
 
 
 @lru_cache(1)
-def _compositions() -> tuple[dict[str, str], str, str]:
-    """From Unicode's data: combining sequences and the one character each composes to; characters with a one-character form and those forms."""
+def _compositions() -> tuple[dict[str, str], str, str, dict[str, str]]:
+    """From Unicode's data: combining sequences and the one character each composes to; characters with a one-character form and those forms; Latin letters that fold to several."""
     sequences: dict[str, str] = {}
     single, plain = [], []
+    longer = {c: c.casefold() for c in map(chr, [*range(0x100, 0x250), 0x1E9E, *range(0xFB00, 0xFB07)]) if len(c.casefold()) > 1}
     for code in range(0xA0, 0x20000):
         char = chr(code)
         full = unicodedata.normalize("NFD", char)
         composed = unicodedata.normalize("NFC", char)
+        if composed == char and len(char.casefold()) == 1 and char.casefold() != char.lower():
+            single.append(char)
+            plain.append(char.casefold())
         if full == char or 0xAC00 <= code <= 0xD7A3:
             continue
         if composed != char and len(composed) == 1:
@@ -39,7 +43,7 @@ def _compositions() -> tuple[dict[str, str], str, str]:
                 half = unicodedata.normalize("NFC", full[:2])
                 if len(half) == 1:
                     sequences[half + full[2]] = char
-    return sequences, "".join(single), "".join(plain)
+    return sequences, "".join(single), "".join(plain), longer
 
 
 def _ranges(chars: str, gap: int = 64) -> str:
@@ -57,16 +61,20 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text column (a plain column, as it is named several times).
 
     Combining marks are composed with their base where Unicode has the composed character (Hangul jamo
-    are left as they are), and characters with a one-character canonical form become it; only texts that
-    may hold either take that path.
+    are left as they are), and characters with a one-character canonical or folded form become it; only
+    texts that may hold either take that path.  Folding is lower case plus these and the Latin letters that
+    fold to several.
     """
-    sequences, single, plain = _compositions()
+    sequences, single, plain, longer = _compositions()
     known = F.from_json(F.lit(_json(sequences)), "map<string,string>")
     parts = F.regexp_extract_all(text, F.lit(r"(?s)(\P{M}\p{M}*|\p{M})"), F.lit(1))
     composed = F.array_join(F.transform(parts, lambda x: F.when(F.char_length(x) > 1, F.coalesce(F.element_at(known, x), x)).otherwise(x)), "")
-    unusual = (F.octet_length(text) > F.char_length(text)) & text.rlike(rf"[\p{{M}}{_ranges(single)}]")
-    normal = F.when(unusual, F.translate(composed, single, plain)).otherwise(text)
-    return F.trim(F.regexp_replace(F.lower(F.upper(normal)), r"(?U)\s{2,}|[^\S ]", " "))
+    unusual = (F.octet_length(text) > F.char_length(text)) & text.rlike(rf"[\p{{M}}{_ranges(single + ''.join(longer), 8)}]")
+    changed = F.translate(composed, single, plain)
+    for char, folded in longer.items():
+        changed = F.replace(changed, F.lit(char), F.lit(folded))
+    lowered = F.lower(F.when(unusual, changed).otherwise(text))
+    return F.trim(F.regexp_replace(F.replace(lowered, F.lit("ß"), F.lit("ss")), r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def _json(values: dict[str, str]) -> str:

@@ -167,23 +167,28 @@ def _spans(rule: Rule, number: int, candidates: Column) -> Column:
     return F.coalesce(F.when(candidates & F.col("text").rlike(rule.pattern), found).otherwise(empty), F.array().cast(kind))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep, text, and secret_spans: array of (start, kind, stop) by start, kind, stop.
-
-    kind is the rule's number; positions are code points of the whole text, stop exclusive.  Null texts
-    count as empty; every row is searched on its own, repeated rows included; other columns are ignored.
-    """
+def _searched(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, keep: list[str]) -> DataFrame:
+    """rest (a struct of the columns named in keep, so that their names can't clash), text, secret_spans."""
     queries = [trigram_query(r.pattern) for r in rules]
     vocabulary = sorted(set().union(*map(trigrams, queries)))
-    df = docs.select(*[c for c in keep if c != text_col], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    df = docs.select(F.struct(*[docs[c] for c in keep]).alias("rest"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     df = with_postings(df, vocabulary) if vocabulary else df
     found = [_spans(r, k, candidate(q, vocabulary)) for k, (r, q) in enumerate(zip(rules, queries, strict=True))]
-    return df.withColumn("secret_spans", F.array_sort(F.concat(*found))).drop("postings")
+    return df.select("rest", "text", F.array_sort(F.concat(*found)).alias("secret_spans"))
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and secret_spans: array of (start, kind, stop) by start, kind, stop.
+
+    kind is the rule's number; positions are code points of the whole text, stop exclusive.  Null texts
+    count as empty; every row is searched on its own, repeated rows included; other columns are ignored.
+    """
+    return _searched(docs, rules, text_col, [id_col]).select(F.col("rest").getField(id_col).alias("doc_id"), "text", "secret_spans")
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs, in its own columns, with every secret span replaced by the mask (overlapping spans by one); null texts stay null."""
-    found = find_secrets(docs.withColumn("_null", F.col(text_col).isNull()), rules, text_col=text_col, keep=(*docs.columns, "_null"))
+    found = _searched(docs, rules, text_col, docs.columns)
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
@@ -191,8 +196,9 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col
         return F.when(s["start"] < acc["at"], wider).otherwise(F.struct(F.concat(acc["out"], gap, F.lit(mask)).alias("out"), s["stop"].alias("at")))
 
     done = F.aggregate("secret_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
-    text = F.when(~F.col("_null"), F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text")))
-    return found.withColumn("_clean", text).select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    own = F.col("rest").getField(text_col)
+    text = F.when(own.isNotNull(), F.when(F.size("secret_spans") > 0, done).otherwise(own))
+    return found.select(*[text.alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def _joined(spans: str, rules: tuple[Rule, ...]) -> Column:
