@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm._common import bounded_batches, slices, table, texts
-from graphloom.llm._training import SAMPLE_ROWS, held_out, sigmoid, training_rows
+from graphloom.llm._training import SAMPLE_ROWS, Logistic, held_out, sigmoid, training_rows
 from graphloom.llm._words import LOWER, NOT_SPACE, byte_class, words_of
 
 _UPPER = byte_class((0x41, 0x5A))
@@ -64,15 +64,16 @@ def features(column: pa.Array) -> np.ndarray:
 class PositiveUnlabelled:
     """A network with one hidden layer that minimises the non-negative risk of positive and unlabelled rows.
 
-    Risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the second part is below zero, its
-    gradient is turned round, as it shows that the network fits the unlabelled rows too closely.
+    Risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the sigmoid loss; where the second part is
+    below zero, its gradient is turned round, as it shows that the network fits the unlabelled rows too
+    closely.  `calibrate` then fits the scale of the scores (two numbers) on rows of both labels.
     """
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 600, rate: float = 0.01, seed: int = 7) -> None:
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 800, rate: float = 0.01, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         both = np.concatenate([positive, unlabelled])
         self.mean, self.scale = both.mean(0), both.std(0) + 1e-6
-        self.prior = prior
+        self.prior, self.slope, self.shift = prior, 1.0, 0.0
         k = both.shape[1]
         self.params = [rng.normal(0, 1 / np.sqrt(k), (k, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
         first, second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
@@ -99,14 +100,19 @@ class PositiveUnlabelled:
 
     def _gradient(self, p: np.ndarray, u: np.ndarray) -> list[np.ndarray]:
         (hp, sp), (hu, su) = self._forward(p), self._forward(u)
-        # logistic loss: l(+) = log(1 + e^-s), l(-) = log(1 + e^s)
-        negative = np.logaddexp(0, su).mean() - self.prior * np.logaddexp(0, sp).mean()
-        plus = self._backward(p, hp, -self.prior * sigmoid(-sp) / len(sp))
-        minus = [a + b for a, b in zip(self._backward(u, hu, sigmoid(su) / len(su)), self._backward(p, hp, -self.prior * sigmoid(sp) / len(sp)), strict=True)]
-        return [-b for b in minus] if negative < 0 else [a + b for a, b in zip(plus, minus, strict=True)]
+        qp, qu = sigmoid(sp), sigmoid(su)  # sigmoid loss: l(-) = sigmoid(s), l(+) = 1 - l(-)
+        plus = self._backward(p, hp, -self.prior * qp * (1 - qp) / len(sp))
+        minus = [a + b for a, b in zip(self._backward(u, hu, qu * (1 - qu) / len(su)), self._backward(p, hp, -self.prior * qp * (1 - qp) / len(sp)), strict=True)]
+        return [-b for b in minus] if qu.mean() < self.prior * qp.mean() else [a + b for a, b in zip(plus, minus, strict=True)]
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        s = self._forward(self._scaled(x))[1]
+        fitted = Logistic(s[:, None], y)
+        if (slope := fitted.weights[0] / fitted.scale[0]) > 0:
+            self.slope, self.shift = slope, fitted.weights[1] - slope * fitted.mean[0]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self._forward(self._scaled(x))[1])
+        return sigmoid(self.slope * self._forward(self._scaled(x))[1] + self.shift)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Positive
 
     Trusted positives: training rows labelled 1.  Unlabelled: documents whatever their label, which isn't
     looked at.  The class prior is the smoothed share of 1 among the training labels, less a margin for
-    its sampling error.
+    its sampling error.  If the training labels hold both kinds, they set the scale of the scores.
     """
     bounded_batches(docs.sparkSession)
     known = training_rows(docs, labels, "quality", rows).mapInArrow(_featured, "x array<double>, label int").toPandas()
@@ -133,7 +139,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Positive
     share = (positives + 1) / (n + 2)
     prior = float(np.clip(share - np.sqrt(share * (1 - share) / n), 0.05, 0.95))
     order = lambda frame: np.array(sorted(map(tuple, frame)))  # noqa: E731  the order of rows must not matter
-    return PositiveUnlabelled(order(known.loc[known["label"] == 1, "x"]), order(unlabelled["x"]), prior)
+    model = PositiveUnlabelled(order(known.loc[known["label"] == 1, "x"]), order(unlabelled["x"]), prior)
+    if positives < n:
+        both = np.array(sorted((*x, y) for x, y in zip(known["x"], known["label"], strict=True)))
+        model.calibrate(both[:, :-1], both[:, -1])
+    return model
 
 
 def _scored(model: PositiveUnlabelled | None):
