@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +56,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of the finished job go when the JVM notices that nothing refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Size of a key filter.  It doesn't grow with the data: fuller filters let more rows through, never fewer.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame) -> Broadcast:
+    """A bitmap of fixed size (8 MB) of the long column key, for `may_contain` in the tasks.
+
+    The bits are combined by word on the executors; the driver gets the words that aren't zero.
+    """
+    bit = F.pmod(F.col("key"), F.lit(FILTER_BITS))
+    words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}L) & 63 as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+
+
+def may_contain(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (64-bit) the filter may hold."""
+    bit = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (len + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,11 +1,15 @@
 """N-gram Jaccard join with signature trees.
 
 1. Every different shingle set is known by a digest.  Two sets whose similarity reaches the threshold share
-   one of their first shingles in the order of hashes (prefix filter), so sets meet by shingle.
+   one of their first shingles in any fixed order (prefix filter), so sets meet by shingle.  The order puts
+   frequent shingles, found by a sketch of counters of fixed size, last: lines that many documents share
+   hardly ever bring sets together.  A count by shingle comes next; a filter of those counted more than once
+   keeps the others out of further shuffles.
 2. Shingles that are met by the same sets propose the same pairs; one of them stays for each group of sets.
 3. In each group a signature tree is built: leaves hold a bitmap and the size of a set, inner nodes the
    OR-combined bitmaps and size ranges of their children.  A dual traversal prunes node pairs whose
-   largest possible overlap is too small; what is left falls into loose clusters.
+   largest possible overlap is too small; what is left falls into loose clusters, which are merged over
+   the groups.
 4. The sets of each loose cluster are fetched, and a second traversal verifies pairs exactly.  Pairs that
    verified links connect already are skipped, as they cannot change the components.
 """
@@ -18,10 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import bounded_batches, materialise, slices, table, texts
+from graphloom.llm._common import bounded_batches, key_filter, materialise, may_contain, slices, table, texts
 from graphloom.llm._words import LOWER, NOT_SPACE, grams, mix, words_of
 from graphloom.llm.components import components
 
@@ -71,54 +76,93 @@ def _based(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node)], ["doc_id", "n", "node"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, node for the prefix of every set; a set comes once a task (but for what a full memory forgets)."""
+#: Counters of the sketch of frequent shingles (a power of two).
+SKETCH = 1 << 22
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(13) & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n: counters of this task that stand out, counting every different set's prefix once."""
     seen: set[int] = set()
+    counts = np.zeros(SKETCH, np.uint32)
     for batch in batches:
         for _, off, h in shingle_sets(batch.column(1)):
-            keys, nodes = [], []
             for a, b in zip(off[:-1], off[1:], strict=True):
                 if a < b and (node := digest(h[a:b])) not in seen:
                     seen.add(node)
-                    keys.append(h[a : a + prefix_length(int(b - a))])
-                    nodes.append(np.full(len(keys[-1]), node, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                    counts[_bucket(h[a : a + prefix_length(int(b - a))])] += 1
             if len(seen) > 500_000:
                 seen.clear()
+    mean = counts.mean()
+    high = np.flatnonzero(counts >= 3 + mean + 6 * np.sqrt(mean))
+    yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(counts[high], pa.int64())], ["key", "n"])
+
+
+def _prefix(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the fixed order: those in frequent counters last, else by hash."""
+    late = frequent[_bucket(h)]
+    return np.concatenate([h[~late], h[late]])[: prefix_length(len(h))] if late.any() else h[: prefix_length(len(h))]
+
+
+def _keys(frequent: Broadcast, only: Broadcast | None):
+    """key, node for the prefix of every set (of the keys in the filter `only`); a set comes once a task (but for what a full memory forgets)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, off, h in shingle_sets(batch.column(1)):
+                keys, nodes = [], []
+                for a, b in zip(off[:-1], off[1:], strict=True):
+                    if a < b and (node := digest(h[a:b])) not in seen:
+                        seen.add(node)
+                        keys.append(_prefix(h[a:b], frequent.value))
+                        nodes.append(np.full(len(keys[-1]), node, np.int64))
+                if keys:
+                    key, node = np.concatenate(keys), np.concatenate(nodes)
+                    if only is not None:
+                        use = may_contain(only.value, key)
+                        key, node = key[use], node[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
+                if len(seen) > 500_000:
+                    seen.clear()
+
+    return run
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """A bitmap of a power of two bits, two for each shingle at least; wider ones fold into narrower ones."""
+    """Signature of a set: a bitmap of a power of two bits, two for each shingle at least; wider ones fold into narrower ones."""
     width = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(shingles >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, n, bits; a set comes once a task (but for what a full memory forgets)."""
-    seen: set[int] = set()
-    for batch in batches:
-        for _, off, h in shingle_sets(batch.column(1)):
-            rows = []
-            for a, b in zip(off[:-1], off[1:], strict=True):
-                if a < b and (node := digest(h[a:b])) not in seen:
-                    seen.add(node)
-                    rows.append((node, int(b - a), bitmap(h[a:b])))
-            if rows:
-                c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], ["node", "n", "bits"])
-            if len(seen) > 500_000:
-                seen.clear()
+def _fetched(only: Broadcast, form: Callable[[np.ndarray], bytes]):
+    """node, n, data of the sets in the filter `only`: data is form(set); a set comes once a task (but for what a full memory forgets)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, off, h in shingle_sets(batch.column(1)):
+                rows = []
+                for a, b in zip(off[:-1], off[1:], strict=True):
+                    if a < b and (node := digest(h[a:b])) not in seen and may_contain(only.value, np.array([node]))[0]:
+                        seen.add(node)
+                        rows.append((node, int(b - a), form(h[a:b])))
+                if rows:
+                    c = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], ["node", "n", "data"])
+                if len(seen) > 500_000:
+                    seen.clear()
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, shingles (packed hashes)."""
-    for batch in batches:
-        for low, off, h in shingle_sets(batch.column(1)):
-            nodes = batch.column(0).slice(low, len(off) - 1)
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["node", "shingles"])
+    return run
+
+
+def _packed(shingles: np.ndarray) -> bytes:
+    return shingles.tobytes()
 
 
 @dataclass
@@ -244,21 +288,17 @@ def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Loose clusters of each group: group, part, cluster, node, n."""
-    names, out = ["key", "pair", "cluster", "node", "n"], []
-    for (key, pair), rows in _groups(batches, ["key", "pair"]):
+    """Loose links a, b: each set of a loose cluster with the first one of it."""
+    out: list[tuple[int, int]] = []
+    for _, rows in _groups(batches, ["key", "pair"]):
         nodes, sizes, bitmaps, side = (list(c) for c in zip(*dict.fromkeys(rows), strict=True))
         found = Clusters(len(nodes), lambda a, b: True)
         found.run(sizes, bitmaps, side)
-        roots = [found.find(k) for k in range(len(nodes))]
-        count: dict[int, int] = {}
-        for r in roots:
-            count[r] = count.get(r, 0) + 1
-        out += [(key, pair, r, node, n) for r, node, n in zip(roots, nodes, sizes, strict=True) if count[r] > 1]
+        out += [(nodes[k], nodes[r]) for k in range(len(nodes)) if (r := found.find(k)) != k]
         if len(out) > 10_000:
-            yield _emit(out, names)
+            yield _emit(out, ["a", "b"])
             out = []
-    yield _emit(out, names)
+    yield _emit(out, ["a", "b"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -299,26 +339,31 @@ def _in_blocks(rows: DataFrame, blocks: F.Column) -> DataFrame:
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, n, node; links: a, b between nodes).  Links connect exactly the nodes that chains of similar sets connect."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     members = materialise(rows.mapInArrow(_based, "doc_id long, n long, node long"), "members")
-    keyed = rows.mapInArrow(_keys, "key long, node long").repartition("key")  # used twice, shuffled once
+    loud = rows.mapInArrow(_sketched, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 16")
+    frequent = np.zeros(SKETCH, bool)
+    frequent[[r["key"] for r in loud.select("key").collect()]] = True  # counters, of which there are SKETCH
+    frequent = spark.sparkContext.broadcast(frequent)
+    counted = rows.mapInArrow(_keys(frequent, None), "key long, node long").groupBy("key").agg(F.count("*").alias("n"))
+    repeated = key_filter(counted.where("n > 1").select("key"))
+    keyed = materialise(rows.mapInArrow(_keys(frequent, repeated), "key long, node long"), "keys")
     lists = keyed.groupBy("key").agg(F.count("*").alias("sets"), *_list_digest("node")).where("lo < hi")
     chosen = lists.groupBy("sets", "s1", "s2", "lo", "hi").agg(F.min("key").alias("key")).select("key", "sets")
-    met = keyed.join(chosen, "key")
-    signed = rows.mapInArrow(_signed, "node long, n long, bits binary").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    met = materialise(keyed.join(chosen, "key"), "met")
+    signed = rows.mapInArrow(_fetched(key_filter(met.select(F.col("node").alias("key"))), bitmap), "node long, n long, data binary")
+    signed = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("bits"))
     groups = _in_blocks(met.join(signed, "node"), F.ceil(F.col("sets") / BLOCK_SETS)).select("key", "pair", "node", "n", "bits", "side")
     ordered = groups.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    loose = materialise(ordered.mapInArrow(_loose, "key long, pair long, cluster long, node long, n long"), "loose")
-    ids = ["key", "pair", "cluster"]
-    sizes = loose.groupBy(*ids).agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), *_list_digest("node"))
-    once = sizes.groupBy("sets", "shingles", "s1", "s2", "lo", "hi").agg(F.min(F.struct(*ids)).alias("id")).select("id.*", "sets", "shingles")
-    parts = loose.join(once, ids).select(F.xxhash64(*ids).alias("cluster"), "node", "sets", "shingles")
-    wanted = parts.select("node").distinct()
-    first = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    sets = rows.join(first, "doc_id").select("node", "text").mapInArrow(_whole, "node long, shingles binary")
+    loose = components(ordered.mapInArrow(_loose, "a long, b long")).withColumnRenamed("label", "cluster")
+    first = materialise(members.where("n > 0").select("node", "n").distinct().join(loose, "node"), "clusters")
+    sizes = first.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    sets = rows.mapInArrow(_fetched(key_filter(first.select(F.col("node").alias("key"))), _packed), "node long, n long, data binary")
+    sets = sets.join(first.select("node"), "node", "left_semi").groupBy("node").agg(F.first("data").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") * 8 / BLOCK_BYTES))
-    pairs = _in_blocks(parts, blocks).select("cluster", "pair", "node", "side").join(sets, "node").select("cluster", "pair", "node", "shingles", "side")
+    pairs = _in_blocks(first.join(sizes, "cluster"), blocks).select("cluster", "pair", "node", "side").join(sets, "node").select("cluster", "pair", "node", "shingles", "side")
     links = pairs.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(_verified, "a long, b long")
     return members, links
 
@@ -343,9 +388,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, in its own columns, without the rows whose component has a smaller id; rows that share the smallest id all stay."""
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: components of near-duplicate documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, p, p + least(len(w), 5) - 1) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""

@@ -20,4 +20,6 @@ ORACLES: dict = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
+    "op8_ngram_jaccard_join": ngram_join.OP8_SQL,
+    "op10_secret_scans": secrets.OP10_SQL,
 }

@@ -211,3 +211,21 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents")).withColumn("base", F.filter("secret_spans", lambda s: s["kind"] < BASE))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{RULES[k].name}")
     return found.select("doc_id", *map(count, range(BASE)), F.sha2(_joined("base", RULES), 256).alias("base_sha256"), _joined("secret_spans", RULES).alias("spans"))
+
+
+def _oracle(rules: tuple[Rule, ...]) -> str:
+    """DuckDB SQL of the query: gaps and matches of each pattern give the positions."""
+    parts = []
+    for k, rule in enumerate(rules):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        lists = f"SELECT doc_id, regexp_extract_all(text, {pattern}) AS m, regexp_extract_all(text, {pattern}, {rule.part}) AS p, string_split_regex(text, {pattern}) AS g FROM d"
+        at = "list_sum(list_transform(list_concat(g[1:i], m[1:i - 1]), lambda x: length(x)))"
+        parts.append(f"SELECT doc_id, {k} AS k, '{rule.name}' AS kind, CAST({at} AS BIGINT) AS start, length(m[i]) AS n FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({lists})) WHERE length(p[i]) >= {rule.least}")
+    span = "kind || ':' || start || ':' || (start + n)"
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{rules[k].name}" for k in range(BASE))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, {counts}, string_agg({span}, ',' ORDER BY start, k, n) FILTER (k < {BASE}) AS base, string_agg({span}, ',' ORDER BY start, k, n) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{rules[k].name}, 0) AS n_{rules[k].name}" for k in range(BASE))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+OP10_SQL = _oracle(RULES)
