@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.retrieval import top_k
+from graphloom.operators.retrieval import against, top_k
 from graphloom.sources.tables import slot_words, slots
 
 #: Slots of a band; bands 1 and 2 are structural (ordered) lattices, the others epistemic ones.
@@ -116,7 +116,7 @@ def q_hamming(spark: SparkSession, sf_dir: str, mask: bool = False) -> DataFrame
         signed = [k - (1 << 64) if k >> 63 else k for k in keep]
         w = w.select("id", F.zip_with("words", F.array(*[F.lit(k).cast("long") for k in signed]), lambda a, b: a.bitwiseAND(b)).alias("words"))
     q = w.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("words").alias("q"))
-    d = w.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", hamming(F.col("words"), F.col("q")).alias("distance"))
+    d = against(w, q, lambda df: df.select("query_id", "id", hamming(F.col("words"), F.col("q")).alias("distance")))
     score = F.round(1 - F.col("distance") / (48 if mask else 64), 6)
     return top_k(d.withColumn("score", score), 10, key="id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,22 +81,27 @@ def unit(v: Column, dims: int) -> Column:
     return F.transform(head, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, dims: int | None = None) -> DataFrame:
-    """query_id, vec_id, score (6 digits) of a stated query set against all vectors (unit length, or cut to dims and scaled).
+def against(rows: DataFrame, queries: DataFrame, pair: Callable[[DataFrame], DataFrame], most: int = 20_000) -> DataFrame:
+    """A stated query set (query_id, ...) against all rows: pair(rows joined with a block of queries), for every block.
 
-    The queries are broadcast in blocks of bounded size; every block is one pass over the vectors.
+    Blocks hold about `most` queries, which bounds what is broadcast; each is one pass over the rows.
     """
-    v = vectors.select("vec_id", (unit(F.col("embedding"), dims) if dims else F.col("embedding")).alias("v"))
-    q = queries.select(F.col("vec_id").alias("query_id"), (unit(F.col("embedding"), dims) if dims else F.col("embedding")).alias("q"))
-    blocks = 1 + q.count() // 20_000
+    blocks = 1 + queries.count() // most
     out = None
     for k in range(blocks):
-        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        part = v.join(F.broadcast(block), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        part = pair(rows.join(F.broadcast(block), rows[rows.columns[0]] != block["query_id"]))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def cosine_scores(vectors: DataFrame, queries: DataFrame, dims: int | None = None) -> DataFrame:
+    """query_id, vec_id, score (6 digits) of a stated query set against all vectors (unit length, or cut to dims and scaled)."""
+    v = vectors.select("vec_id", (unit(F.col("embedding"), dims) if dims else F.col("embedding")).alias("v"))
+    q = queries.select(F.col("vec_id").alias("query_id"), (unit(F.col("embedding"), dims) if dims else F.col("embedding")).alias("q"))
+    return against(v, q, lambda df: df.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")))
+
+
 def reciprocal_ranks(lexical: DataFrame, dense: DataFrame, *, k: int = 30, w_lexical: float = 0.2, w_dense: float = 0.8) -> DataFrame:
     """query_id, doc_id, score: w / (k + rank) of both lists, each (query_id, doc_id, score)."""
     rank = lambda df, name: df.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).alias(name))
