@@ -231,6 +231,42 @@ def q_seed_energy(spark: SparkSession, sf_dir: str, alpha: float = 0.6, theta: f
     return top_k(joined.select("query_id", "vec_id", energy.alias("score")), 5, key="vec_id")
 
 
+def q_archetypes(spark: SparkSession, sf_dir: str, theta: float = 0.2) -> DataFrame:
+    """Every vector projected on archetypes (the vectors whose id is divisible by 50): the three best above theta, with slot value 1 for close ones, else 3."""
+    scores = cosine_scores(*_vectors(spark, sf_dir)).where(F.col("score") >= theta)
+    best = top_k(scores.withColumnsRenamed({"query_id": "archetype", "vec_id": "query_id"}), 3, key="archetype")
+    return best.select(F.col("query_id").alias("vec_id"), "archetype", "score", F.when(F.col("score") >= 0.85, 1).otherwise(3).alias("value"))
+
+
+def q_dense_bypass(spark: SparkSession, sf_dir: str, theta: float = 0.4) -> DataFrame:
+    """Fused ranking, but the dense list alone for queries whose best cosine reaches theta."""
+    docs, queries = _inputs(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings")
+    lexical = bm25(docs, queries).join(v.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    asked = v.join(queries.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    dense = cosine_scores(v, asked).withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    hot = dense.groupBy("query_id").agg(F.max("score").alias("m")).where(F.col("m") >= theta).select("query_id")
+    fused = reciprocal_ranks(lexical, dense).join(hot, "query_id", "left_anti")
+    return top_k(fused.unionByName(dense.join(hot, "query_id", "left_semi").select("query_id", "doc_id", "score")), 5)
+
+
+def q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target entities of every benchmark item: codes, then names of several words, then single capitalised words that aren't stopwords."""
+    found = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    single = F.filter(found("[A-Z][a-z]{2,}"), lambda w: ~F.lower(w).isin(STOPWORDS))
+    every = F.array_distinct(F.concat(found("[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)+"), found("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), single))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(every, "|").alias("entities"), F.size(every).cast("long").alias("n"))
+
+
+def q_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Salience of capitalised words in a conversation at its last turn: each mention counts 1, fading by 0.9 a turn."""
+    c = table(spark, sf_dir, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    words = c.select("conv_id", "turn", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Z][a-z]{2,}"), F.lit(0))).alias("entity"))
+    s = words.join(last, "conv_id").groupBy("conv_id", "entity").agg(F.round(F.sum(F.pow(F.lit(0.9), F.col("last") - F.col("turn"))), 4).alias("salience"), F.count("*").alias("mentions"), F.max("turn").alias("last_seen"))
+    return s
+
+
 QUERIES = {
     "bm25_topk": q_bm25,
     "bm25_minmax": q_bm25_minmax,
@@ -244,6 +280,10 @@ QUERIES = {
     "matryoshka_topk": lambda s, d: q_dense(s, d, 16),
     "rrf_hybrid": q_rrf,
     "seed_energy": q_seed_energy,
+    "archetype_project": q_archetypes,
+    "rrf_dense_bypass": q_dense_bypass,
+    "target_entities": q_entities,
+    "entity_salience": q_salience,
 }
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
@@ -307,4 +347,16 @@ b AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_i
 f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(0.2 / (30 + a.r), 0.0) + coalesce(0.8 / (30 + b.r), 0.0), 8) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id) {_top('f', 10)}""",
     "seed_energy": f"""WITH {_cos('c')}, w AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: {_VAL}) AS w FROM embeddings),
 e AS (SELECT c.query_id, c.vec_id, round(0.6 * CASE WHEN score >= 0.2 THEN score ELSE 0.0 END + 0.4 * greatest(0.0, 1 - len(list_filter(list_zip(a.w, b.w), lambda z: z[1] <> z[2])) / 64), 6) AS score FROM c JOIN w a ON a.vec_id = c.vec_id JOIN w b ON b.vec_id = c.query_id) {_top('e', 5, 'vec_id')}""",
+    "rrf_dense_bypass": f"""WITH {_BM25}, {_cos('c', 0, 'vec_id IN (SELECT item_id FROM benchmark)')},
+a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+e AS (SELECT query_id, vec_id AS doc_id, score FROM c WHERE vec_id IN (SELECT doc_id FROM documents)), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM e),
+h AS (SELECT query_id FROM e GROUP BY query_id HAVING max(score) >= 0.4),
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(0.2 / (30 + a.r), 0.0) + coalesce(0.8 / (30 + b.r), 0.0), 8) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+u AS (SELECT * FROM f WHERE query_id NOT IN (SELECT query_id FROM h) UNION ALL SELECT query_id, doc_id, score FROM e WHERE query_id IN (SELECT query_id FROM h)) {_top('u', 5)}""",
+    "archetype_project": f"WITH {_cos('c')} SELECT vec_id, archetype, score, CASE WHEN score >= 0.85 THEN 1 ELSE 3 END AS value FROM (SELECT vec_id, query_id AS archetype, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, query_id) AS r FROM c WHERE score >= 0.2) WHERE r <= 3",
+    "target_entities": f"""WITH p AS (SELECT item_id, list_concat(list_concat(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)+'), regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')), list_filter(regexp_extract_all(text, '[A-Z][a-z]{{2,}}'), lambda x: lower(x) NOT IN {_STOP})) AS e FROM benchmark),
+u AS (SELECT item_id, x, min(k) AS k FROM (SELECT item_id, unnest(e) AS x, unnest(range(len(e))) AS k FROM p) GROUP BY ALL)
+SELECT p.item_id, coalesce(max(s), '') AS entities, coalesce(max(n), 0) AS n FROM p LEFT JOIN (SELECT item_id, string_agg(x, '|' ORDER BY k) AS s, count(*) AS n FROM u GROUP BY item_id) q ON q.item_id = p.item_id GROUP BY p.item_id""",
+    "entity_salience": """WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id), w AS (SELECT conv_id, turn, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{2,}')) AS entity FROM conversations)
+SELECT conv_id, entity, round(sum(pow(0.9, last - turn)), 4) AS salience, count(*) AS mentions, max(turn) AS last_seen FROM w JOIN l USING (conv_id) GROUP BY conv_id, entity""",
 }
