@@ -140,6 +140,16 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _filtered(only: Broadcast):
+    """Rows whose key the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_contain(only.value, batch.column("key").to_numpy(zero_copy_only=False))))
+
+    return run
+
+
 def _fetched(only: Broadcast, form: Callable[[np.ndarray], bytes]):
     """node, n, data of the sets in the filter `only`: data is form(set); a set comes once a task (but for what a full memory forgets)."""
 
@@ -351,8 +361,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = key_filter(counted.where("n > 1").select("key"))
     keyed = materialise(rows.mapInArrow(_keys(frequent, repeated), "key long, node long"), "keys")
     lists = keyed.groupBy("key").agg(F.count("*").alias("sets"), *_list_digest("node")).where("lo < hi")
-    chosen = lists.groupBy("sets", "s1", "s2", "lo", "hi").agg(F.min("key").alias("key")).select("key", "sets")
-    met = materialise(keyed.join(chosen, "key"), "met")
+    chosen = materialise(lists.groupBy("sets", "s1", "s2", "lo", "hi").agg(F.min("key").alias("key")).select("key", "sets"), "chosen")
+    near = keyed.mapInArrow(_filtered(key_filter(chosen.select("key"))), "key long, node long")  # before the join shuffles it
+    met = materialise(near.join(chosen, "key"), "met")
     signed = rows.mapInArrow(_fetched(key_filter(met.select(F.col("node").alias("key"))), bitmap), "node long, n long, data binary")
     signed = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("bits"))
     groups = _in_blocks(met.join(signed, "node"), F.ceil(F.col("sets") / BLOCK_SETS)).select("key", "pair", "node", "n", "bits", "side")
