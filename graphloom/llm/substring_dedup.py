@@ -5,21 +5,23 @@ documents around one anchor, so documents are streamed past the shards that can
 past all of them (a broadcast of every shard would read the corpus once for each).
 
 An anchor is the smallest hash of `GRAM` words in a window; equal windows have equal anchors.  Anchors
-met in one text only need no further look.  For the others the passages (the windows with that anchor,
+met in one text only need no further look; a filter of fixed size holds the others.  For the others the passages (the windows with that anchor,
 13 to 19 words) meet in their shard in the order of doc_id, and each is matched against the automaton of
 those before.  Copies of whole texts are settled by their digests and never reach a shard.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import bounded_batches, slices, table, texts
+from graphloom.llm._common import bounded_batches, key_filter, materialise, may_contain, slices, table, texts
 from graphloom.llm._words import EXACT, NOT_SPACE, Words, mix, words_of
 from graphloom.llm.automaton import SuffixAutomaton
 
@@ -49,76 +51,101 @@ def _anchors(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
     return start, place[start], best[start]
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, node: the different anchors of each text; a text comes once a task (but for what a full memory forgets)."""
-    seen: set[int] = set()
-    for batch in batches:
-        node = batch.column("node").to_numpy(zero_copy_only=False)
-        for low, high in slices(batch.column("text")):
-            fresh = np.zeros(high - low, bool)
-            for k in range(low, high):
-                if (x := int(node[k])) not in seen:
-                    seen.add(x)
-                    fresh[k - low] = True
-            buf, off = texts(batch.column("text").slice(low, high - low))
-            words = words_of(buf, off, NOT_SPACE, EXACT)
-            start, place, key = _anchors(words)
-            one = np.ones(len(start), bool)
-            one[1:] = place[1:] != place[:-1]
-            doc = words.doc[start]
-            one &= fresh[doc] if len(doc) else one
-            yield pa.RecordBatch.from_arrays([pa.array(key[one].view(np.int64)), pa.array(node[low + doc[one]])], ["key", "node"])
-        if len(seen) > 500_000:
-            seen.clear()
-
-
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, node, start, key, words (packed hashes): the passages around the anchors that other texts have too."""
-    names = ["doc_id", "node", "start", "key", "words"]
-    for batch in batches:
-        ids, nodes = batch.column("doc_id").to_pylist(), batch.column("node").to_pylist()
-        anchors, hot = batch.column("anchors"), batch.column("hot")
-        for low, high in slices(batch.column("text")):
-            buf, off = texts(batch.column("text").slice(low, high - low))
-            words = words_of(buf, off, NOT_SPACE, EXACT)
-            start, place, key = _anchors(words)
-            bound = np.searchsorted(words.doc[start], np.arange(high - low + 1))
-            out: list[tuple] = []
-            for d in range(high - low):
-                s, p, k = (x[bound[d] : bound[d + 1]] for x in (start, place, key))
-                known = anchors[low + d].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                busy = known[hot[low + d].values.to_numpy(zero_copy_only=False).astype(bool)]
-                edge = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]])) if len(p) else np.zeros(0, int)
+def _met(first: Broadcast):
+    """key: the different anchors of each first copy of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use = may_contain(first.value, batch.column("slot").to_numpy(zero_copy_only=False))
+            column = batch.column("text").filter(pa.array(use))
+            for low, high in slices(column):
+                buf, off = texts(column.slice(low, high - low))
+                words = words_of(buf, off, NOT_SPACE, EXACT)
+                start, place, key = _anchors(words)
+                one = np.ones(len(start), bool)
+                one[1:] = place[1:] != place[:-1]
+                doc, key = words.doc[start][one], key[one]
+                order = np.lexsort((key, doc))
+                new = np.ones(len(order), bool)
+                new[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(key[order][new].view(np.int64))], ["key"])
+
+    return run
+
+
+def _passages(first: Broadcast, shared: Broadcast, hot: Broadcast, combine: bool):
+    """doc_id, node, start, key, wh, size, words (packed hashes): passages of first copies around anchors that other texts have too.
+
+    combine: each different passage once, with the smallest doc_id of those that this task has seen since its
+    memory was last emptied; else every passage, without its words.
+    """
+    names = ["doc_id", "node", "start", "key", "wh", "size"] + ["words"] * combine
+    kinds = [pa.int64()] * 6 + [pa.binary()] * combine
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple] = {}
+        for batch in batches:
+            use = pa.array(may_contain(first.value, batch.column("slot").to_numpy(zero_copy_only=False)))
+            ids, nodes = (batch.column(c).filter(use).to_pylist() for c in ("doc_id", "node"))
+            column = batch.column("text").filter(use)
+            for low, high in slices(column):
+                buf, off = texts(column.slice(low, high - low))
+                words = words_of(buf, off, NOT_SPACE, EXACT)
+                start, place, key = _anchors(words)
+                edge = np.ones(len(place) + 1, bool)
+                edge[1:-1] = (place[1:] != place[:-1]) | (words.doc[start][1:] != words.doc[start][:-1])
+                edge = np.flatnonzero(edge) if len(place) else np.zeros(1, int)
                 begin, end = edge[:-1], edge[1:]
-                use = np.isin(k[begin], known) if len(begin) else np.zeros(0, bool)
-                first, alone = int(words.first[d]), np.isin(k[begin], busy) if len(begin) else use
-                for a, b, single in zip(begin[use].tolist(), end[use].tolist(), alone[use].tolist(), strict=True):
-                    for x, y in [(w, w + 1) for w in range(a, b)] if single else [(a, b)]:
-                        packed = words.hash[s[x] : s[y - 1] + WINDOW]
-                        shard = k[a] if not single else mix(np.bitwise_xor.reduce(packed * np.arange(1, 2 * WINDOW, 2, dtype=np.uint64), keepdims=True))[0]
-                        out.append((ids[low + d], nodes[low + d], int(s[x]) - first, int(shard.view(np.int64)), packed.tobytes()))
-            c = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, kinds, strict=True)], names)
+                known = may_contain(shared.value, key[begin])
+                begin, end = begin[known], end[known]
+                alone = may_contain(hot.value, key[begin])
+                out = []
+                for x, y, single in zip(begin.tolist(), end.tolist(), alone.tolist(), strict=True):
+                    d = int(words.doc[start[x]])
+                    for p, q in [(w, w + 1) for w in range(x, y)] if single else [(x, y)]:
+                        packed = words.hash[start[p] : start[q - 1] + WINDOW].tobytes()
+                        wh = int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
+                        shard = wh if single else int(key[x].view(np.int64))
+                        row = (ids[low + d], nodes[low + d], int(start[p] - words.first[d]), shard, wh, q - p)
+                        if not combine:
+                            out.append(row)
+                        elif (shard, wh) not in held or row[0] < held[shard, wh][0]:
+                            held[shard, wh] = (*row, packed)
+                if out:
+                    yield batch_of(out)
+                if len(held) > 100_000:
+                    yield batch_of(list(held.values()))
+                    held.clear()
+        if combine:
+            yield batch_of(list(held.values()))
+
+    return run
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, words' hash, first document and the windows (bits) that occur in documents before it.
+    """key, wh, first document and the windows (bits) that occur in documents before it, for every different passage.
 
     Rows come by shard and doc_id; passages of one document enter the automaton after all of them are judged.
     """
     names = ["key", "wh", "first_id", "bits"]
-    shard, doc, waiting, automaton = None, None, [], None
+    shard, doc, waiting, automaton, seen = None, None, [], None, set()
     for batch in batches:
         out = []
-        for key, wh, first_id, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "wh", "first_id", "words")), strict=True):
+        for key, wh, first_id, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "wh", "doc_id", "words")), strict=True):
             if key != shard:
-                shard, doc, waiting, automaton = key, first_id, [], None
+                shard, doc, waiting, automaton, seen = key, first_id, [], None, set()
             elif first_id != doc:
                 automaton = automaton or SuffixAutomaton()
                 for w in waiting:
                     automaton.add(w)
                 doc, waiting = first_id, []
+            if wh in seen:
+                continue
+            seen.add(wh)
             words = np.frombuffer(raw, np.uint64).tolist()
             bits = 0
             if automaton is not None:
@@ -166,24 +193,21 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("node", F.xxhash64("text", F.octet_length("text")))
-    known = rows.where(F.col("doc_id").isNotNull())
-    placed = known.repartition("doc_id")  # used twice, shuffled once
-    met = known.mapInArrow(_met, "key long, node long").where("key IS NOT NULL").repartition("key")  # used twice, shuffled once: the filter that a join would add is there for both
-    shared = met.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", (F.col("n") > shard_texts).alias("hot"))
-    pairs = met.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("key", "hot")).alias("a"))
-    anchors = pairs.select("node", F.col("a.key").alias("anchors"), F.col("a.hot").alias("hot"))
-    firsts = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    found = placed.join(firsts.join(anchors, "node"), ["doc_id", "node"]).select("doc_id", "node", "text", "anchors", "hot")
-    passages = found.mapInArrow(_passages, "doc_id long, node long, start long, key long, words binary").withColumn("wh", F.xxhash64("words"))
-    different = passages.groupBy("key", "wh", "words").agg(F.min("doc_id").alias("first_id"))
-    judged = different.repartition("key").sortWithinPartitions("key", "first_id").mapInArrow(_judged, "key long, wh long, first_id long, bits long")
-    whole = (F.pow(F.lit(2.0), F.octet_length("words") / 8 - WINDOW + 1) - 1).cast("long")  # a bit for each window
-    windows = passages.withColumn("whole", whole).drop("words").join(judged, ["key", "wh"])
+    known = rows.where(F.col("doc_id").isNotNull()).withColumn("slot", F.xxhash64("doc_id", "node"))
+    ids = materialise(known.select("doc_id", "node").distinct(), "ids")
+    firsts = ids.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    first = key_filter(firsts.select(F.xxhash64("first_id", "node").alias("key")))
+    counted = materialise(known.mapInArrow(_met(first), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    shared, hot = key_filter(counted.select("key")), key_filter(counted.where(F.col("n") > shard_texts).select("key"))
+    narrow = "doc_id long, node long, start long, key long, wh long, size long"
+    different = known.mapInArrow(_passages(first, shared, hot, True), narrow + ", words binary").select("key", "wh", "doc_id", "words")
+    judged = different.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_judged, "key long, wh long, first_id long, bits long")
+    whole = (F.pow(F.lit(2.0), F.col("size")) - 1).cast("long")  # a bit for each window
+    windows = known.mapInArrow(_passages(first, shared, hot, False), narrow).withColumn("whole", whole).join(judged, ["key", "wh"])
     windows = windows.select("doc_id", "node", "start", F.when(F.col("doc_id") > F.col("first_id"), F.col("whole")).otherwise(F.col("bits")).alias("bits")).where("bits <> 0")
     windows = windows.groupBy("doc_id", "node").agg(F.collect_list(F.struct("start", "bits")).alias("windows"))
-    ids = known.select("doc_id", "node").distinct().join(firsts.withColumnRenamed("doc_id", "first_id"), "node")
-    verdict = ids.join(windows, ["doc_id", "node"], "left").select("doc_id", "node", (F.col("doc_id") > F.col("first_id")).alias("copy"), "windows")
-    judged_rows = placed.join(verdict.where("copy OR windows IS NOT NULL"), ["doc_id", "node"], "left").select("doc_id", "text", "node", "copy", "windows")
+    verdict = ids.join(firsts, "node").join(windows, ["doc_id", "node"], "left").select("doc_id", "node", (F.col("doc_id") > F.col("first_id")).alias("copy"), "windows")
+    judged_rows = known.join(verdict.where("copy OR windows IS NOT NULL"), ["doc_id", "node"], "left").select("doc_id", "text", "node", "copy", "windows")
     loose = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", "node", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<start: long, bits: long>>").alias("windows"))
     return judged_rows.unionByName(loose).mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
 
