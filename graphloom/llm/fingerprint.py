@@ -6,7 +6,9 @@ fingerprint is a 128-bit xxHash of it; where two fingerprints are equal the cano
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,35 +21,59 @@ GROUP_ROWS = 2000
 _QUANTILES = 100
 
 
+#: Leading, vowel and trailing Hangul jamo that compose, and the syllables.
+_L, _V, _T, _SYLLABLES = r"\x{1100}-\x{1112}", r"\x{1161}-\x{1175}", r"\x{11A8}-\x{11C2}", r"\x{AC00}-\x{D7A3}"
+
+
+#: Marks by the category the JVM knows (fast, where a class of many ranges is slow), and blocks with marks that are newer than it may be.
+_MARKS = r"\p{M}\x{898}-\x{89F}\x{8CA}-\x{8D2}\x{C3C}\x{ECE}\x{1715}\x{180F}\x{1AC1}-\x{1AFF}\x{1DFA}\x{10D00}-\x{11FFF}\x{16A00}-\x{16FFF}\x{1BC00}-\x{1BCFF}\x{1CF00}-\x{1EFFF}"
+
+
+@dataclass(frozen=True)
+class _Unicode:
+    """From Unicode's data, without the Hangul syllables: what normalisation and case folding need."""
+
+    marks: str  #: characters with a combining class, and beside each a character that sorts by the class
+    classes: str
+    split: str  #: characters with a decomposition, longest first, and the n-th character of each (shorter ones are at the end)
+    pieces: tuple[str, ...]
+    pairs: dict[str, str]  #: two characters and the one they compose to
+    near: str  #: character class with (at least) all that may join or move past what stands before, and all whose composed form is longer
+    restless: str  #: characters that a composed text doesn't hold or that may join what stands before them
+    single: str  #: characters with another one as their composed form, and these
+    plain: str
+    upper: str  #: characters that fold to one other character, and these
+    lower: str
+    longer: dict[str, str]  #: characters that fold to several
+
+
 @lru_cache(1)
-def _compositions() -> tuple[dict[str, str], str, str, dict[str, str]]:
-    """From Unicode's data: combining sequences and the one character each composes to; characters with a one-character form and those forms; Latin letters that fold to several."""
-    sequences: dict[str, str] = {}
-    single, plain = [], []
-    longer = {c: c.casefold() for c in map(chr, [*range(0x100, 0x250), 0x1E9E, *range(0xFB00, 0xFB07)]) if len(c.casefold()) > 1}
-    for code in range(0xA0, 0x20000):
-        char = chr(code)
-        full = unicodedata.normalize("NFD", char)
-        composed = unicodedata.normalize("NFC", char)
-        if composed == char and len(char.casefold()) == 1 and char.casefold() != char.lower():
-            single.append(char)
-            plain.append(char.casefold())
-        if full == char or 0xAC00 <= code <= 0xD7A3:
-            continue
-        if composed != char and len(composed) == 1:
-            single.append(char)
-            plain.append(composed)
-        elif composed == char:
-            sequences[full] = char
-            if len(full) == 3:  # a base, composed with its first mark, and another mark
-                half = unicodedata.normalize("NFC", full[:2])
-                if len(half) == 1:
-                    sequences[half + full[2]] = char
-    return sequences, "".join(single), "".join(plain), longer
-
-
-def _ranges(chars: str, gap: int = 64) -> str:
-    """A character class that holds the characters; neighbours closer than gap share a range (it may hold others too)."""
+def _unicode() -> _Unicode:
+    every = [chr(code) for code in range(0x110000) if not (0xD800 <= code < 0xE000 or 0xAC00 <= code <= 0xD7A3)]
+    marks = [c for c in every if unicodedata.combining(c)]
+    full = {c: d for c in every if (d := unicodedata.normalize("NFD", c)) != c}
+    split = sorted(full, key=lambda c: -len(full[c]))
+    pieces = ["".join(full[c][k] for c in split if len(full[c]) > k) for k in range(len(full[split[0]]))]
+    pairs = {}
+    for c in full:
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and unicodedata.normalize("NFC", c) == c:
+            pairs["".join(chr(int(x, 16)) for x in parts)] = c
+    joins = {*marks, *(pair[1] for pair in pairs)}
+    composed = {c: n for c in full if (n := unicodedata.normalize("NFC", c)) != c}
+    single = [c for c in composed if len(composed[c]) == 1]
+    loose = [c for c in every if (full.get(c, c)[0] in joins and unicodedata.category(c)[0] != "M") or (c in composed and len(composed[c]) > 1)]
+    restless = {*composed, *(pair[1] for pair in pairs), *map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])}
+    folded = {c: f for c in every if (f := c.casefold()) != c}
+    upper = [c for c in folded if len(folded[c]) == 1]
+    return _Unicode(
+        "".join(marks), "".join(chr(0x100 + unicodedata.combining(c)) for c in marks), "".join(split), tuple(pieces), pairs, _MARKS + _ranges("".join(loose), 16),
+        "".join(restless), "".join(single), "".join(composed[c] for c in single), "".join(upper), "".join(folded[c] for c in upper), {c: f for c, f in folded.items() if len(f) > 1},
+    )
+
+
+def _ranges(chars: str, gap: int = 1) -> str:
+    """The inside of a character class that holds the characters; those closer than gap share a range (1: it holds no others)."""
     out: list[list[int]] = []
     for code in sorted(map(ord, chars)):
         if out and code - out[-1][1] <= gap:
@@ -57,29 +83,106 @@ def _ranges(chars: str, gap: int = 64) -> str:
     return "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in out)
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def _decomposed(text: Column) -> Column:
+    """Every character replaced by its full decomposition."""
+    u = _unicode()
+    pieces = lambda c: [F.translate(c, u.split, piece) for piece in u.pieces]
+    one = lambda c: F.when(F.translate(c, u.split, u.pieces[0]) == c, c).otherwise(F.concat(*pieces(c)))
+    return F.array_join(F.transform(_characters(text), one), "")
+
+
+def _class_of(char: Column) -> Column:
+    """A character that sorts by the combining class; empty for class 0."""
+    u = _unicode()
+    return _let(F.translate(char, u.marks, u.classes), lambda k: F.when(k == char, "").otherwise(k))
+
+
+def _reordered(text: Column) -> Column:
+    """Runs of marks in the order of their combining classes; marks of one class keep theirs."""
+    u = _unicode()
+    marks = _ranges(u.marks)
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)[{marks}]+|[^{marks}]+"), F.lit(0))
+    keyed = lambda run: F.transform(_characters(run), lambda c, k: F.struct(_class_of(c).alias("class"), k.alias("k"), c.alias("c")))
+    ordered = lambda run: F.array_join(F.transform(F.array_sort(keyed(run)), lambda m: m["c"]), "")
+    several = F.array_join(F.transform(runs, lambda run: F.when((F.char_length(run) > 1) & (_class_of(F.substring(run, 1, 1)) != ""), ordered(run)).otherwise(run)), "")
+    return F.when(F.char_length(text) > 1, several).otherwise(text)
+
+
+def _recomposed(text: Column) -> Column:
+    """Each character joined to the last starter where Unicode has the pair and no mark between blocks it."""
+    u = _unicode()
+    pairs = F.from_json(F.lit(_json(u.pairs)), "map<string,string>")
+    state = lambda done, starter, tail, last: F.struct(done.alias("done"), starter.alias("starter"), tail.alias("tail"), last.alias("last"))
+    none = F.lit("")
+
+    def step(s: Column, c: Column) -> Column:
+        order = _class_of(c)
+        blocked = (s["tail"] != "") & (s["last"] >= order)
+        joined = F.when(~blocked, F.element_at(pairs, F.concat(s["starter"], c)))
+        kept = F.when(order == "", state(F.concat(s["done"], s["starter"], s["tail"]), c, none, none)).otherwise(state(s["done"], s["starter"], F.concat(s["tail"], c), order))
+        return F.when(joined.isNotNull(), state(s["done"], joined, s["tail"], s["last"])).otherwise(kept)
+
+    return F.aggregate(_characters(text), state(none, none, none, none), step, lambda s: F.concat(s["done"], s["starter"], s["tail"]))
+
+
+def _syllables(text: Column) -> Column:
+    """Hangul jamo joined to syllables, by arithmetic."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)[{_L}][{_V}][{_T}]?|[{_SYLLABLES}][{_T}]|[^{_L}{_SYLLABLES}]+|."), F.lit(0))
+    code = lambda x, k: F.ascii(F.substring(x, k, 1))
+    tail = lambda x, k: F.when(F.char_length(x) >= k, code(x, k) - 0x11A7).otherwise(0)
+    char = lambda n: F.decode(F.unhex(F.hex(n.cast("long"))), "UTF-16BE")
+
+    def joined(x: Column) -> Column:
+        jamo = char(0xAC00 + ((code(x, 1) - 0x1100) * 21 + code(x, 2) - 0x1161) * 28 + tail(x, 3))
+        longer = F.when((code(x, 1) - 0xAC00) % 28 == 0, char(code(x, 1) + tail(x, 2))).otherwise(x)
+        return F.when(x.rlike(f"^[{_L}][{_V}]"), jamo).when(x.rlike(f"^[{_SYLLABLES}][{_T}]"), longer).otherwise(x)
+
+    return F.when(text.rlike(f"[{_V}{_T}]"), F.array_join(F.transform(parts, joined), "")).otherwise(text)
+
+
+def _composed(text: Column) -> Column:
+    """Unicode's composed form (NFC); only characters with marks, and those not composed themselves, are worked on."""
+    u = _unicode()
+    restless = lambda x: F.translate(x, u.restless, "") != x
+    parts = F.regexp_extract_all(F.translate(text, u.single, u.plain), F.lit(f"(?s)[^{u.near}]+(?![{u.near}])|[^{u.near}]?[{u.near}]+"), F.lit(0))
+    worked = lambda x: _let(_let(_decomposed(x), _reordered), _recomposed)
+    needed = lambda x: x.rlike(f"[{u.near}]") & (restless(x) | x.rlike(f"[{u.near}]{{2}}"))
+    whole = F.array_join(F.transform(parts, lambda x: F.when(needed(x), worked(x)).otherwise(x)), "")
+    # below U+0300 all texts are composed; so are those without restless characters and neighbouring marks
+    may = text.rlike(r"[^\x00-\x{2FF}]") & (restless(text) | text.rlike(f"[{u.near}]{{2}}"))
+    return F.when(may, _let(whole, _syllables)).otherwise(text)
+
+
+def _folded(text: Column) -> Column:
+    """Full case folding, by Unicode's table in place of the lower case (whose sigma depends on what follows)."""
+    u = _unicode()
+    longer = F.from_json(F.lit(json.dumps([{"c": c, "f": f} for c, f in u.longer.items() if c != "ß"])), "array<struct<c: string, f: string>>")
+    each = lambda x: F.aggregate(longer, x, lambda acc, p: F.replace(acc, p["c"], p["f"]))
+    several = F.when(text.rlike(f"[{_ranges(''.join(u.longer).replace('ß', ''))}]"), each(text)).otherwise(text)
+    return F.translate(F.replace(several, F.lit("ß"), F.lit("ss")), u.upper, u.lower)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text column (a plain column, as it is named several times).
 
-    Combining marks are composed with their base where Unicode has the composed character (Hangul jamo
-    are left as they are), and characters with a one-character canonical or folded form become it; only
-    texts that may hold either take that path.  Folding is lower case plus these and the Latin letters that
-    fold to several.
+    Unicode's composed form, fully case folded and composed again, by the tables of Python's unicodedata;
+    texts of ASCII alone are put into lower case, which is the same for them.
     """
-    sequences, single, plain, longer = _compositions()
-    known = F.from_json(F.lit(_json(sequences)), "map<string,string>")
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)(\P{M}\p{M}*|\p{M})"), F.lit(1))
-    composed = F.array_join(F.transform(parts, lambda x: F.when(F.char_length(x) > 1, F.coalesce(F.element_at(known, x), x)).otherwise(x)), "")
-    unusual = (F.octet_length(text) > F.char_length(text)) & text.rlike(rf"[\p{{M}}{_ranges(single + ''.join(longer), 8)}]")
-    changed = F.translate(composed, single, plain)
-    for char, folded in longer.items():
-        changed = F.replace(changed, F.lit(char), F.lit(folded))
-    lowered = F.lower(F.when(unusual, changed).otherwise(text))
-    return F.trim(F.regexp_replace(F.replace(lowered, F.lit("ß"), F.lit("ss")), r"(?U)\s{2,}|[^\S ]", " "))
+    other = _let(_let(_composed(text), _folded), _composed)
+    lowered = F.when(F.octet_length(text) > F.char_length(text), other).otherwise(F.lower(text))
+    return F.trim(F.regexp_replace(lowered, r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def _json(values: dict[str, str]) -> str:
-    import json
-
     return json.dumps(values)
 
 

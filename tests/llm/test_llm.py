@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -249,6 +250,24 @@ def test_fingerprints(spark):
         assert got == {k: order[(p + 1) % len(order)][1] for p, (k, _) in enumerate(order)}
 
 
+def test_canonical_form_is_normalised_and_folded(spark):
+    same = [("\u00ea\u0323", "e\u0302\u0323", "\u1ec7", "e\u0323\u0302"), ("\u1f02\u0345", "\u1f82"), ("\u00e9\u0315", "e\u0315\u0301"), ("ΛΌΓΟΣ", "λόγος", "λο\u0301γοσ"), ("\u1112\u1161\u11ab", "\ud558\u11ab", "\ud55c"), ("\u0390", "\u03aa\u0301")]
+    rng = random.Random(9)
+    marks = [chr(c) for c in range(0x300, 0x363)] + list("\u0345\u0323\u0fb2\u0f73\u0cc2\u0cd5\u0dca\u0dcf\u1161\u11a8\u0f71\u0344\u05b0\u093c")
+    bases = list("aeouAEΑΣσςωΩıİßkKx \u0cc6\u0dd9\u1100\uac00\uac01\u212b\u0958\u1f02\u00ea\U0001d15e\U00011099\u13a0\uab70ﬃ")
+    pushed = [x for c in map(chr, [*range(0x300, 0xD800), *range(0x10000, 0x1F000)]) if unicodedata.combining(c) for x in (f"a\u0301{c}z", f"a{c}\u0301z", f"a\u0316{c}")]
+    texts = [*sum(same, ()), *pushed, *map(chr, [*range(0x20, 0xD800, 1), *range(0xF900, 0x12000)]), *("".join(rng.choice(marks if rng.random() < 0.6 else bases) for _ in range(rng.randint(1, 9))) for _ in range(3000))]
+    got = {r["doc_id"]: r["c"] for r in make(spark, texts).select("doc_id", fingerprint.canonical(F.col("text")).alias("c")).collect()}
+    nfc = lambda t: unicodedata.normalize("NFC", t)
+    blank = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    want = [blank.sub(" ", nfc(nfc(t).casefold())).strip(" ") for t in texts]
+    assert [(ascii(t), ascii(got[k]), ascii(w)) for k, (t, w) in enumerate(zip(texts, want, strict=True)) if got[k] != w] == []
+    at = 0
+    for group in same:
+        assert len({got[at + k] for k in range(len(group))}) == 1
+        at += len(group)
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
