@@ -38,6 +38,9 @@ _LOOSE = {
 }
 _DIGIT = re.compile("[0-9]")
 _SPELT_AT = re.compile(r"[\[(] ?at ?[\])]", re.I)
+_SPELT = re.compile(r" ?[\[(] ?(?:at|dot) ?[\])] ?", re.I)
+#: Words that follow "at" in prose and name no host.
+_FUNCTION_WORDS = frozenset("a all an any best both dawn dusk each either every first former her his it its last least most my night no noon once one our present some such that the their them these this those times us what which whom worst your".split())
 _CUES = {
     "for": re.compile(r"\b(?:phone|tel|call|mobile|fax|mail|contact|ssn|social|passport|iban|account|konto|telefon|tél|teléfono|llame)", re.I),
     "against": re.compile(r"\b(?:version|order|invoice|page|isbn|serial|part|price|total|build|chapter|figure|score|sku|ref|table)", re.I),
@@ -94,10 +97,12 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     if kind == "iban":
         value = "".join(str(int(c, 36)) for c in moved if c.isalnum() and c.isascii())
         check = float(int(value) % 97 == 1) if value else 0.0
+    prose = kind == "mail_words" and _SPELT.split(span)[1].lower() in _FUNCTION_WORDS
     return [
         float(EXTRA.index(kind)), len(span), len(digits), len(groups), max(groups, default=0), min(groups, default=0), groups[-1] if groups else 0, groups[0] if groups else 0,
         span.count("."), span.count("-"), span.count(" "), span.count("/"), float("(" in span), check, float(len(set(digits)) <= 2),
         float(bool(_CUES["for"].search(around))), float(bool(_CUES["against"].search(around))), float(before[-1:] in "#$€£=" and bool(before)), float(after[:1] in "%€$" and bool(after)),
+        float(prose),
     ]
 
 
@@ -146,15 +151,32 @@ class BoostedTrees:
         return sigmoid(self.start + self.rate * sum((self._apply(t, x) for t in self.trees), np.zeros(len(x))))
 
 
+_MADE_CUES = (("phone", "call", "tel.", "contact", "ssn", "mobile", "account", "mail"), ("version", "order", "page", "invoice", "build", "ref", "serial", "total"))
+_ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "museum", "online", "product", "then", "matrix", "so")
+
+
+def _spelt_out(rng: random.Random, word, positive: bool) -> str:
+    """An address in words, or prose of the same form: what tells them apart is a function word where the host stands.
+
+    Local parts, brackets, gaps, case and endings are drawn alike for both.
+    """
+    local = rng.choice((word(), f"{word()}.{word()}", f"{word()}_{word()}", f"{word()}-{word()}", f"{word()}{rng.randint(0, 99)}", rng.choice(sorted(_FUNCTION_WORDS))))
+    host = rng.choice((word(), f"{word()}-{word()}", f"{word()}{rng.randint(0, 99)}")) if positive else rng.choice(sorted(_FUNCTION_WORDS))
+    opened, closed = rng.choice(("[]", "()"))
+    gap, inner, case = rng.choice(("", " ")), rng.choice(("", "", " ")), rng.choice((str.lower, str.upper))
+    at, dot = (f"{gap}{opened}{inner}{case(w)}{inner}{closed}{gap}" for w in ("at", "dot"))
+    return f"{local}{at}{host}{dot}{rng.choice(_ENDINGS)}"
+
+
 def _example(rng: random.Random) -> tuple[str, int]:
     """A made text and whether its candidate is personal data."""
     n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9)))
     positive = rng.random() < 0.5
     kind = rng.choice(("mail", "phone", "id", "iban"))
-    cues = ("phone", "call", "tel.", "contact", "ssn", "mobile", "account", "mail") if positive else ("version", "order", "page", "invoice", "build", "ref", "serial", "total")
+    cues = _MADE_CUES[0] if positive else _MADE_CUES[1]
     if kind == "mail":
-        span = f"{word()}.{word()} [at] {word()} [dot] com" if positive else f"{word()} (at) {word()} (dot) {word()}"
+        span = _spelt_out(rng, word, positive)
     elif kind == "phone":
         sep = rng.choice(" -")
         span = rng.choice((f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"0{n(3)}{sep}{n(3)}{sep}{n(4)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}"))
@@ -166,6 +188,8 @@ def _example(rng: random.Random) -> tuple[str, int]:
         body = f"{n(4)}{n(4)}{n(4)}{n(4)}"
         check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
         span = f"DE{check:02d}{body}" if positive else f"{rng.choice(('AB', 'XK', 'QR'))}{n(2)} {n(4)} {n(4)}"
+    if kind == "mail":
+        cues = (*_MADE_CUES[0], *_MADE_CUES[1])
     cue = rng.choice(cues) if rng.random() < 0.8 else word()
     return f"{word()} {word()} {cue} {span} {word()} {word()}", int(positive)
 

@@ -331,6 +331,20 @@ def test_pii(spark):
         assert pii._emails(t) == [m.span() for m in pattern.finditer(t)]
 
 
+def test_pii_finds_addresses_in_words():
+    model = pii.detector()
+    kinds = lambda t: [k for *_, k in model.spans(t)[1]]
+    for opened, closed in ("()", "[]"):
+        for local in ("john", "john.smith", "j_smith", "js77"):
+            for ending in ("com", "org", "de", "photography"):
+                for gap in (" ", ""):
+                    span = f"{local}{gap}{opened}at{closed}{gap}example{gap}{opened}dot{closed}{gap}{ending}"
+                    for text in (f"mail {span} today", f"the answer was {span} as we said", f"page 7 has {span} below", span):
+                        assert kinds(text) == ["mail_words"], text
+        for text in ("meet us {0}at{1} noon {0}dot{1} then", "mail me {0}at{1} once {0}dot{1} com"):
+            assert kinds(text.format(opened, closed)) == []
+
+
 def test_secrets(spark):
     rng = random.Random(8)
     texts = ["token=abcdef1234", "PassWord : 'x'", "password= token:abcdefgh", "AKIA" + "A" * 16, "AKIA" + "A" * 15, "é ab" * 3 + "0123456789abcdef01234567", None, "", "api_key = \"s3cr3tvalue\" and secret: zzzzzz", "ghp_" + "Zk" * 18]
