@@ -132,7 +132,8 @@ def q_total_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = slot_words(spark, sf_dir).groupBy(F.slice("words", 1, 1).alias("w")).agg(F.count("*").alias("n"))
+    """Vectors, different ones and the share of pairs whose whole vectors are equal."""
+    c = slot_words(spark, sf_dir).groupBy("words").agg(F.count("*").alias("n"))
     return c.agg(F.sum("n").alias("vectors"), F.count("*").alias("different"), F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("pairs")).select(
         "vectors", "different", F.round(F.col("pairs") / (F.col("vectors") * (F.col("vectors") - 1) / 2), 9).alias("rate")
     )

@@ -55,6 +55,14 @@ def test_lattices(spark):
     assert value(spark, quaternary.hamming(F.array(F.lit(0b0110)), F.array(F.lit(0b1101)))) == 2
 
 
+def test_collisions_compare_whole_vectors(spark, tmp_path):
+    x = [[0.2] * 64 for _ in range(4)]
+    x[1][40], x[2][3] = -0.2, -0.2
+    rows = spark.createDataFrame([(k, 0, v) for k, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert tuple(quaternary.q_collisions(spark, str(tmp_path)).first()) == (4, 3, round(1 / 6, 9))
+
+
 def test_gates(spark):
     g = lambda t, c, positive=True: round(value(spark, graph.gate_factor(F.lit(t), F.lit(c), positive)), 6)
     assert [g("CONTRADICTION", 0.9), g("TRUE", 0.3), g("UNKNOWN", 0.75), g("FALSE", 0.9)] == [0, 1, 0.75, 0]
