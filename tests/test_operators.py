@@ -1,5 +1,7 @@
 import json
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,36 @@ def test_pagerank_sums_to_one(spark):
     assert abs(graph.personalized_pagerank(edges, seeds, 3).agg(F.sum("score")).first()[0] - 1) < 1e-9
 
 
+def power(pairs, start, rounds):
+    nodes = sorted({n for s, d, _ in pairs for n in (s, d)} | {start})
+    at = {n: k for k, n in enumerate(nodes)}
+    t, p0 = np.zeros((len(nodes), len(nodes))), np.zeros(len(nodes))
+    for s, d, p in pairs:
+        t[at[d], at[s]] = p
+    p0[at[start]] = 1.0
+    score = p0
+    for _ in range(rounds):
+        v = t @ score
+        score = 0.85 * v + (0.15 + 0.85 * (1 - v.sum())) * p0
+    return dict(zip(nodes, score, strict=True))
+
+
+def test_pagerank_runs_to_its_tolerance(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 0.5), ("c", "a", 0.7), ("c", "d", 0.2)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0)], "node string, weight double")
+    want = power([tuple(r) for r in graph.transition(edges).collect()], "a", 500)
+    got = {r["node"]: r["score"] for r in graph.personalized_pagerank(edges, seeds, 50, tolerance=1e-6).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_pagerank_query_runs_twenty_rounds(spark):
+    sf = "/root/testdata/sf0.001"
+    want = power([tuple(r) for r in graph.transition(graph.edges_of(spark, sf)).select("src", "dst", "p").collect()], "R:0", 20)
+    got = {r["node"]: r["score"] for r in graph.q_ppr(spark, sf).collect()}
+    assert all(abs(got.get(n, 0.0) - v) < 2e-6 for n, v in want.items()) and set(got) <= set(want)
+
+
 def test_clock_times(spark):
     cases = {"10:30 AM": 10.5, "12:00 AM": 0.0, "2:00 pm": 14.0, "14:30": 14.5, "at dawn": 6.0, "": None, "noon": 12.0, "in the afternoon": None}
     for raw, hours in cases.items():
