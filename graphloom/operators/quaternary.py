@@ -164,6 +164,7 @@ QUERIES = {
     "total_correlation": q_total_correlation,
     "collision_rate": q_collisions,
     "pairwise_mi": lambda s, d: pairwise_information(slots(s, d)),
+    "pairwise_mi_full": lambda s, d: pairwise_information(slots(s, d), 1 << 30),
     "mrmr_step": q_mrmr,
 }
 
@@ -188,6 +189,8 @@ SELECT slot, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(
 m AS (SELECT round(sum(h), 4) AS marginal FROM h) SELECT marginal, round(j, 4) AS joint, round(greatest(marginal - j, 0.0), 3) AS total_correlation FROM m, j""",
     "collision_rate": f"WITH {_S}, v AS (SELECT list(v ORDER BY slot) AS w FROM s WHERE slot < 32 GROUP BY id), c AS (SELECT w, count(*) AS n FROM v GROUP BY w) SELECT CAST(sum(n) AS BIGINT) AS vectors, count(*) AS different, round(sum(n * (n - 1) / 2) / (sum(n) * (sum(n) - 1) / 2), 9) AS rate FROM c",
     "pairwise_mi": f"""WITH {_S}, c AS (SELECT a.slot AS i, b.slot AS j, a.v AS vi, b.v AS vj, count(*) AS c FROM s a JOIN s b ON a.id = b.id AND a.slot < b.slot WHERE a.slot < 32 AND b.slot < 32 GROUP BY ALL),
+w AS (SELECT *, sum(c) OVER (PARTITION BY i, j) AS n, sum(c) OVER (PARTITION BY i, j, vi) AS a, sum(c) OVER (PARTITION BY i, j, vj) AS b FROM c) SELECT i, j, round(sum(c / n * log2(c * n / (a * b))), 6) AS mi FROM w GROUP BY i, j""",
+    "pairwise_mi_full": f"""WITH {_S}, c AS (SELECT a.slot AS i, b.slot AS j, a.v AS vi, b.v AS vj, count(*) AS c FROM s a JOIN s b ON a.id = b.id AND a.slot < b.slot GROUP BY ALL),
 w AS (SELECT *, sum(c) OVER (PARTITION BY i, j) AS n, sum(c) OVER (PARTITION BY i, j, vi) AS a, sum(c) OVER (PARTITION BY i, j, vj) AS b FROM c) SELECT i, j, round(sum(c / n * log2(c * n / (a * b))), 6) AS mi FROM w GROUP BY i, j""",
     "mrmr_step": f"""WITH {_S}, c AS (SELECT slot, v, label, count(*) AS c FROM s GROUP BY ALL), w AS (SELECT *, sum(c) OVER (PARTITION BY slot) AS n, sum(c) OVER (PARTITION BY slot, v) AS a, sum(c) OVER (PARTITION BY slot, label) AS b FROM c),
 m AS (SELECT slot, round(sum(c / n * log2(c * n / (a * b))), 6) AS mi FROM w GROUP BY slot) SELECT slot, mi, slot = (SELECT slot FROM m ORDER BY mi DESC, slot LIMIT 1) AS chosen FROM m""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.parsers import CodeNodes, SexprNodes, parse_formula, parse_sexpr, write_sexpr
 from graphloom.operators import graph, kb, metrics, quaternary, resolve, retrieval, spatial, temporal, text
+from graphloom.plans import registry
 from graphloom.sources import stores
 from graphloom.streaming import windows
 
@@ -65,6 +66,13 @@ def test_collisions_compare_whole_vectors(spark, tmp_path):
     assert tuple(quaternary.q_collisions(spark, str(tmp_path)).first()) == (4, 3, round(1 / 6, 9))
 
 
+def test_information_of_all_slot_pairs(spark, tmp_path):
+    x = [[0.2 if (k >> s % 3) & 1 else -0.2 for s in range(64)] for k in range(8)]
+    spark.createDataFrame([(k, 0, v) for k, v in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["i"], r["j"]): r["mi"] for r in registry.QUERIES["pairwise_mi_full"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j): float((j - i) % 3 == 0) for i in range(64) for j in range(i + 1, 64)}
+
+
 def test_gates(spark):
     g = lambda t, c, positive=True: round(value(spark, graph.gate_factor(F.lit(t), F.lit(c), positive)), 6)
     assert [g("CONTRADICTION", 0.9), g("TRUE", 0.3), g("UNKNOWN", 0.75), g("FALSE", 0.9)] == [0, 1, 0.75, 0]
