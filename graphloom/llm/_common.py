@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,15 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a Python worker's memory doesn't grow with the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Keep Arrow batches small, so that a Python worker's memory doesn't grow with the texts.
+
+    Spark reads both settings when a plan runs, so they stay set in the session; smaller ones of the caller are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)):
+        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a session inside one process (master local) makes a temporary one; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -50,36 +61,72 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared scratch folder and read it again.
 
     This cuts the lineage: a lost executor costs a re-read of the file, and what a task decided
-    (such as its row numbers) is fixed from here on.  The files go when the Python process ends.
+    (such as its row numbers) is fixed from here on.  The files go with `discard`, or when the Python
+    process ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     spark.sparkContext._jvm.System.gc()  # shuffle files of the finished job go when the JVM notices that nothing refers to them
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.scratch_path)
+
+
+#: A key that holds more rows than this share of a table is hot; so there are at most as many hot keys as this number, and they can be broadcast.
+HOT_KEYS = 10_000
+#: Rows of a key that are never too many for a task.
+HOT_ROWS = 200
+
+
+def join_skewed(many: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
+    """Inner join of many with one, whose keys are unique, that gathers no key's rows in a task.
+
+    many should be a written table: its keys are counted first.  The rows of `one` for keys with more than
+    max(HOT_ROWS, rows / HOT_KEYS) rows, HOT_KEYS of them at most, are broadcast to where their partners
+    lie; the other keys are shuffled.
+    """
+    counted = many.groupBy(*key).agg(F.count("*").alias("_n"))
+    total = many.count()
+    if total <= HOT_ROWS:
+        return many.join(one, key)
+    hot = materialise(counted.where(F.col("_n") > max(HOT_ROWS, total // HOT_KEYS)).join(one, key).drop("_n"), "hot")
+    if hot.isEmpty():
+        return many.join(one, key)
+    columns = [*many.columns, *(c for c in one.columns if c not in key)]
+    near = many.join(F.broadcast(hot), key).select(columns)
+    far = many.join(F.broadcast(hot.select(*key)), key, "left_anti").join(one, key).select(columns)
+    return near.unionByName(far)
 
 
-#: Size of a key filter.  It doesn't grow with the data: fuller filters let more rows through, never fewer.
-FILTER_BITS = 1 << 26
+#: Bits of a key filter: about 32 for each key, between these bounds.  At the upper one (128 MB) fuller filters let more rows through, never fewer.
+FILTER_BITS = (1 << 20, 1 << 30)
 
 
 def key_filter(keys: DataFrame) -> Broadcast:
-    """A bitmap of fixed size (8 MB) of the long column key, for `may_contain` in the tasks.
+    """A bitmap of the long column key of a written table, for `may_contain` in the tasks; its size follows the number of rows up to a bound.
 
     The bits are combined by word on the executors; the driver gets the words that aren't zero.
     """
-    bit = F.pmod(F.col("key"), F.lit(FILTER_BITS))
-    words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}L) & 63 as int))").alias("b"))
+    size = min(max(FILTER_BITS[0], 1 << (32 * keys.count()).bit_length()), FILTER_BITS[1])
+    bit = F.pmod(F.col("key"), F.lit(size))
+    words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {size}L) & 63 as int))").alias("b"))
+    bitmap = np.zeros(size // 64, np.int64)
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
     bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy()
     return keys.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
 
 
 def may_contain(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys (64-bit) the filter may hold."""
-    bit = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    bit = keys.view(np.uint64) & np.uint64(8 * len(bitmap) - 1)
     return bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import materialise
+from graphloom.llm._common import discard, join_skewed, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: the neighbours of each node (larger ones, or smaller ones and itself) move to its smallest neighbour.
 
-    Minima are pre-aggregated and joined back, so a node with many neighbours is never gathered in one place.
+    Minima are pre-aggregated where the edges lie.  A node with very many neighbours is never gathered in
+    one task: its minimum is broadcast to its edges (`join_skewed`).
     """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = both.join(least, "a")
+    moved = join_skewed(both, least, ["a"])
     if large:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -26,14 +27,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node that has an edge; edges: a, b (long).  label is the smallest node of the component.
 
-    Self-loops, repeated edges and nulls don't matter.  Every round is written to the shared scratch
-    folder; the number of rounds follows the logarithm of the longest path.
+    Self-loops, repeated edges and nulls don't matter.  Every step is written to the shared scratch
+    folder, and the one before it deleted; the number of rounds follows the logarithm of the longest path.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialise(now, "edges")
     state = None
     while True:
-        now = materialise(_star(_star(now, large=True), large=False), "edges")
+        for large in (True, False):
+            before, now = now, materialise(_star(now, large), "edges")
+            discard(before)
         done = now.agg(F.count("*"), F.sum(F.shiftrightunsigned(F.xxhash64("a", "b"), 24))).first()
         if done == state:
             break

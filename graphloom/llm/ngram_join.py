@@ -26,7 +26,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import bounded_batches, key_filter, materialise, may_contain, slices, table, texts
+from graphloom.llm._common import bounded_batches, discard, join_skewed, key_filter, materialise, may_contain, slices, table, texts
 from graphloom.llm._words import LOWER, NOT_SPACE, grams, mix, words_of
 from graphloom.llm.components import components
 
@@ -108,24 +108,25 @@ def _prefix(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _keys(frequent: Broadcast, only: Broadcast | None):
-    """key, node for the prefix of every set (of the keys in the filter `only`); a set comes once a task (but for what a full memory forgets)."""
+    """key, node, n (shingles of the set) for the prefix of every set (of the keys in the filter `only`); a set comes once a task (but for what a full memory forgets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, off, h in shingle_sets(batch.column(1)):
-                keys, nodes = [], []
+                keys, nodes, sizes = [], [], []
                 for a, b in zip(off[:-1], off[1:], strict=True):
                     if a < b and (node := digest(h[a:b])) not in seen:
                         seen.add(node)
                         keys.append(_prefix(h[a:b], frequent.value))
                         nodes.append(np.full(len(keys[-1]), node, np.int64))
+                        sizes.append(np.full(len(keys[-1]), b - a, np.int32))
                 if keys:
-                    key, node = np.concatenate(keys), np.concatenate(nodes)
+                    key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
                     if only is not None:
                         use = may_contain(only.value, key)
-                        key, node = key[use], node[use]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
+                        key, node, size = key[use], node[use], size[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(size)], ["key", "node", "n"])
                 if len(seen) > 500_000:
                     seen.clear()
 
@@ -355,26 +356,32 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = materialise(rows.mapInArrow(_based, "doc_id long, n long, node long"), "members")
     loud = rows.mapInArrow(_sketched, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 16")
     frequent = np.zeros(SKETCH, bool)
-    frequent[[r["key"] for r in loud.select("key").collect()]] = True  # counters, of which there are SKETCH
+    frequent[loud.select("key").toArrow().column("key").to_numpy()] = True  # counters, of which there are SKETCH
     frequent = spark.sparkContext.broadcast(frequent)
-    counted = rows.mapInArrow(_keys(frequent, None), "key long, node long").groupBy("key").agg(F.count("*").alias("n"))
-    repeated = key_filter(counted.where("n > 1").select("key"))
-    keyed = materialise(rows.mapInArrow(_keys(frequent, repeated), "key long, node long"), "keys")
-    lists = keyed.groupBy("key").agg(F.count("*").alias("sets"), *_list_digest("node")).where("lo < hi")
-    chosen = materialise(lists.groupBy("sets", "s1", "s2", "lo", "hi").agg(F.min("key").alias("key")).select("key", "sets"), "chosen")
-    near = keyed.mapInArrow(_filtered(key_filter(chosen.select("key"))), "key long, node long")  # before the join shuffles it
+    kind = "key long, node long, n int"
+    counted = rows.mapInArrow(_keys(frequent, None), kind).groupBy("key").agg(F.count("*").alias("k"))
+    repeated = materialise(counted.where("k > 1").select("key"), "repeated")
+    keyed = materialise(rows.mapInArrow(_keys(frequent, key_filter(repeated)), kind), "keys")
+    lists = keyed.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), *_list_digest("node")).where("lo < hi")
+    chosen = lists.groupBy("sets", "s1", "s2", "lo", "hi").agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
+    chosen = materialise(chosen.select("key", "sets", "shingles"), "chosen")
+    near = keyed.select("key", "node").mapInArrow(_filtered(key_filter(chosen)), "key long, node long")  # before the join shuffles it
     met = materialise(near.join(chosen, "key"), "met")
-    signed = rows.mapInArrow(_fetched(key_filter(met.select(F.col("node").alias("key"))), bitmap), "node long, n long, data binary")
+    nodes = materialise(met.select(F.col("node").alias("key")).distinct(), "nodes")
+    signed = rows.mapInArrow(_fetched(key_filter(nodes), bitmap), "node long, n long, data binary")
     signed = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("bits"))
-    groups = _in_blocks(met.join(signed, "node"), F.ceil(F.col("sets") / BLOCK_SETS)).select("key", "pair", "node", "n", "bits", "side")
+    # a set's bitmap has at most half a byte for each of its shingles
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / (2 * BLOCK_BYTES)))
+    groups = _in_blocks(met.join(signed, "node"), blocks).select("key", "pair", "node", "n", "bits", "side")
     ordered = groups.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    loose = components(ordered.mapInArrow(_loose, "a long, b long")).withColumnRenamed("label", "cluster")
-    first = materialise(members.where("n > 0").select("node", "n").distinct().join(loose, "node"), "clusters")
+    loose = materialise(components(ordered.mapInArrow(_loose, "a long, b long")).withColumnRenamed("label", "cluster"), "loose")
+    discard(repeated, keyed, chosen, met, nodes)
+    first = materialise(members.where("n > 0").groupBy("node").agg(F.first("n").alias("n")).join(loose, "node"), "clusters")
     sizes = first.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     sets = rows.mapInArrow(_fetched(key_filter(first.select(F.col("node").alias("key"))), _packed), "node long, n long, data binary")
     sets = sets.join(first.select("node"), "node", "left_semi").groupBy("node").agg(F.first("data").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") * 8 / BLOCK_BYTES))
-    pairs = _in_blocks(first.join(sizes, "cluster"), blocks).select("cluster", "pair", "node", "side").join(sets, "node").select("cluster", "pair", "node", "shingles", "side")
+    pairs = _in_blocks(join_skewed(first, sizes, ["cluster"]), blocks).select("cluster", "pair", "node", "side").join(sets, "node").select("cluster", "pair", "node", "shingles", "side")
     links = pairs.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(_verified, "a long, b long")
     return members, links
 
@@ -388,11 +395,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     members, links = similar_sets(docs, id_col, text_col)
     labels = components(links)
-    labelled = members.where("n > 0").join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", F.col("node")).alias("label"))
-    # the id of a component: pre-aggregated by set, so a set with many copies is one row a task
-    least = labelled.groupBy("node", "label").agg(F.min("doc_id").alias("doc_id")).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    nodes = labelled.select("node", "label").distinct().join(least, "label").select("node", "component_id")
-    found = members.where("n > 0").join(nodes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # one row a set first, pre-aggregated where the rows lie: a set with many copies is one row a task
+    sets = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(labels, "node", "left")
+    sets = materialise(sets.select("node", "doc_id", F.coalesce("label", F.col("node")).alias("label")), "sets")
+    least = sets.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    nodes = materialise(join_skewed(sets, least, ["label"]).select("node", "component_id"), "components")
+    found = join_skewed(members.where("n > 0"), nodes, ["node"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    discard(sets)
     return found.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
