@@ -21,15 +21,15 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import bounded_batches, key_filter, materialise, may_contain, slices, table, texts
+from graphloom.llm._common import bounded_batches, discard, join_skewed, key_filter, materialise, may_contain, slices, table, texts
 from graphloom.llm._words import EXACT, NOT_SPACE, Words, mix, words_of
 from graphloom.llm.automaton import SuffixAutomaton
 
 WINDOW = 13
 #: Words of an anchor.
 GRAM = 7
-#: Texts that meet at one anchor before its windows become shards of their own.
-SHARD_TEXTS = 5000
+#: Texts that one shard holds the passages of; an anchor met in more of them has several shards, by a second hash.
+SHARD_TEXTS = 1000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,9 +73,11 @@ def _met(first: Broadcast):
     return run
 
 
-def _passages(first: Broadcast, shared: Broadcast, hot: Broadcast, combine: bool):
+def _passages(first: Broadcast, shared: Broadcast, hot: Broadcast, shards: int, combine: bool):
     """doc_id, node, start, key, wh, size, words (packed hashes): passages of first copies around anchors that other texts have too.
 
+    key is the shard: the anchor's own, or for an anchor in `hot` one of `shards`, which each window of a
+    passage chooses by its hash (equal windows choose alike).
     combine: each different passage once, with the smallest doc_id of those that this task has seen since its
     memory was last emptied; else every passage, without its words.
     """
@@ -109,7 +111,7 @@ def _passages(first: Broadcast, shared: Broadcast, hot: Broadcast, combine: bool
                     for p, q in [(w, w + 1) for w in range(x, y)] if single else [(x, y)]:
                         packed = words.hash[start[p] : start[q - 1] + WINDOW].tobytes()
                         wh = int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
-                        shard = wh if single else int(key[x].view(np.int64))
+                        shard = int(mix(key[x : x + 1] + np.uint64((wh % shards) + 1))[0].view(np.int64)) if single else int(key[x].view(np.int64))
                         row = (ids[low + d], nodes[low + d], int(start[p] - words.first[d]), shard, wh, q - p)
                         if not combine:
                             out.append(row)
@@ -185,29 +187,34 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A window is 13 consecutive words; it is removed if it also starts in a document with a smaller doc_id.
     Windows are judged on the input.  Null texts have no words.  Rows with a null id are neither compared
     nor changed; rows that share an id don't count as earlier than each other; repeated rows all come back.
-    Texts and words are told apart by 64-bit hashes.  Texts are shuffled once, by doc_id.
+    Texts are told apart by 128 bits and words by 64.  Texts are shuffled once, by doc_id.
 
-    An anchor met in more than shard_texts texts makes a shard of each of its windows, so no shard
-    gathers more than that many passages but those that are equal, and equal ones are aggregated first.
+    shard_texts sets the size of shards alone: an anchor met in more texts than that is spread over
+    several shards, so many that the most frequent anchor has about shard_texts texts in each.  Equal
+    passages are aggregated before they reach a shard.
     """
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("node", F.xxhash64("text", F.octet_length("text")))
     known = rows.where(F.col("doc_id").isNotNull()).withColumn("slot", F.xxhash64("doc_id", "node"))
-    ids = materialise(known.select("doc_id", "node").distinct(), "ids")
-    firsts = ids.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    ids = materialise(known.select("doc_id", "node", F.xxhash64(F.lit("second seed"), "text").alias("twin")).distinct(), "ids")
+    firsts = materialise(ids.groupBy("node", "twin").agg(F.min("doc_id").alias("first_id")), "firsts")
     first = key_filter(firsts.select(F.xxhash64("first_id", "node").alias("key")))
     counted = materialise(known.mapInArrow(_met(first), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     shared, hot = key_filter(counted.select("key")), key_filter(counted.where(F.col("n") > shard_texts).select("key"))
+    most = counted.agg(F.max("n").alias("n")).first()["n"] or 1
+    shards = -(-most // shard_texts)
     narrow = "doc_id long, node long, start long, key long, wh long, size long"
-    different = known.mapInArrow(_passages(first, shared, hot, True), narrow + ", words binary").select("key", "wh", "doc_id", "words")
+    different = known.mapInArrow(_passages(first, shared, hot, shards, True), narrow + ", words binary").select("key", "wh", "doc_id", "words")
     judged = different.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_judged, "key long, wh long, first_id long, bits long")
     whole = (F.pow(F.lit(2.0), F.col("size")) - 1).cast("long")  # a bit for each window
-    windows = known.mapInArrow(_passages(first, shared, hot, False), narrow).withColumn("whole", whole).join(judged, ["key", "wh"])
+    windows = known.mapInArrow(_passages(first, shared, hot, shards, False), narrow).withColumn("whole", whole).join(judged, ["key", "wh"])
     windows = windows.select("doc_id", "node", "start", F.when(F.col("doc_id") > F.col("first_id"), F.col("whole")).otherwise(F.col("bits")).alias("bits")).where("bits <> 0")
     windows = windows.groupBy("doc_id", "node").agg(F.collect_list(F.struct("start", "bits")).alias("windows"))
-    verdict = ids.join(firsts, "node").join(windows, ["doc_id", "node"], "left").select("doc_id", "node", (F.col("doc_id") > F.col("first_id")).alias("copy"), "windows")
-    judged_rows = known.join(verdict.where("copy OR windows IS NOT NULL"), ["doc_id", "node"], "left").select("doc_id", "text", "node", "copy", "windows")
+    copies = join_skewed(ids, firsts, ["node", "twin"]).select("doc_id", "node", (F.col("doc_id") > F.col("first_id")).alias("copy"))
+    verdict = materialise(copies.join(windows, ["doc_id", "node"], "left").where("copy OR windows IS NOT NULL"), "verdict")
+    discard(ids, firsts, counted)
+    judged_rows = known.join(verdict, ["doc_id", "node"], "left").select("doc_id", "text", "node", "copy", "windows")
     loose = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", "node", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<start: long, bits: long>>").alias("windows"))
     return judged_rows.unionByName(loose).mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
 
