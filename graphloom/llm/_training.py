@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows (and unlabelled ones) that a classifier is fitted on at most; taken in the order of a hash of the id.
+#: Labelled rows that a classifier is fitted on at most; taken in the order of a hash of the id.
 SAMPLE_ROWS = 20_000
 
 
@@ -18,11 +18,14 @@ def held_out(doc_id) -> F.Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """text and label (0/1) of at most `rows` labelled documents outside the held-out third.
 
-    The sampled labels are broadcast (rows is their bound), so the documents aren't shuffled.
+    An id that is labelled more than once has its highest label, one with several documents the least of
+    their texts; so `rows` bounds what comes back whatever the tables hold.  The sampled labels are broadcast,
+    and only the sampled documents are shuffled.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out("doc_id"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
+    chosen = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
