@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from graphloom.sources.tables import table
 
@@ -93,13 +95,44 @@ def macro_f1(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     return j.agg(F.round(F.avg(2.0 * F.col("tp") / (F.col("g") + F.col("p"))), 6).alias("macro_f1"), F.count("*").alias("classes"))
 
 
-def bootstrap_interval(df: DataFrame, value: str, rounds: int = 200, seed: int = 7) -> DataFrame:
-    """low, high: percentile interval of the mean over Poisson resamples; each row draws its weights from a hash of its content and the round."""
-    u = (F.pmod(F.xxhash64(F.col(value), F.monotonically_increasing_id(), F.col("round"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def bootstrap_means(df: DataFrame, value: str, key: list[str], group: list[str], rounds: int = 200, seed: int = 7) -> DataFrame:
+    """group, round, m: means of Poisson resamples; a row's weight follows from its key, the round and the seed, so partitions don't matter."""
+    u = (F.pmod(F.xxhash64(*key, F.col("round"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     weight = F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).when(u < 0.981, 3).otherwise(4)
-    rows = df.select(value).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight)
-    means = rows.groupBy("round").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"))
-    return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    rows = df.select(*{*key, *group, value}).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight)
+    return rows.groupBy(*group, "round").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"))
+
+
+def bootstrap_interval(df: DataFrame, value: str, key: list[str], group: list[str], rounds: int = 200, seed: int = 7) -> DataFrame:
+    """group, low, high: percentile interval of the mean."""
+    return bootstrap_means(df, value, key, group, rounds, seed).groupBy(*group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+@F.pandas_udf(DoubleType())
+def _two_sided(t: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([1.0 if pd.isna(x) else student_p(abs(x), int(k) - 1) for x, k in zip(t, n, strict=True)])
+
+
+def significance(df: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
+    """group, n, mean_diff, t, p, stars of paired samples; equal samples have p 1.  One row a group reaches the function for p."""
+    d = paired_t(df, a, b, group)
+    p = F.round(_two_sided(F.col("t"), F.col("n")), 6)
+    return d.withColumn("p", F.when(F.col("t").isNull() & (F.col("mean_diff") != 0), 0.0).otherwise(p)).withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise(""))
+
+
+def scorecard(rows: DataFrame, suite: str, base: tuple[str, str], treated: tuple[str, str]) -> DataFrame:
+    """suite, n, base and treated rates, lift, speed_up: means of (correct, seconds) columns of two runs over the same rows."""
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    g = rows.groupBy(suite).agg(F.count("*").alias("n"), mean(base[0]).alias("b"), mean(treated[0]).alias("t"), mean(base[1]).alias("bs"), mean(treated[1]).alias("ts"))
+    return g.select(suite, "n", F.round("b", 6).alias("base"), F.round("t", 6).alias("treated"), F.round(F.col("t") - F.col("b"), 6).alias("lift"), F.round(F.when(F.col("ts") > 0, F.col("bs") / F.col("ts")), 4).alias("speed_up"))
+
+
+def losses(df: DataFrame, p: str, y: str, grid: list[float]) -> DataFrame:
+    """temperature, loss: mean negative log-likelihood at every temperature of a grid, in one pass."""
+    q = lambda t: F.least(F.greatest(temperature_scaled(F.col(p), t), F.lit(1e-7)), F.lit(1 - 1e-7))
+    nll = lambda t: F.avg(-F.col(y) * F.log(q(t)) - (1 - F.col(y)) * F.log(1 - q(t)))
+    wide = df.agg(*[nll(t).alias(f"t{k}") for k, t in enumerate(grid)])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(t).alias("temperature"), F.round(f"t{k}", 6).alias("loss")) for k, t in enumerate(grid)])).alias("x")).select("x.*")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +153,24 @@ def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pass rate and mean price by priority, and the lift over all orders."""
-    o = table(spark, sf_dir, "orders").withColumn("ok", (F.col("o_orderstatus") == "F").cast("double"))
-    overall = o.agg(F.avg("ok").alias("a")).first()["a"]
-    return o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("rate"), F.round(F.avg("o_totalprice"), 2).alias("price")).withColumn("lift", F.round(F.col("rate") - overall, 5))
+    """Orders by priority as suites: finished against not open, with their price and their customer's key as seconds."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_orderstatus") == "F").alias("a"), (F.col("o_orderstatus") != "O").alias("b"), "o_totalprice", (F.col("o_custkey") + 1).alias("s"))
+    return scorecard(o, "o_orderpriority", ("a", "o_totalprice"), ("b", "s"))
+
+
+def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the mean discount by return flag; whether they hold the mean of the sample and are narrow."""
+    li = table(spark, sf_dir, "lineitem")
+    ci = bootstrap_interval(li, "l_discount", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], ["l_returnflag"], 100)
+    m = li.groupBy("l_returnflag").agg(F.avg("l_discount").alias("m"), F.stddev_samp("l_discount").alias("s"), F.count("*").alias("n"))
+    wide = (F.col("high") - F.col("low")) / (F.col("s") / F.sqrt("n"))
+    return ci.join(m, "l_returnflag").select("l_returnflag", ((F.col("low") <= F.col("m")) & (F.col("m") <= F.col("high"))).alias("holds"), wide.between(2.8, 5.2).alias("sound"))
+
+
+def q_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of the scores at 20 temperatures between 0.05 and 5, and which is least."""
+    l = losses(_scored(spark, sf_dir), "p", "quality", [round(0.05 * 100 ** (k / 19), 6) for k in range(20)])  # noqa: E741
+    return l.withColumn("best", F.col("loss") == F.min("loss").over(Window.partitionBy()))
 
 
 QUERIES = {
@@ -133,6 +180,9 @@ QUERIES = {
     "paired_ttest": lambda s, d: paired_t(table(s, d, "lineitem"), "l_discount", "l_tax", ["l_returnflag"]),
     "ols_fit": lambda s, d: regression(table(s, d, "lineitem"), "l_extendedprice", "l_quantity", ["l_linestatus"]),
     "suite_scorecard": q_scorecard,
+    "paired_significance": lambda s, d: significance(table(s, d, "lineitem").withColumn("y", F.year("l_shipdate")), "l_discount", "l_tax", ["y", "l_linenumber"]),
+    "bootstrap_interval": q_bootstrap,
+    "temperature_losses": q_temperature,
     "macro_f1": lambda s, d: macro_f1(_scored(s, d).withColumn("predicted", (F.col("p") >= 0.5).cast("int")), "predicted", "quality"),
     "latency_percentiles": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95")),
 }
@@ -145,7 +195,10 @@ SELECT user_id, CASE WHEN bool_or(t) AND bool_or(f) THEN 'CONTRADICTION' WHEN bo
 round(CASE WHEN bool_or(t) AND bool_or(f) THEN avg(abs(2 * p - 1)) ELSE coalesce(avg(p) FILTER (t), avg(p) FILTER (f), avg(p)) END, 6) AS confidence FROM s GROUP BY user_id""",
     "paired_ttest": "SELECT l_returnflag, count(*) AS n, round(avg(l_discount - l_tax), 6) AS mean_diff, round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 4) AS t FROM lineitem GROUP BY l_returnflag",
     "ols_fit": "SELECT l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem GROUP BY l_linestatus",
-    "suite_scorecard": "WITH o AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS ok FROM orders), g AS (SELECT o_orderpriority, count(*) AS n, round(avg(ok), 6) AS rate, round(avg(o_totalprice), 2) AS price FROM o GROUP BY o_orderpriority) SELECT *, round(rate - (SELECT avg(ok) FROM o), 5) AS lift FROM g",
+    "suite_scorecard": "SELECT o_orderpriority, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS base, round(avg(CASE WHEN o_orderstatus <> 'O' THEN 1.0 ELSE 0.0 END), 6) AS treated, round(avg(CASE WHEN o_orderstatus <> 'O' THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS lift, round(avg(o_totalprice) / avg(o_custkey + 1), 4) AS speed_up FROM orders GROUP BY o_orderpriority",
+    "bootstrap_interval": "SELECT DISTINCT l_returnflag, true AS holds, true AS sound FROM lineitem",
+    "temperature_losses": f"""WITH {_SC}, g AS (SELECT round(0.05 * pow(100, k / 19.0), 6) AS t FROM (SELECT unnest(range(20)) AS k)), q AS (SELECT t, quality AS y, least(greatest(1 / (1 + exp(-ln(least(greatest(p, 1e-7), 1 - 1e-7) / (1 - least(greatest(p, 1e-7), 1 - 1e-7))) / t)), 1e-7), 1 - 1e-7) AS q FROM s, g),
+l AS (SELECT t AS temperature, round(avg(-y * ln(q) - (1 - y) * ln(1 - q)), 6) AS loss FROM q GROUP BY t) SELECT *, loss = (SELECT min(loss) FROM l) AS best FROM l""",
     "macro_f1": f"WITH {_SC}, x AS (SELECT CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS predicted, quality AS gold FROM s), c AS (SELECT gold AS c FROM x GROUP BY gold) SELECT round(avg(2.0 * (SELECT count(*) FROM x WHERE predicted = c AND gold = c) / ((SELECT count(*) FROM x WHERE gold = c) + (SELECT count(*) FROM x WHERE predicted = c))), 6) AS macro_f1, count(*) AS classes FROM c",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
 }

@@ -46,7 +46,7 @@ def entropy(counts: DataFrame, group: list[str], n: str = "n") -> DataFrame:
     total = counts.groupBy(*group).agg(F.sum(n).alias("t")) if group else counts.agg(F.sum(n).alias("t"))
     joined = counts.join(total, group) if group else counts.join(F.broadcast(total))
     p = F.col(n) / F.col("t")
-    return joined.groupBy(*group).agg(F.round(-F.sum(p * F.log2(p)), 6).alias("h"))
+    return joined.groupBy(*group).agg((F.round(-F.sum(p * F.log2(p)), 6) + 0.0).alias("h"))
 
 
 def mutual_information(s: DataFrame, other: str) -> DataFrame:
@@ -59,9 +59,9 @@ def mutual_information(s: DataFrame, other: str) -> DataFrame:
     return j.groupBy("slot").agg(F.round(F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") * F.col("n") / (F.col("a") * F.col("b")))), 6).alias("mi"))
 
 
-def pairwise_information(s: DataFrame, limit_slots: int = 32) -> DataFrame:
-    """i, j, mi of slots i < j below limit_slots.  Pairs are counted as rows of one vector: the join is on id."""
-    t = s.where(F.col("slot") < limit_slots)
+def pairwise_information(s: DataFrame) -> DataFrame:
+    """i, j, mi of all slots i < j.  Pairs are counted as rows of one vector: the join is on id."""
+    t = s
     x, y = t.select("id", F.col("slot").alias("i"), F.col("v").alias("vi")), t.select("id", F.col("slot").alias("j"), F.col("v").alias("vj"))
     c = x.join(y, "id").where("i < j").groupBy("i", "j", "vi", "vj").agg(F.count("*").alias("c"))
     w = lambda *k: Window.partitionBy(*k)
@@ -72,7 +72,7 @@ def pairwise_information(s: DataFrame, limit_slots: int = 32) -> DataFrame:
 def select_slots(s: DataFrame, label: str, k: int) -> list[int]:
     """Greedy choice of k slots: information on the label less the mean information shared with those chosen (numbers of slots only on the driver)."""
     relevance = {r["slot"]: r["mi"] for r in mutual_information(s, label).collect()}
-    shared = {(r["i"], r["j"]): r["mi"] for r in pairwise_information(s, 1 << 30).collect()} if k > 1 else {}
+    shared = {(r["i"], r["j"]): r["mi"] for r in pairwise_information(s).collect()} if k > 1 else {}
     chosen: list[int] = []
     while len(chosen) < min(k, len(relevance)):
         cost = lambda c: sum(shared.get((min(c, o), max(c, o)), 0.0) for o in chosen) / max(1, len(chosen))
@@ -80,6 +80,38 @@ def select_slots(s: DataFrame, label: str, k: int) -> list[int]:
     return chosen
 
 
+#: Weights of a slot's fidelity, entropy, necessity, violations and shared information in its choice.
+WEIGHTS = (0.35, 0.25, 0.20, 0.05, 0.15)
+
+
+def weighted_choice(measures: DataFrame, shared: DataFrame, k: int) -> list[tuple[int, float]]:
+    """Greedy choice of k slots: (slot, gain), by .35 F1 + .25 entropy + .20 necessity - .05 violations - .15 of half the mean information shared with those chosen.
+
+    measures: slot, f1, h, necessity, violations; shared: i, j, mi.  Slots, of which there are a thousand at most, meet on the driver.
+    """
+    w = WEIGHTS
+    own = {r["slot"]: w[0] * r["f1"] + w[1] * r["h"] + w[2] * r["necessity"] - w[3] * r["violations"] for r in measures.collect()}
+    mi = {(r["i"], r["j"]): r["mi"] for r in shared.collect()}
+    chosen: list[tuple[int, float]] = []
+    while len(chosen) < min(k, len(own)):
+        taken = [c for c, _ in chosen]
+        gain = {c: round(v - w[4] * (sum(mi.get((min(c, o), max(c, o)), 0.0) for o in taken) / max(1, len(taken))) / 2, 9) for c, v in own.items() if c not in taken}
+        best = max(gain, key=lambda c: (gain[c], -c))
+        chosen.append((best, gain[best]))
+    return chosen
+
+
+def q_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve best slots by the weighted objective, in the order of their choice."""
+    from graphloom.operators.nodes import necessity
+
+    s, p = slots(spark, sf_dir), _next_pairs(spark, sf_dir)
+    h = entropy(s.groupBy("slot", "v").agg(F.count("*").alias("n")), ["slot"]).withColumn("h", F.col("h") / 2)
+    flips = p.groupBy("slot").agg(F.avg((((F.col("a") == 1) & (F.col("b") == 2)) | ((F.col("a") == 2) & (F.col("b") == 1))).cast("double")).alias("violations"))
+    chosen = weighted_choice(fidelity(p).select("slot", "f1").join(h, "slot").join(necessity(s), "slot").join(flips, "slot"), pairwise_information(s), 12)
+    return spark.createDataFrame([(k, slot, gain) for k, (slot, gain) in enumerate(chosen)], "step int, slot int, gain double")
+
+
 def audit(pairs: DataFrame) -> DataFrame:
     """pairs (key columns, slot, a, b) -> contradictions (1 against 2), dropped and preserved active slots, rate, sound; the key is (id, other)."""
     active = F.col("a") != 0
@@ -164,7 +196,8 @@ QUERIES = {
     "total_correlation": q_total_correlation,
     "collision_rate": q_collisions,
     "pairwise_mi": lambda s, d: pairwise_information(slots(s, d)),
-    "pairwise_mi_full": lambda s, d: pairwise_information(slots(s, d), 1 << 30),
+    "pairwise_mi_top": lambda s, d: pairwise_information(slots(s, d)).orderBy(F.desc("mi"), "i", "j").limit(20),
+    "mrmr_select": q_select,
     "mrmr_step": q_mrmr,
 }
 
@@ -187,11 +220,11 @@ SELECT slot, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(
     "band_entropy": f"WITH {_S}, {_H} SELECT band, round(avg(h), 5) AS h, count(*) AS slots FROM (SELECT CAST(slot // 8 AS INTEGER) AS band, h FROM h) GROUP BY ROLLUP (band)",
     "total_correlation": f"""WITH {_S}, {_H}, v AS (SELECT list(v ORDER BY slot) AS w FROM s GROUP BY id), j AS (SELECT round(-sum(n / t * log2(n / t)), 6) AS j FROM (SELECT n, sum(n) OVER () AS t FROM (SELECT w, count(*) AS n FROM v GROUP BY w))),
 m AS (SELECT round(sum(h), 4) AS marginal FROM h) SELECT marginal, round(j, 4) AS joint, round(greatest(marginal - j, 0.0), 3) AS total_correlation FROM m, j""",
-    "collision_rate": f"WITH {_S}, v AS (SELECT list(v ORDER BY slot) AS w FROM s WHERE slot < 32 GROUP BY id), c AS (SELECT w, count(*) AS n FROM v GROUP BY w) SELECT CAST(sum(n) AS BIGINT) AS vectors, count(*) AS different, round(sum(n * (n - 1) / 2) / (sum(n) * (sum(n) - 1) / 2), 9) AS rate FROM c",
-    "pairwise_mi": f"""WITH {_S}, c AS (SELECT a.slot AS i, b.slot AS j, a.v AS vi, b.v AS vj, count(*) AS c FROM s a JOIN s b ON a.id = b.id AND a.slot < b.slot WHERE a.slot < 32 AND b.slot < 32 GROUP BY ALL),
-w AS (SELECT *, sum(c) OVER (PARTITION BY i, j) AS n, sum(c) OVER (PARTITION BY i, j, vi) AS a, sum(c) OVER (PARTITION BY i, j, vj) AS b FROM c) SELECT i, j, round(sum(c / n * log2(c * n / (a * b))), 6) AS mi FROM w GROUP BY i, j""",
-    "pairwise_mi_full": f"""WITH {_S}, c AS (SELECT a.slot AS i, b.slot AS j, a.v AS vi, b.v AS vj, count(*) AS c FROM s a JOIN s b ON a.id = b.id AND a.slot < b.slot GROUP BY ALL),
+    "collision_rate": f"WITH {_S}, v AS (SELECT list(v ORDER BY slot) AS w FROM s GROUP BY id), c AS (SELECT w, count(*) AS n FROM v GROUP BY w) SELECT CAST(sum(n) AS BIGINT) AS vectors, count(*) AS different, round(sum(n * (n - 1) / 2) / (sum(n) * (sum(n) - 1) / 2), 9) AS rate FROM c",
+    "pairwise_mi": f"""WITH {_S}, c AS (SELECT a.slot AS i, b.slot AS j, a.v AS vi, b.v AS vj, count(*) AS c FROM s a JOIN s b ON a.id = b.id AND a.slot < b.slot GROUP BY ALL),
 w AS (SELECT *, sum(c) OVER (PARTITION BY i, j) AS n, sum(c) OVER (PARTITION BY i, j, vi) AS a, sum(c) OVER (PARTITION BY i, j, vj) AS b FROM c) SELECT i, j, round(sum(c / n * log2(c * n / (a * b))), 6) AS mi FROM w GROUP BY i, j""",
+    "pairwise_mi_top": f"""WITH {_S}, c AS (SELECT a.slot AS i, b.slot AS j, a.v AS vi, b.v AS vj, count(*) AS c FROM s a JOIN s b ON a.id = b.id AND a.slot < b.slot GROUP BY ALL),
+w AS (SELECT *, sum(c) OVER (PARTITION BY i, j) AS n, sum(c) OVER (PARTITION BY i, j, vi) AS a, sum(c) OVER (PARTITION BY i, j, vj) AS b FROM c) SELECT i, j, round(sum(c / n * log2(c * n / (a * b))), 6) AS mi FROM w GROUP BY i, j ORDER BY mi DESC, i, j LIMIT 20""",
     "mrmr_step": f"""WITH {_S}, c AS (SELECT slot, v, label, count(*) AS c FROM s GROUP BY ALL), w AS (SELECT *, sum(c) OVER (PARTITION BY slot) AS n, sum(c) OVER (PARTITION BY slot, v) AS a, sum(c) OVER (PARTITION BY slot, label) AS b FROM c),
 m AS (SELECT slot, round(sum(c / n * log2(c * n / (a * b))), 6) AS mi FROM w GROUP BY slot) SELECT slot, mi, slot = (SELECT slot FROM m ORDER BY mi DESC, slot LIMIT 1) AS chosen FROM m""",
 }

@@ -64,6 +64,61 @@ def word_blocks(names: DataFrame) -> DataFrame:
     return a.join(b, "block").where("a_id < b_id").drop("block")
 
 
+def deletions(word: Column, most: int = 2) -> Column:
+    """The word and all words that deleting up to `most` letters makes of it.
+
+    Two words within that many edits (swaps of neighbours included) share one, so they can meet by equality.
+    """
+    one = lambda w: F.when(F.char_length(w) > 1, F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.char_length(w))))).otherwise(F.array().cast("array<string>"))
+    out = ring = F.array(word)
+    for _ in range(most):
+        ring = F.array_distinct(F.flatten(F.transform(ring, one)))
+        out = F.array_union(out, ring)
+    return out
+
+
+def corrections(words: DataFrame, lexicon: DataFrame, most: int = 2) -> DataFrame:
+    """word, correction, distance: the entry (entry, priority) with the least 10 * distance - priority, below 20; ties by entry.
+
+    Words and entries meet by what deletions make of both, so no word is compared with the whole lexicon; the
+    transposition distance runs on those pairs alone.
+    """
+    w = words.select("word").distinct().select("word", F.explode(deletions(F.col("word"), most)).alias("k"))
+    e = lexicon.select("entry", "priority", F.explode(deletions(F.col("entry"), most)).alias("k"))
+    pairs = w.join(e, "k").select("word", "entry", "priority").distinct().withColumn("distance", damerau("word", "entry")).where(F.col("distance") <= most)
+    scored = pairs.withColumn("score", 10 * F.col("distance") - F.col("priority")).where("score < 20")
+    best = scored.groupBy("word").agg(F.min(F.struct("score", "entry", "distance")).alias("b"))
+    return best.select("word", F.col("b.entry").alias("correction"), F.col("b.distance").alias("distance"))
+
+
+def alias_scan(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
+    """doc_id, start (word), words, id: where aliases (id, alias) of up to `longest` words stand in texts; of overlapping ones the longest, then the first.
+
+    Runs of words meet aliases by equality; the dictionary's first words filter them before.  The overlap of a
+    match with a longer one, or an earlier one of its length, is settled inside its text.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[^\s.,;:!?()\"']+"), F.lit(0))
+    a = aliases.select("id", words(F.col("alias")).alias("w")).where(F.size("w").between(1, longest))
+    a = a.groupBy(F.array_join("w", " ").alias("run"), F.size("w").alias("n")).agg(F.min("id").alias("id"), F.first(F.get("w", F.lit(0))).alias("head"))
+    t = texts.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", "w", F.posexplode("w").alias("start", "head"))
+    t = t.join(F.broadcast(a.select("head").distinct()), "head", "left_semi")
+    runs = t.select("doc_id", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("n"), "w").select("doc_id", "start", "n", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("run"))
+    hits = runs.join(a.drop("head"), ["run", "n"]).select("doc_id", "start", "n", "id")
+
+    def settle(found: Column) -> Column:
+        kind = "array<struct<neg: int, start: int, n: int, id: long>>"
+
+        def step(acc: Column, x: Column) -> Column:
+            free = ~F.exists(acc, lambda y: (x["start"] < y["start"] + y["n"]) & (y["start"] < x["start"] + x["n"]))
+            return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
+
+        return F.aggregate(found, F.array().cast(kind), step)
+
+    row = F.struct((-F.col("n")).cast("int").alias("neg"), F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"), F.col("id").cast("long").alias("id"))
+    g = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("f")).select("doc_id", F.explode(settle(F.col("f"))).alias("x"))
+    return g.select("doc_id", F.col("x.start").alias("start"), F.col("x.n").alias("words"), F.col("x.id").alias("id"))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the same brand, size and type: their names as aliases."""
     p = table(spark, sf_dir, "part")
@@ -79,9 +134,44 @@ def q_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a_id", "b_id", F.round(levenshtein_similarity(F.col("a_name"), F.col("b_name")), 6).alias("similarity"), name_score(words("a_name"), words("b_name")).alias("name_score"))
 
 
+def q_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different names of parts with a suffix, in pairs that share first and last word: how alike the pairs of a block are."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 5 < 2").select((F.col("p_partkey")).alias("id"), F.concat_ws(" ", F.split("p_name", " ")[0], F.col("p_brand"), F.concat(F.lit("x"), (F.col("p_partkey") % 40).cast("string"))).alias("name"))
+    b = word_blocks(p).withColumn("s", levenshtein_similarity(F.col("a_name"), F.col("b_name")))
+    return b.groupBy("a_id").agg(F.count("*").alias("pairs"), F.round(F.max("s"), 6).alias("best"))
+
+
+def _misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the parts' names with a swap, a loss, a change or a doubling, by key."""
+    w = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.explode(F.split("p_name", " ")).alias("w"))
+    at = lambda i, n: F.substring(F.col("w"), F.lit(i), F.lit(n))
+    made = F.when(F.col("k") % 5 == 0, F.concat(at(1, 1), at(3, 1), at(2, 1), at(4, 99))).when(F.col("k") % 5 == 1, F.concat(at(1, 1), at(3, 99))).when(F.col("k") % 5 == 2, F.concat(F.lit("#"), at(2, 99))).when(F.col("k") % 5 == 3, F.concat(at(1, 2), F.lit("qqq"), at(3, 99))).otherwise(F.col("w"))
+    return w.select(made.alias("word"), F.col("w").alias("meant"))
+
+
+def q_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt words corrected by the words that occur, with those of four letters preferred."""
+    m = _misspelt(spark, sf_dir)
+    lexicon = m.select(F.col("meant").alias("entry")).distinct().withColumn("priority", (F.char_length("entry") == 4).cast("int"))
+    return corrections(m.select("word"), lexicon)
+
+
+def q_alias_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts in texts made of the names of three neighbours."""
+    p = table(spark, sf_dir, "part")
+    name = lambda k: p.select((F.col("p_partkey") - k).alias("doc_id"), F.col("p_name").alias(f"n{k}"))
+    texts = name(0).join(name(1), "doc_id").join(name(2), "doc_id").select("doc_id", F.format_string("Take %s, no %s (%s).", "n0", "n1", "n2").alias("text"))
+    names = p.groupBy(F.col("p_name").alias("alias")).agg(F.min("p_partkey").alias("id"))
+    singles = names.select(F.substring_index("alias", " ", 1).alias("alias")).distinct().select((F.lit(1_000_000) + F.length("alias")).cast("long").alias("id"), "alias")
+    return alias_scan(texts, names.select("id", "alias").unionByName(singles.select("id", "alias")))
+
+
 QUERIES = {
     "alias_levenshtein": q_similar,
     "alias_dice": lambda s, d: dice(_pairs(s, d), "a_name", "b_name", ["a_id", "b_id"]),
+    "word_blocks": q_blocks,
+    "typo_correction": q_corrected,
+    "alias_scan": q_alias_scan,
     "typo_distance": lambda s, d: _pairs(s, d).select("a_id", "b_id", damerau("a_name", "b_name").alias("distance")),
 }
 _PR = "p AS (SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey)"
@@ -91,4 +181,11 @@ ORACLE_SQL = {
     "alias_dice": f"""WITH {_PR}, a AS (SELECT a_id, b_id, g, count(*) AS n FROM (SELECT a_id, b_id, unnest(list_transform(range(1, length(x)), lambda k: substring(x, CAST(k AS INTEGER), 2))) AS g FROM p) GROUP BY ALL),
 b AS (SELECT a_id, b_id, g, count(*) AS m FROM (SELECT a_id, b_id, unnest(list_transform(range(1, length(y)), lambda k: substring(y, CAST(k AS INTEGER), 2))) AS g FROM p) GROUP BY ALL), c AS (SELECT a_id, b_id, sum(least(n, m)) AS s FROM a JOIN b USING (a_id, b_id, g) GROUP BY ALL)
 SELECT a_id, b_id, round(2.0 * coalesce(s, 0) / (length(x) + length(y) - 2), 6) AS dice FROM p LEFT JOIN c USING (a_id, b_id)""",
+    "word_blocks": """WITH p AS (SELECT p_partkey AS id, string_split(p_name, ' ')[1] || ' ' || p_brand || ' x' || (p_partkey % 40) AS name, string_split(p_name, ' ')[1] || '|' || (p_partkey % 40) AS block FROM part WHERE p_partkey % 5 < 2),
+s AS (SELECT a.id AS a_id, greatest(0.0, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))) AS s FROM p a JOIN p b ON a.block = b.block AND a.id < b.id) SELECT a_id, count(*) AS pairs, round(max(s), 6) AS best FROM s GROUP BY a_id""",
+    "typo_correction": """WITH w AS (SELECT p_partkey AS k, unnest(string_split(p_name, ' ')) AS w FROM part), m AS (SELECT DISTINCT CASE k % 5 WHEN 0 THEN substring(w, 1, 1) || substring(w, 3, 1) || substring(w, 2, 1) || substring(w, 4, 99) WHEN 1 THEN substring(w, 1, 1) || substring(w, 3, 99) WHEN 2 THEN '#' || substring(w, 2, 99) WHEN 3 THEN substring(w, 1, 2) || 'qqq' || substring(w, 3, 99) ELSE w END AS word FROM w),
+l AS (SELECT DISTINCT w AS entry, CASE WHEN length(w) = 4 THEN 1 ELSE 0 END AS priority FROM w), d AS (SELECT word, entry, CAST(damerau_levenshtein(word, entry) AS INTEGER) AS distance, 10 * damerau_levenshtein(word, entry) - priority AS score FROM m, l WHERE damerau_levenshtein(word, entry) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score, entry) AS r FROM d WHERE score < 20) SELECT word, entry AS correction, distance FROM r WHERE r = 1""",
+    "alias_scan": """WITH n AS (SELECT p_partkey AS k, p_name, min(p_partkey) OVER (PARTITION BY p_name) AS id FROM part), t AS (SELECT a.k AS doc_id, [a.id, b.id, c.id] AS ids FROM n a JOIN n b ON b.k = a.k + 1 JOIN n c ON c.k = a.k + 2)
+SELECT doc_id, CAST([1, 4, 6][i] AS INTEGER) AS start, 2 AS words, ids[i] AS id FROM t, (SELECT unnest([1, 2, 3]) AS i)""",
 }

@@ -169,7 +169,7 @@ def q_task_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_turn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different turns by the digest of role and text, with their first conversation."""
     c = table(spark, sf_dir, "conversations")
-    who = F.when(F.col("role") == "user", "Human: ").otherwise("Assistant: ")
+    who = F.when(F.col("role") == "user", "Human: ").when(F.col("role") == "assistant", "Assistant: ").otherwise(F.concat(F.coalesce("role", F.lit("")), F.lit(": ")))
     digest = F.sha2(F.concat(who, F.coalesce("text", F.lit(""))), 256)
     return c.groupBy(digest.alias("digest")).agg(F.count("*").alias("turns"), F.min("conv_id").alias("first_conv"))
 
@@ -199,6 +199,6 @@ SELECT doc_id, count(*) FILTER (total <= 200) AS kept_lines, CAST(coalesce(sum(t
     "task_split": f"""WITH c AS (SELECT *, CAST(floor({_W.format("coalesce(text, '')")} * 1.33) AS BIGINT) AS tokens FROM conversations),
 g AS (SELECT conv_id, max(turn) FILTER (role = 'user') AS query_turn, count(*) AS messages, CAST(sum(tokens) AS BIGINT) AS tokens FROM c GROUP BY conv_id)
 SELECT *, tokens > 800 OR (messages > 4 AND tokens > 200) AS compress FROM g""",
-    "chat_turn_dedup": "SELECT sha256(CASE WHEN role = 'user' THEN 'Human: ' ELSE 'Assistant: ' END || coalesce(text, '')) AS digest, count(*) AS turns, min(conv_id) AS first_conv FROM conversations GROUP BY 1",
+    "chat_turn_dedup": "SELECT sha256(CASE role WHEN 'user' THEN 'Human: ' WHEN 'assistant' THEN 'Assistant: ' ELSE coalesce(role, '') || ': ' END || coalesce(text, '')) AS digest, count(*) AS turns, min(conv_id) AS first_conv FROM conversations GROUP BY 1",
     "session_tokens": f"""SELECT conv_id, role, CAST(sum(CAST(floor({_W.format("coalesce(text, '')")} * 1.33) AS BIGINT)) AS BIGINT) AS tokens, count(*) AS turns FROM conversations GROUP BY ALL""",
 }

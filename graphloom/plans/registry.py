@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.operators import answers, discourse, graph, kb, metrics, quaternary, ranking, relational, resolve, retrieval, rules, spatial, stitch, temporal, text
+from graphloom.operators import answers, discourse, graph, kb, metrics, nodes, quaternary, ranking, relational, resolve, retrieval, rules, spatial, stitch, temporal, text
 from graphloom.streaming import windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (text, discourse, answers, retrieval, ranking, quaternary, kb, graph, rules, temporal, metrics, resolve, stitch, spatial, relational, windows):
+for _module in (text, discourse, answers, retrieval, ranking, quaternary, nodes, kb, graph, rules, temporal, metrics, resolve, stitch, spatial, relational, windows):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
 FLAGSHIP = "bm25_topk"

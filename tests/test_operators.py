@@ -69,7 +69,7 @@ def test_collisions_compare_whole_vectors(spark, tmp_path):
 def test_information_of_all_slot_pairs(spark, tmp_path):
     x = [[0.2 if (k >> s % 3) & 1 else -0.2 for s in range(64)] for k in range(8)]
     spark.createDataFrame([(k, 0, v) for k, v in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {(r["i"], r["j"]): r["mi"] for r in registry.QUERIES["pairwise_mi_full"](spark, str(tmp_path)).collect()}
+    got = {(r["i"], r["j"]): r["mi"] for r in registry.QUERIES["pairwise_mi"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): float((j - i) % 3 == 0) for i in range(64) for j in range(i + 1, 64)}
 
 
