@@ -1,9 +1,10 @@
 """Secret scans with a trigram index: native DataFrame functions only.
 
 Each rule's pattern is parsed and a Boolean query over trigrams derived from it, which every match must
-satisfy.  The postings of the trigrams that any query mentions are kept document-major: one bit vector
-per document.  A rule's candidates are the documents whose bits satisfy its query; only on those does
-its pattern run.  A rule without a mandatory trigram scans every text.
+satisfy; of the trigrams that must occur together the two rarest ask for all.  The postings of the trigrams
+that queries mention are kept document-major, one bit vector per document, so that intersecting them is a
+bit operation where the text lies and no text is shuffled.  A rule's candidates are the documents whose bits
+satisfy its query; only on those does its pattern run, once.  A rule without a mandatory trigram scans every text.
 """
 
 from __future__ import annotations
@@ -123,6 +124,25 @@ def trigram_query(pattern: str) -> Query:
     return query(parser.parse(pattern))
 
 
+#: Letters of European texts from the commonest on.
+_LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def _commonness(trigram: str) -> int:
+    return sum(len(_LETTERS) - _LETTERS.index(c) if c in _LETTERS else 0 for c in trigram)
+
+
+def rarest(query: Query, keep: int = 2) -> Query:
+    """The query with at most `keep` trigrams of each set that must occur together: a weaker condition that costs less to look up."""
+    if query is True or isinstance(query, str):
+        return query
+    parts = [rarest(q, keep) for q in query[1]]
+    if query[0] == "and":
+        single = sorted((q for q in parts if isinstance(q, str)), key=lambda t: (_commonness(t), t))
+        parts = [q for q in parts if not isinstance(q, str)] + single[:keep]
+    return _join(query[0], parts)
+
+
 def trigrams(query: Query) -> set[str]:
     if query is True:
         return set()
@@ -147,29 +167,51 @@ def candidate(query: Query, vocabulary: list[str], name: str = "postings") -> Co
     return reduce(lambda a, b: a & b if query[0] == "and" else a | b, parts)
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+_CHUNK = 64
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sums of an array's numbers up to each of them.  Chunks are summed apart, so long arrays cost little more for each number."""
+    add = lambda a, x: a + x
+    total = lambda p: F.aggregate(p, F.lit(0), add)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _CHUNK).cast("int")), lambda k: F.slice(numbers, k * _CHUNK + 1, F.lit(_CHUNK)))
+
+    def with_chunks(p: Column) -> Column:
+        bases = lambda t: F.transform(t, lambda x, k: total(F.slice(t, F.lit(1), k)))
+        inside = lambda b: F.flatten(F.transform(p, lambda c, k: F.transform(c, lambda x, j: F.get(b, k) + total(F.slice(c, F.lit(1), j + 1)))))
+        return _let(_let(F.transform(p, total), bases), inside)
+
+    return F.when(F.size(numbers) > 0, _let(chunks, with_chunks)).otherwise(F.array().cast("array<int>"))
+
+
 def _spans(rule: Rule, number: int, candidates: Column) -> Column:
-    """Spans of a rule as (start, kind number, stop) in code points: gaps and matches, in turn, make up the text."""
-    kind = "array<struct<start: int, kind: int, stop: int>>"
-    pattern = F.lit(rule.pattern)
-    matches = F.regexp_extract_all("text", pattern, F.lit(0))
-    parts = F.regexp_extract_all("text", pattern, F.lit(rule.part))
-    rows = F.arrays_zip(matches.alias("m"), parts.alias("p"), F.split("text", rule.pattern, -1).alias("g"))
-    empty = F.lit(None).cast(kind)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+    """Spans of a rule as (start, kind number, stop) in code points.
+
+    One pass of the pattern marks the matches; gaps and matches, in turn, make up the text, and their running
+    lengths are the places.  (U+0001, the mark, counts as U+0002 in a text that holds it.)
+    """
+    if rule.part and re.search(r"\(\?(?:<?[=!])", rule.pattern):
+        raise ValueError(f"{rule.name}: a pattern with look-around can't name a part")
+    none = F.array().cast("array<struct<start: int, kind: int, stop: int>>")
+    marked = F.regexp_replace(F.translate("text", "\u0001", "\u0002"), rule.pattern, "\u0001$0\u0001")
 
-    def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + F.char_length(row["g"])
-        stop = begin + F.coalesce(F.char_length(row["m"]), F.lit(0))
-        hit = F.array(F.struct(begin.alias("start"), F.lit(number).alias("kind"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(F.char_length(row["p"]) >= rule.least, F.concat(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
+    def found(pieces: Column) -> Column:
+        part = lambda p: F.regexp_extract(p, rule.pattern, rule.part) if rule.part else p
+        span = lambda ends: F.transform(pieces, lambda p, k: F.struct((F.get(ends, k) - F.char_length(p)).alias("start"), F.lit(number).alias("kind"), F.get(ends, k).alias("stop")))
+        every = _let(running_sums(F.transform(pieces, lambda p: F.char_length(p))), span)
+        return F.filter(every, lambda s, k: (k % 2 == 1) & (F.char_length(part(F.get(pieces, k))) >= rule.least))
 
-    found = F.aggregate(rows, start, step, lambda acc: acc["found"])
-    return F.coalesce(F.when(candidates & F.col("text").rlike(rule.pattern), found).otherwise(empty), F.array().cast(kind))
+    return F.when(candidates & F.col("text").rlike(rule.pattern), _let(F.split(marked, "\u0001", -1), found)).otherwise(none)
 
 
 def _searched(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, keep: list[str]) -> DataFrame:
     """rest (a struct of the columns named in keep, so that their names can't clash), text, secret_spans."""
-    queries = [trigram_query(r.pattern) for r in rules]
+    queries = [rarest(trigram_query(r.pattern)) for r in rules]
     vocabulary = sorted(set().union(*map(trigrams, queries)))
     df = docs.select(F.struct(*[docs[c] for c in keep]).alias("rest"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     df = with_postings(df, vocabulary) if vocabulary else df

@@ -453,12 +453,23 @@ def test_secrets(spark):
     red = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(make(spark, texts)).collect()}
     assert red[0] == "[SECRET]" and red[1] == texts[1] and red[6] is None and red[8] == "[SECRET]\" and [SECRET]"
     assert secrets.trigram_query("[0-9a-f]{24,}") is True
+    assert secrets.rarest(secrets.trigram_query("AKIA[A-Z0-9]+")) == ("and", ("aki", "kia")) and len(secrets.trigrams(secrets.rarest(secrets.trigram_query("password")))) == 2
     for rule in secrets.RULES:
         for t in ("token: abcdefgh", "AKIA" + "B" * 20, "api_key=abcdefg", "APIKEY='1234567'", "ghs_" + "z" * 40, "xoxb-" + "1" * 12):
             if re.search(rule.pattern, t):
                 grams = {t.lower()[k : k + 3] for k in range(len(t))}
                 holds = lambda q: q is True or (q in grams if isinstance(q, str) else (all if q[0] == "and" else any)(map(holds, q[1])))
-                assert holds(secrets.trigram_query(rule.pattern))
+                assert holds(secrets.trigram_query(rule.pattern)) and holds(secrets.rarest(secrets.trigram_query(rule.pattern)))
+
+
+def test_secrets_of_a_long_text(spark):
+    text = "é token=abcdef1234 \u0001 AKIA" + "Z" * 17 + " plain words; "
+    spans = secrets.find_secrets(make(spark, [text * 500, "\u0001token=abcdefg\u0001"])).orderBy("doc_id").collect()
+    want = sorted((k * len(text) + m.start(), r, k * len(text) + m.end()) for k in range(500) for r in (0, 1) for m in re.finditer(secrets.RULES[r].pattern, text))
+    assert [tuple(s) for s in spans[0]["secret_spans"]] == want and [tuple(s) for s in spans[1]["secret_spans"]] == [(1, 0, 14)]
+    sums = spark.range(1).select(*[secrets.running_sums(F.array(*[F.lit(x) for x in range(n)]) if n else F.array().cast("array<int>")).alias(f"n{n}") for n in (0, 1, 64, 65, 200)]).first()
+    for n in (0, 1, 64, 65, 200):
+        assert sums[f"n{n}"] == [k * (k + 1) // 2 for k in range(n)]
 
 
 def operators(docs, spark):
