@@ -131,3 +131,73 @@ class CodeNodes:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 called = [c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(node) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))]
                 yield "class" if isinstance(node, ast.ClassDef) else "function", node.name, node.lineno, sorted(set(called))
+
+
+_BIND = {"<->": 1, "->": 2, "|": 3, "&": 4, "~": 5}
+
+
+def write_formula(formula: tuple, outer: int = 0) -> str:
+    """The text of a formula in ASCII with the fewest brackets; parse_formula reads it back."""
+    op = formula[0]
+    if op in ("forall", "exists"):
+        text = f"{op} {formula[1]} ({write_formula(formula[2])})"
+        return f"({text})" if outer else text
+    if op == "~":
+        return "~" + write_formula(formula[1], 5)
+    if op in _BIND:
+        k = _BIND[op]
+        # -> groups to the right, the others to the left
+        left, right = (k + 1, k) if op == "->" else (k, k + 1)
+        text = f"{write_formula(formula[1], left)} {op} {write_formula(formula[2], right)}"
+        return f"({text})" if k < outer else text
+    return f"{op}({', '.join(formula[1:])})" if len(formula) > 1 else op
+
+
+def formula_nodes(formula: tuple) -> Iterator[tuple[int, int | None, str, list[str]]]:
+    """number, parent, operator or predicate, arguments of every part, from the whole on."""
+    stack, k = [(formula, None)], 0
+    while stack:
+        part, parent = stack.pop(0)
+        deeper = [x for x in part[1:] if isinstance(x, tuple)]
+        yield k, parent, part[0], [x for x in part[1:] if isinstance(x, str)]
+        stack += [(x, k) for x in deeper]
+        k += 1
+
+
+@udtf(returnType="number: int, parent: int, op: string, arguments: array<string>")
+class FormulaNodes:
+    """One row for every part of a first-order formula; none for a text that doesn't parse."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        try:
+            yield from formula_nodes(parse_formula(text or ""))
+        except ValueError:
+            return
+
+
+@udtf(returnType="src: string, rel: string, dst: string")
+class CodeGraph:
+    """Edges of Python code: what a module, class or function defines, what it calls, imports and inherits; none for code that doesn't parse."""
+
+    def eval(self, name: str, code: str) -> Iterator[tuple]:
+        try:
+            tree = ast.parse(code or "")
+        except SyntaxError:
+            return
+        yield from _code_edges(tree, name or "module")
+
+
+def _code_edges(node: ast.AST, owner: str) -> Iterator[tuple[str, str, str]]:
+    for child in ast.iter_child_nodes(node):
+        inner = owner
+        if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            inner = f"{owner}.{child.name}"
+            yield owner, "DEFINES", inner
+            for base in getattr(child, "bases", []):
+                yield inner, "INHERITS", ast.unparse(base)
+        elif isinstance(child, ast.Call):
+            yield owner, "CALLS", ast.unparse(child.func)
+        elif isinstance(child, (ast.Import, ast.ImportFrom)):
+            for alias in child.names:
+                yield owner, "IMPORTS", ".".join(filter(None, [getattr(child, "module", None), alias.name]))
+        yield from _code_edges(child, inner)

@@ -129,7 +129,7 @@ def test_as_of_is_half_open(spark):
 
 def test_difference_constraints(spark):
     c = spark.createDataFrame([(1, "a", "b", -2.0), (1, "b", "a", 1.0), (2, "a", "b", -2.0), (2, "b", "a", 3.0)], "problem long, x string, y string, c double")
-    assert {r["problem"]: r["consistent"] for r in temporal.inconsistent(c, 2).collect()} == {1: False, 2: True}
+    assert {r["problem"]: r["consistent"] for r in temporal.inconsistent(c).collect()} == {1: False, 2: True}
 
 
 def test_calibration_and_truth(spark):
