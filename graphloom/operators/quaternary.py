@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.retrieval import against, top_k
+from graphloom.operators.retrieval import nearest
 from graphloom.sources.tables import slot_words, slots
 
 #: Slots of a band; bands 1 and 2 are structural (ordered) lattices, the others epistemic ones.
@@ -140,6 +141,25 @@ def _next_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", "slot", F.col("v").alias("a")).join(b, ["id", "slot"])
 
 
+def _alike(slots_: int):
+    """Share of equal slots of packed vectors, rounded to six digits; slots that are masked out count as neither."""
+
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        differ = np.zeros((len(a), len(b)), np.int64)
+        for k in range(a.shape[1]):
+            d = a[:, k].view(np.uint64)[:, None] ^ b[:, k].view(np.uint64)[None, :]
+            differ += np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(_PAIRS)).astype(np.int64)
+        return np.round(1 - differ / slots_, 6)
+
+    return score
+
+
+def nearest_by_slots(words: DataFrame, queries: DataFrame, k: int, slots_: int = 64) -> DataFrame:
+    """query_id, id, score, rank, distance: the k vectors (id, words) that differ in the fewest of so many slots."""
+    found = nearest(words.select("id", F.col("words").alias("v")), queries.select("query_id", F.col("words").alias("v")), k, _alike(slots_), key="id")
+    return found.withColumn("distance", F.round((1 - F.col("score")) * slots_).cast("int"))
+
+
 def q_hamming(spark: SparkSession, sf_dir: str, mask: bool = False) -> DataFrame:
     """Ten nearest of every vector whose id is divisible by 50 by differing slots (or by similarity without slots 8 to 23)."""
     w = slot_words(spark, sf_dir).select("id", "words")
@@ -147,10 +167,7 @@ def q_hamming(spark: SparkSession, sf_dir: str, mask: bool = False) -> DataFrame
     if mask:
         signed = [k - (1 << 64) if k >> 63 else k for k in keep]
         w = w.select("id", F.zip_with("words", F.array(*[F.lit(k).cast("long") for k in signed]), lambda a, b: a.bitwiseAND(b)).alias("words"))
-    q = w.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("words").alias("q"))
-    d = against(w, q, lambda df: df.select("query_id", "id", hamming(F.col("words"), F.col("q")).alias("distance")))
-    score = F.round(1 - F.col("distance") / (48 if mask else 64), 6)
-    return top_k(d.withColumn("score", score), 10, key="id")
+    return nearest_by_slots(w, w.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 10, 48 if mask else 64)
 
 
 def q_total_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:

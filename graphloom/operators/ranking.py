@@ -37,7 +37,7 @@ def entity_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     words = asked.select("phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term")).distinct()
     of_phrase = words.groupBy("phrase").agg(F.count("*").alias("n"))
     # the queries' words bound what is exploded of a document
-    terms = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term")).join(F.broadcast(words.select("term").distinct()), "term", "left_semi")
+    terms = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term")).join(retrieval.small(words.select("term").distinct()), "term", "left_semi")
     have = terms.join(words, "term").groupBy("phrase", "doc_id").agg(F.count("*").alias("k")).join(of_phrase, "phrase").where("k = n")
     single = have.where("n = 1").select("phrase", "doc_id")
     texts = docs.select("doc_id", F.concat(F.lit(" "), spoken(F.coalesce("text", F.lit(""))), F.lit(" ")).alias("t"))
@@ -60,7 +60,7 @@ def scaled(scores: DataFrame) -> DataFrame:
     """scores scaled to [0, 1] in their query; 0 where all are equal.  Extremes are aggregated, not windowed."""
     ends = scores.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"))
     span = F.col("high") - F.col("low")
-    return scores.join(F.broadcast(ends), "query_id").withColumn("score", F.when(span > 0, F.round((F.col("score") - F.col("low")) / span, 6)).otherwise(0.0)).drop("low", "high")
+    return scores.join(retrieval.small(ends), "query_id").withColumn("score", F.when(span > 0, F.round((F.col("score") - F.col("low")) / span, 6)).otherwise(0.0)).drop("low", "high")
 
 
 def keep_units(units: DataFrame, *, threshold: float | None = None, most: int | None = None, budget: int | None = None) -> DataFrame:
@@ -137,7 +137,7 @@ def concept_overlap(units: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score: share of the query's different codes (column codes) that the unit has; only units with one."""
     q = queries.select("query_id", F.array_distinct("codes").alias("codes")).where(F.size("codes") > 0)
     asked = q.select("query_id", F.size("codes").alias("n"), F.explode("codes").alias("code"))
-    held = units.select("doc_id", F.explode(F.array_distinct("codes")).alias("code")).join(F.broadcast(asked.select("code").distinct()), "code", "left_semi")
+    held = units.select("doc_id", F.explode(F.array_distinct("codes")).alias("code")).join(retrieval.small(asked.select("code").distinct()), "code", "left_semi")
     return held.join(asked, "code").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("k")).select("query_id", "doc_id", F.round(F.col("k") / F.col("n"), 6).alias("score"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.operators.retrieval import small
 from graphloom.sources.tables import table
 
 
@@ -101,7 +102,7 @@ def alias_scan(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFr
     a = aliases.select("id", words(F.col("alias")).alias("w")).where(F.size("w").between(1, longest))
     a = a.groupBy(F.array_join("w", " ").alias("run"), F.size("w").alias("n")).agg(F.min("id").alias("id"), F.first(F.get("w", F.lit(0))).alias("head"))
     t = texts.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", "w", F.posexplode("w").alias("start", "head"))
-    t = t.join(F.broadcast(a.select("head").distinct()), "head", "left_semi")
+    t = t.join(small(a.select("head").distinct()), "head", "left_semi")
     runs = t.select("doc_id", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("n"), "w").select("doc_id", "start", "n", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("run"))
     hits = runs.join(a.drop("head"), ["run", "n"]).select("doc_id", "start", "n", "id")
 

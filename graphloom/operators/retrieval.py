@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,15 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
     return terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+#: Rows up to which a side of a join is broadcast.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, to be broadcast if it has few rows; else Spark joins it as any table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score (6 digits): Okapi BM25 with idf ln((N - df + .5) / (df + .5) + 1); repeated query terms count repeatedly.
 
@@ -37,14 +48,16 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B) -
     """
     terms = query_terms(queries)
     tokened = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("len", F.size("t"))
-    stats = tokened.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    n, average = stats["n"], stats["avg"] or 1.0
-    postings = tokened.select("doc_id", "len", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    stats = tokened.agg(F.count("*").alias("_n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("_avg"))
+    n, average = F.col("_n"), F.when(F.col("_avg") > 0, F.col("_avg")).otherwise(1.0)
+    vocabulary = small(terms.select("term").distinct())
+    postings = tokened.select("doc_id", "len", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
     tf = postings.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
-    return tf.join(df, "term").join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    weighed = tf.join(df.join(F.broadcast(stats)), "term")  # stats: one row
+    return weighed.join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, group: str = "query_id", score: str = "score", key: str = "doc_id") -> DataFrame:
@@ -95,6 +108,55 @@ def against(rows: DataFrame, queries: DataFrame, pair: Callable[[DataFrame], Dat
     return out
 
 
+def nearest(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray], *, key: str, most: int = 4096) -> DataFrame:
+    """query_id, key, score, rank: the k rows of best score for every query of a stated set, itself excepted; ties by key.
+
+    rows: key and v (arrays of one length); queries: query_id and v.  score: from matrices of rows and of queries
+    to a matrix of scores.  Queries go to the tasks in blocks of `most`; a task scores a batch of rows with one
+    matrix product and keeps k rows a query, so what is shuffled is k rows a query and task, not all pairs.
+    """
+    out = None
+    blocks = 1 + queries.count() // most
+    for b in range(blocks):
+        block = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "v").toPandas()
+        if not len(block):
+            continue
+        ids, matrix = block["query_id"].to_numpy(), np.stack(block["v"].to_numpy())
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = batch.column(0).to_numpy()
+                found = score(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1), matrix)
+                for j in range(len(ids)):
+                    s, held = np.concatenate([best[j][0], found[:, j]]), np.concatenate([best[j][1], keys])
+                    s, held = s[held != ids[j]], held[held != ids[j]]
+                    if len(s) > 4 * k:  # only what reaches the k-th score is sorted
+                        near = s >= -np.partition(-s, k - 1)[k - 1]
+                        s, held = s[near], held[near]
+                    order = np.lexsort((held, -s))[:k]
+                    best[j] = s[order], held[order]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x[0]) for x in best])), pa.array(np.concatenate([x[1] for x in best])), pa.array(np.concatenate([x[0] for x in best]))], ["query_id", key, "score"])
+
+        part = rows.select(F.col(key).cast("long"), "v").mapInArrow(run, f"query_id long, {key} long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], f"query_id long, {key} long, score double")
+    return top_k(out, k, key=key)
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.round(a.astype(float) @ b.astype(float).T, 6)
+
+
+def nearest_by_cosine(vectors: DataFrame, queries: DataFrame, k: int, dims: int | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank by cosine of vectors of unit length (or cut to dims and scaled)."""
+    v = (unit(F.col("embedding"), dims) if dims else F.transform("embedding", lambda x: x.cast("double"))).alias("v")
+    return nearest(vectors.select("vec_id", v), queries.select(F.col("vec_id").alias("query_id"), v), k, _cosine, key="vec_id")
+
+
 def cosine_scores(vectors: DataFrame, queries: DataFrame, dims: int | None = None) -> DataFrame:
     """query_id, vec_id, score (6 digits) of a stated query set against all vectors (unit length, or cut to dims and scaled)."""
     v = vectors.select("vec_id", (unit(F.col("embedding"), dims) if dims else F.col("embedding")).alias("v"))
@@ -205,7 +267,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def q_dense(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
     """Ten nearest of every vector whose id is divisible by 50, among all others."""
-    return top_k(cosine_scores(*_vectors(spark, sf_dir), dims), 10, key="vec_id")
+    return nearest_by_cosine(*_vectors(spark, sf_dir), 10, dims)
 
 
 def q_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
