@@ -18,13 +18,15 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import bounded_batches, slices, table, texts
+from graphloom.llm._common import bounded_batches, discard, materialise, slices, table, texts
 from graphloom.llm._words import ALNUM, LOWER, words_of
 from graphloom.llm.automaton import SuffixAutomaton
 
 WINDOW = 10
 #: Words of test items in one automaton (about 100 MB of states); more items make more automata, used one after another.
 SHARD_WORDS = 200_000
+#: Automata that one pass over the documents uses; after it what was found is written and they are let go.
+TOGETHER = 4
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _WORD_TEXT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _STATE = "_hits array<int>, _items array<string>"
@@ -199,16 +201,29 @@ def find_contamination(
     null items none; an item with a null id marks hits and counts once but isn't listed; items that share
     an id count once.  hit_ranges is flat: first word, end, first word, end, ...
 
-    Each automaton is broadcast and holds shard_words words at most (a single longer item excepted);
-    a larger benchmark passes through several automata in turn, without a shuffle of the documents.
+    Each automaton is broadcast and holds shard_words words at most (a single longer item excepted); a larger
+    benchmark passes through several automata in turn, without a shuffle of the documents.  TOGETHER of them
+    share a pass; then the documents are written with what was found and the automata are let go, so memory
+    doesn't grow with the benchmark.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rest = [F.struct(*[docs[c] for c in keep]).alias("rest")] if keep else []
     df = docs.select(docs[id_col].alias("doc_id"), *rest, docs[text_col].cast("string").alias("_text"))
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "_text")
+    held: list[Broadcast] = []
+    written: DataFrame | None = None
     for k, shard in enumerate(_shards(bench, bench_id, bench_text, window, shard_words)):
-        df = df.mapInArrow(_matched(spark.sparkContext.broadcast(shard), window, k > 0), f"{base}, _text string, {_STATE}")
+        if len(held) == TOGETHER:
+            before, written = written, materialise(df, "matched")
+            df = written
+            for automaton in held:
+                automaton.destroy()
+            held = []
+            if before is not None:
+                discard(before)
+        held.append(spark.sparkContext.broadcast(shard))
+        df = df.mapInArrow(_matched(held[-1], window, k > 0), f"{base}, _text string, {_STATE}")
     out = f"{base}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string, over_coverage boolean, hit_ranges array<int>"
     return df.mapInArrow(_cleaned(min_words, max_coverage), out)
 
