@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import table
+from graphloom.llm._common import join_skewed, materialise, table
 
 #: Documents that the neighbour search puts into one group.
 GROUP_ROWS = 2000
@@ -197,31 +197,65 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint
     return df.withColumn("_canon", canonical(F.col(text))).withColumn(name, wide_hash(F.col("_canon"))).drop("_canon")
 
 
+def _seen_filter(keys: DataFrame) -> DataFrame:
+    """One row with an array of 64-bit words: a bitmap of the long column key of a written table, of a size that follows the rows up to 16 MB."""
+    spark, rows = keys.sparkSession, keys.count()
+    words = min(max(1 << 10, 1 << (rows // 2).bit_length()), 1 << 21)
+    slot = F.pmod(F.col("key"), F.lit(64 * words))
+    bits = keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {64 * words}L) & 63 as int))").alias("b"))
+    every = spark.range(words).select(F.col("id").cast("int").alias("w"))
+    filled = every.join(bits.groupBy("w").agg(F.bit_or("b").alias("b")), "w", "left")
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("_bits"))
+
+
+def _may_hold(bits: str, key: Column) -> Column:
+    slot = F.pmod(key, F.lit(64) * F.size(bits))
+    return F.expr(f"get({bits}, 0)").isNotNull() & (F.get(bits, F.shiftright(slot, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))) != 0)
+
+
+def group_sizes(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """fingerprint, copies, variants: how many rows have a fingerprint, and how many different canonical texts they are (1 but for hash collisions).
+
+    known (written): fingerprint of every row of texts (column text).  Bytes are compared for fingerprints that
+    occur more than once: a bitmap of those, at most 16 MB, picks the rows where they lie, and each different
+    text leaves a task once.
+    """
+    sizes = known.groupBy("fingerprint").agg(F.count("*").alias("copies"))
+    repeated = materialise(sizes.where("copies > 1").select(F.xxhash64("fingerprint").alias("key")), "repeated")
+    rows = texts.select(canonical(F.col("text")).alias("canon")).withColumn("fingerprint", wide_hash(F.col("canon")))
+    near = rows.join(F.broadcast(_seen_filter(repeated))).where(_may_hold("_bits", F.xxhash64("fingerprint"))).select("fingerprint", "canon")
+    variants = near.groupBy("fingerprint", "canon").agg(F.count("*").alias("n")).groupBy("fingerprint").agg(F.count("*").alias("variants"))
+    return sizes.join(variants, "fingerprint", "left").select("fingerprint", "copies", F.coalesce("variants", F.lit(1)).cast("long").alias("variants"))
+
+
 def fingerprint_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, variant, copies: rows with equal fingerprint and variant have the same canonical bytes.
 
     variant numbers the different canonical texts of one fingerprint (0 but for hash collisions); copies
     is the size of the group.  Null texts count as empty.  Rows are counted where they lie before anything
     is shuffled, so a group of any size costs one row a task; texts move only for fingerprints that occur
-    more than once, each different one once a task.
+    more than once, each different one once a task, and once more for those that hold several texts.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("canon"))
-    rows = rows.withColumn("fingerprint", wide_hash(F.col("canon")))
-    distinct = rows.groupBy("fingerprint", F.crc32("canon").alias("crc"), F.octet_length("canon").alias("bytes")).agg(F.count("*").alias("n"))
-    sizes = distinct.groupBy("fingerprint").agg(F.sum("n").alias("n"))
-    repeated = rows.join(sizes.where("n > 1").select("fingerprint"), "fingerprint", "left_semi").select("fingerprint", "canon")
-    number = F.row_number().over(Window.partitionBy("fingerprint").orderBy("canon")) - 1
-    variants = repeated.groupBy("fingerprint", "canon").agg(F.count("*").alias("copies")).withColumn("variant", number).where("variant > 0")
-    marked = rows.join(variants, ["fingerprint", "canon"], "left").select("doc_id", "fingerprint", F.coalesce("variant", F.lit(0)).alias("variant"), "copies")
-    return marked.join(sizes, "fingerprint").select("doc_id", "fingerprint", "variant", F.coalesce("copies", "n").alias("copies"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    known = materialise(rows.select("doc_id", wide_hash(canonical(F.col("text"))).alias("fingerprint")), "fingerprints")
+    sizes = materialise(group_sizes(rows, known), "sizes")
+    plain = join_skewed(known, sizes.where("variants = 1").select("fingerprint", "copies"), ["fingerprint"]).select("doc_id", "fingerprint", F.lit(0).alias("variant"), "copies")
+    mixed = sizes.where("variants > 1").select("fingerprint")
+    if mixed.isEmpty():
+        return plain
+    several = rows.withColumn("canon", canonical(F.col("text"))).withColumn("fingerprint", wide_hash(F.col("canon"))).join(F.broadcast(mixed), "fingerprint", "left_semi")
+    number = (F.row_number().over(Window.partitionBy("fingerprint").orderBy("canon")) - 1).alias("variant")
+    variants = several.groupBy("fingerprint", "canon").agg(F.count("*").alias("copies")).select("fingerprint", "canon", "copies", number)
+    return plain.unionByName(several.join(variants, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "variant", "copies"))
 
 
 def with_next(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """docs (doc_id, text, fingerprint) with next_text and next_fingerprint: of the document that follows in descending doc_id.
+    """docs (doc_id, text) with fingerprint, next_text and next_fingerprint: of the document that follows in descending doc_id.
 
     After the last comes the first.  Rows that share an id follow each other in descending order of text;
-    null ids come last.  Ids are cut into ranges of about group_rows documents, between quantiles of the
-    ids so that ranges hold alike many; only the first row of each range is needed outside it.
+    null ids come last.  Ids are cut into parts between quantiles and parts into ranges of about group_rows
+    documents; only the first row of each range is needed outside it, and only the first range of each part
+    (there are _QUANTILES of them at most) outside its part.  All rows of one id are in one range.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     stats = docs.select(key.alias("k")).agg(F.count("*").alias("n"), F.percentile_approx("k", [k / _QUANTILES for k in range(_QUANTILES + 1)], 1000).alias("q")).first()
@@ -231,27 +265,35 @@ def with_next(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     part = F.greatest(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in lows]), lambda b: b <= key)) - 1, F.lit(0))
     low, span = (F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("_part")) for values in (lows, spans))
     inside = F.least(F.greatest(F.floor((key.cast("double") - low) / span * each), F.lit(0)), F.lit(each - 1))
-    cut = docs.withColumn("_part", part).withColumn("_range", F.col("_part") * each + inside).drop("_part")
+    cut = docs.withColumn("_part", part).withColumn("_range", F.col("_part") * each + inside)
     w = Window.partitionBy("_range").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    rows = cut.withColumns({"next_text": F.lead("text").over(w), "next_fingerprint": F.lead("fingerprint").over(w)})
-    firsts = cut.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("_range").alias("_from"), F.col("text").alias("_text"), F.col("fingerprint").alias("_fp"))
-    every = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranges = cut.select("_range").distinct()  # one row for group_rows documents
-    follow = ranges.select("_range", F.coalesce(F.lead("_range").over(Window.orderBy(F.desc("_range"))), F.first("_range").over(every)).alias("_from"))
+    rows = with_fingerprint(cut)
+    rows = rows.withColumns({"next_text": F.lead("text").over(w), "next_fingerprint": F.lead("fingerprint").over(w)})
+    firsts = cut.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("_range").alias("_from"), "text")
+    firsts = with_fingerprint(firsts).select("_from", F.col("text").alias("_text"), F.col("fingerprint").alias("_fp"))
+    ranges = cut.select("_part", "_range").distinct()  # one row for group_rows documents
+    after = F.lead("_range").over(Window.partitionBy("_part").orderBy(F.desc("_range")))
+    tops = ranges.groupBy("_part").agg(F.max("_range").alias("_top"))  # a row for each part
+    order = Window.orderBy(F.desc("_part"))
+    highest = F.first("_top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tops = tops.select("_part", F.coalesce(F.lead("_top").over(order), highest).alias("_top"))
+    follow = ranges.withColumn("_after", after).join(F.broadcast(tops), "_part").select("_range", F.coalesce("_after", "_top").alias("_from"))
     follow = follow.join(firsts, "_from").drop("_from")
     joined = rows.join(follow, "_range", "left")
-    return joined.withColumns({"next_text": F.coalesce("next_text", "_text"), "next_fingerprint": F.coalesce("next_fingerprint", "_fp")}).drop("_range", "_text", "_fp")
+    return joined.withColumns({"next_text": F.coalesce("next_text", "_text"), "next_fingerprint": F.coalesce("next_fingerprint", "_fp")}).drop("_part", "_range", "_text", "_fp")
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: fingerprints of every document and of its edited text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(with_fingerprint(docs)).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Query: fingerprints of every document and of its edited text; and how many documents share its fingerprint, in how many different canonical texts."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = with_next(texts).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     docs = with_fingerprint(docs.withColumn("edited", edited), "edited", "edited_fingerprint")
     like = lambda fp, text: F.when((F.col("fingerprint") == F.col(fp)) & (canonical(F.col("text")) == canonical(F.col(text))), 1.0).otherwise(0.0)
-    return docs.select(
+    found = docs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         like("edited_fingerprint", "edited").alias("near_edited"), like("next_fingerprint", "next_text").alias("near_next"),
     )
+    found = materialise(found, "fingerprints")
+    return join_skewed(found, materialise(group_sizes(texts, found), "sizes"), ["fingerprint"]).select(*found.columns, "copies", "variants")
