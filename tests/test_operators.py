@@ -5,10 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.parsers import CodeNodes, SexprNodes, parse_formula, parse_sexpr, write_sexpr
-from graphloom.operators import graph, kb, metrics, quaternary, resolve, retrieval, spatial, temporal, text
+from graphloom.functions.parsers import CodeGraph, CodeNodes, FormulaNodes, SexprNodes, parse_formula, parse_sexpr, write_formula, write_sexpr
+from graphloom.operators import answers, discourse, graph, kb, lexicon, memory, metrics, quaternary, ranking, resolve, retrieval, rules, spatial, stitch, temporal, text
 from graphloom.plans import registry
-from graphloom.sources import stores
+from graphloom.sources import generators, scratch, stores
 from graphloom.streaming import windows
 
 
@@ -209,3 +209,142 @@ def test_paths_and_dangling(spark):
     assert [tuple(r) for r in kb.path(t, start, ["P", "Q"]).collect()] == [("a", "c")]
     e = t.select(F.col("subject").alias("src"), F.col("object").alias("dst"))
     assert [r["dst"] for r in kb.dangling(e, t.select(F.col("subject").alias("node"))).collect()] == ["c"]
+
+
+def test_pagerank_by_joins_equals_that_on_arrays(spark):
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 30, 90), rng.integers(0, 30, 90), rng.uniform(0, 1, 90), strict=True)], "src long, dst long, weight double")
+    seeds = spark.createDataFrame([(1, 2.0), (5, 1.0)], "node long, weight double")
+    run = lambda n: {r["node"]: r["score"] for r in graph.personalized_pagerank(edges, seeds, 40, tolerance=1e-9, local_edges=n).collect() if r["score"] > 1e-12}
+    local, joined = run(10**6), run(0)
+    assert joined == pytest.approx(local, abs=1e-9) and sum(local.values()) == pytest.approx(1)
+    nobody = seeds.withColumn("weight", F.lit(0.0))
+    assert graph.personalized_pagerank(edges, nobody, 5).agg(F.sum("score")).first()[0] == pytest.approx(1)
+    cut = graph.rank_nodes(edges, seeds, large=10, hops=1, least=0.0, most=100)
+    assert {r["node"] for r in cut.collect()} <= set(local)
+
+
+def test_levels_report_cycles(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("y", "c2"), ("a", "c")], "child string, parent string")
+    assert {r["node"]: r["level"] for r in graph.heights(e).collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "c2": None}
+
+
+def test_closure_of_a_ring_and_a_path(spark):
+    e = spark.createDataFrame([(k, (k + 1) % 5) for k in range(5)] + [(10 + k, 11 + k) for k in range(9)], "src long, dst long")
+    got = {(r["root"], r["node"]): r["depth"] for r in kb.closure(e).collect()}
+    assert got == {(a, (a + d) % 5): d for a in range(5) for d in range(1, 6)} | {(10 + a, 10 + b): b - a for a in range(10) for b in range(a + 1, 10)}
+
+
+def test_chains_leave_cycles_out(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9), (9, 8)], "src long, dst long")
+    assert {r["node"]: (r["root"], r["place"]) for r in graph.chains(e).collect()} == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3)}
+
+
+def test_choices_numbers_and_extracts(spark):
+    key = lambda t: value(spark, answers.choice_key(F.lit(t)))
+    assert [key(t) for t in ("B", "(c)", "Answer: **D**", "Option A is wrong, the answer is C.", "B is correct", "so it goes", "A) first")] == ["B", "C", "D", "C", "B", None, "A"]
+    num = lambda p, g: value(spark, answers.numeric_match(F.lit(p), F.lit(g)))
+    assert num("we get **1,630** apples", "1630 apples") and not num("630 pears", "630 apples") and num("total is 5.00000001", "5") and not num("5 then 6 then 7", "5")
+    ext = lambda p, g: value(spark, answers.extractive_match(F.lit(p), F.lit(g)))
+    assert ext("Answer: Paris", "paris") and not ext("Answer: False", "true") and not ext("It cannot be determined whether Paris", "Paris") and ext("the city of Paris is it", "Paris") and not ext("Parisian", "Paris")
+    assert value(spark, answers.sanitised(F.lit("Well. **Note** The answer is **Paris**."))) == "Paris"
+
+
+def test_allen_constraints_find_contradictions(spark):
+    r = spark.createDataFrame([(1, "a", "BEFORE", "b"), (1, "b", "BEFORE", "c"), (1, "c", "BEFORE", "a"), (2, "a", "DURING", "b"), (2, "b", "BEFORE", "c"), (3, "a", "EQUALS", "b"), (3, "a", "BEFORE", "b")], "problem long, a string, rel string, b string")
+    assert {x["problem"]: x["consistent"] for x in temporal.inconsistent(temporal.allen_constraints(r)).collect()} == {1: False, 2: True, 3: False}
+
+
+def test_deletions_meet_within_two_edits(spark):
+    lexicon = spark.createDataFrame([("kitten", 0), ("mitten", 0), ("banana", 5)], "entry string, priority int")
+    words = spark.createDataFrame([("kittne",), ("mittn",), ("bnanaa",), ("zebra",), ("kitten",)], "word string")
+    assert {r["word"]: (r["correction"], r["distance"]) for r in resolve.corrections(words, lexicon).collect()} == {"kittne": ("kitten", 1), "mittn": ("mitten", 1), "bnanaa": ("banana", 2), "kitten": ("kitten", 0)}
+
+
+def test_names_and_categories(spark):
+    assert value(spark, stitch.normal_name(F.lit("Prof. Dr. The Old Man"))) == "old man"
+    ok = lambda a, b: value(spark, stitch.compatible(stitch.canonical_category(F.lit(a)), stitch.canonical_category(F.lit(b))))
+    assert ok("human", "PERSON") and ok("object", "LOCATION") and ok("PERSON", "ANIMAL") and not ok("PERSON", "LOCATION")
+
+
+def test_generators_follow_their_seed(spark):
+    a, b = (generators.made_claims(generators.made_entities(spark, 50, seed=9).repartition(n), 50, seed=9) for n in (1, 7))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() > 100
+    kept = generators.quota(spark.range(100).select("id", (F.col("id") % 3).alias("g")), "g", 4)
+    assert {r["g"]: r["count"] for r in kept.groupBy("g").count().collect()} == {0: 4, 1: 4, 2: 4}
+
+
+def test_fixpoint_and_grow_need_no_bound(spark):
+    step = spark.createDataFrame([(k, k + 1) for k in range(12)], "a long, b long")
+    found = scratch.grow(spark.createDataFrame([(0,)], "n long"), lambda f: f.join(step, F.col("n") == F.col("a")).select(F.col("b").alias("n")), ["n"])
+    assert sorted(r["n"] for r in found.collect()) == list(range(13))
+
+
+def test_weighted_choice_is_greedy(spark):
+    rng = np.random.default_rng(1)
+    m = {s: rng.uniform(0, 1, 4) for s in range(6)}
+    mi = {(i, j): rng.uniform(0, 1) for i in range(6) for j in range(i + 1, 6)}
+    got = quaternary.weighted_choice(spark.createDataFrame([(s, *map(float, v)) for s, v in m.items()], "slot int, f1 double, h double, necessity double, violations double"), spark.createDataFrame([(i, j, float(v)) for (i, j), v in mi.items()], "i int, j int, mi double"), 4)
+    own = lambda s: float(m[s] @ [0.35, 0.25, 0.20, -0.05])
+    taken = []
+    for slot, gain in got:
+        gains = {s: own(s) - 0.15 * np.mean([mi[min(s, t), max(s, t)] for t in taken] or [0]) / 2 for s in m if s not in taken}
+        assert slot == max(gains, key=gains.get) and gain == pytest.approx(gains[slot], abs=1e-8)
+        taken.append(slot)
+
+
+def test_formulas_and_code_as_rows(spark):
+    for text in ("forall x (P(x) -> Q(x) & ~R(x))", "A & (B | C) -> D <-> E", "~(A | B)", "(A -> B) -> C", "A -> B -> C"):
+        assert parse_formula(write_formula(parse_formula(text))) == parse_formula(text)
+    spark.udtf.register("formula_nodes", FormulaNodes)
+    spark.udtf.register("code_edges", CodeGraph)
+    assert [r["op"] for r in spark.sql("SELECT * FROM formula_nodes('P(x) & ~Q') ORDER BY number").collect()] == ["&", "P", "~", "Q"]
+    assert {tuple(r) for r in spark.sql("SELECT * FROM code_edges('m', 'class A(B):\n    def f(self):\n        g()\n')").collect()} == {("m", "DEFINES", "m.A"), ("m.A", "INHERITS", "B"), ("m.A", "DEFINES", "m.A.f"), ("m.A.f", "CALLS", "g")}
+
+
+def test_significance_and_settings(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.0), ("b", 1.0, 3.0), ("b", 2.0, 4.1), ("b", 3.0, 5.0)], "g string, x double, y double")
+    got = {r["g"]: r for r in metrics.significance(rows, "x", "y", ["g"]).collect()}
+    assert got["a"]["p"] == 1.0 and got["a"]["stars"] == "" and got["b"]["p"] < 0.01 and got["b"]["stars"]
+    monkeypatch.setenv("GRAPHLOOM_DEPTH", "7")
+    s = memory.Settings({"depth": 2, "theta": 0.5, "k": 3}, {"theta": 0.7, "depth": 3}, overrides={"k": 9})
+    assert s.report() == [("depth", 7, "environment"), ("k", 9, "override"), ("theta", 0.7, "profile")]
+    t = memory.Timings()
+    for _ in range(2):
+        with t.stage("x"):
+            pass
+    assert t.total["x"] >= 0
+
+
+def test_store_report_and_drained_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a|b"), (2, "50%")], "k int, v string")
+    assert stores.report(rows, ["k", "v"]).splitlines()[1] == "| --- | --- |" and r"50\%" in stores.report(rows, ["k", "v"], "latex")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    edges = windows.chunk_pipeline(stream.select(F.col("k").alias("doc_id"), F.col("v").alias("text")), lambda c: c, lambda c: c.select("doc_id", "piece"))
+    query = edges.writeStream.format("memory").queryName("pieces").option("checkpointLocation", str(tmp_path / "c")).start()
+    assert windows.drained(query)["rows"] == 2
+    query.stop()
+    assert spark.table("pieces").count() == 2
+
+
+def test_keep_policy_of_exact_units(spark):
+    units = spark.createDataFrame([(1, 1, 0.9, 900, False), (1, 2, 0.1, 2000, True), (1, 3, 0.8, 90, False), (1, 4, 0.05, 3000, True)], "query_id long, doc_id long, score double, tokens long, exact boolean")
+    kept = lambda **o: [r["doc_id"] for r in ranking.keep_units(units, **o).collect()]
+    assert kept() == [1, 2, 3, 4] and kept(threshold=0.85) == [1, 2, 4] and kept(most=1) == [2, 4] and kept(budget=1000) == [2] and kept(threshold=0.5, most=4, budget=2200) == [2, 3]
+
+
+def test_rules_of_one_node(spark):
+    facts = spark.createDataFrame([("n", "TYPE_ANIMATE", 1), ("n", "GRAPH_ROOT_NODE", 1), ("n", "GRAPH_LEAF", 1), ("m", "GRAPH_LEAF", 1), ("m", "GRAPH_ROOT_NODE", 3)], "node string, slot string, v int")
+    assert [tuple(r) for r in rules.conflicts(facts).collect()] == [("15 root", "n", "GRAPH_ROOT_NODE", "GRAPH_LEAF")]
+    assert {r["slot"] for r in rules.deduced(facts).where("node = 'n'").collect()} >= {"ROLE_SENTIENT", "ROLE_MOVEABLE"}
+
+
+def test_sentences_skip_one_boundary_after_an_abbreviation(spark):
+    docs = spark.createDataFrame([(1, "He met Dr. Smith. She left! Mr. Mr. X. Y"), (2, ""), (3, None)], "doc_id long, text string")
+    assert [r["sentence"] for r in discourse.sentences(docs).orderBy("number").collect()] == ["He met Dr. Smith.", "She left!", "Mr. Mr.", "X.", "Y"]
+
+
+def test_relevance_by_batches(spark):
+    rows = spark.createDataFrame([(1, "a b", "b c"), (2, "", "x"), (3, None, None)], "k int, query string, text string")
+    assert {r["k"]: r["relevance"] for r in lexicon.relevance(rows, lexicon.overlap_relevance, 2).collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
