@@ -83,27 +83,27 @@ def discard(*tables: DataFrame) -> None:
 #: A key that holds more rows than this share of a table is hot; so there are at most as many hot keys as this number, and they can be broadcast.
 HOT_KEYS = 10_000
 #: Rows of a key that are never too many for a task.
-HOT_ROWS = 200
+HOT_ROWS = 400
 
 
 def join_skewed(many: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
     """Inner join of many with one, whose keys are unique, that gathers no key's rows in a task.
 
-    many should be a written table: its keys are counted first.  The rows of `one` for keys with more than
-    max(HOT_ROWS, rows / HOT_KEYS) rows, HOT_KEYS of them at most, are broadcast to where their partners
-    lie; the other keys are shuffled.
+    many should be a written table: its keys are counted first.  Keys with more than max(HOT_ROWS, rows / HOT_KEYS)
+    rows, HOT_KEYS of them at most, come to the driver; their rows of `one` are broadcast to where their
+    partners lie, and the other keys are shuffled.
     """
-    counted = many.groupBy(*key).agg(F.count("*").alias("_n"))
     total = many.count()
     if total <= HOT_ROWS:
         return many.join(one, key)
-    hot = materialise(counted.where(F.col("_n") > max(HOT_ROWS, total // HOT_KEYS)).join(one, key).drop("_n"), "hot")
-    if hot.isEmpty():
+    counted = many.groupBy(*key).agg(F.count("*").alias("_n"))
+    found = counted.where(F.col("_n") > max(HOT_ROWS, total // HOT_KEYS)).select(*key).collect()
+    if not found:
         return many.join(one, key)
+    hot = F.broadcast(many.sparkSession.createDataFrame(found, many.select(*key).schema))
     columns = [*many.columns, *(c for c in one.columns if c not in key)]
-    near = many.join(F.broadcast(hot), key).select(columns)
-    far = many.join(F.broadcast(hot.select(*key)), key, "left_anti").join(one, key).select(columns)
-    return near.unionByName(far)
+    near = many.join(F.broadcast(one.join(hot, key)), key).select(columns)
+    return near.unionByName(many.join(hot, key, "left_anti").join(one, key).select(columns))
 
 
 #: Bits of a key filter: about 32 for each key, between these bounds.  At the upper one (128 MB) fuller filters let more rows through, never fewer.

@@ -24,22 +24,25 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _resting(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: no node has two larger ends or is both end and centre."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("end"), F.lit(0).alias("centre")).union(edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("x").agg(F.sum("end").alias("ends"), F.max("centre").alias("centre"))
+    return seen.where("ends > 1 OR (ends > 0 AND centre > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node that has an edge; edges: a, b (long).  label is the smallest node of the component.
 
     Self-loops, repeated edges and nulls don't matter.  Every step is written to the shared scratch
     folder, and the one before it deleted; the number of rounds follows the logarithm of the longest path.
+    Centres of stars are the smallest nodes of their components, as every step moves ends to smaller nodes.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialise(now, "edges")
-    state = None
-    while True:
+    while not _resting(now):
         for large in (True, False):
             before, now = now, materialise(_star(now, large), "edges")
             discard(before)
-        done = now.agg(F.count("*"), F.sum(F.shiftrightunsigned(F.xxhash64("a", "b"), 24))).first()
-        if done == state:
-            break
-        state = done
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)

@@ -12,6 +12,8 @@
    the groups.
 4. The sets of each loose cluster are fetched, and a second traversal verifies pairs exactly.  Pairs that
    verified links connect already are skipped, as they cannot change the components.
+
+Groups of more than BLOCK_SETS sets are dealt out in blocks that share a hub (see `_linked`), in both traversals.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from graphloom.llm.components import components
 WORDS = 5
 #: Jaccard similarity of a link: overlap * DENOMINATOR >= union * NUMERATOR.
 NUMERATOR, DENOMINATOR = 3, 4
-#: Sets, and bytes of shingles, that one task holds at once; larger groups are split into pairs of blocks.
-BLOCK_SETS, BLOCK_BYTES = 4000, 48 << 20
+#: Sets, and bytes of shingles, that one task holds at once; larger groups are dealt out in blocks.
+BLOCK_SETS, BLOCK_BYTES = 1000, 32 << 20
 _FANOUT = 8
 
 
@@ -322,7 +324,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links a, b from each set to the first of those it is connected with in its group."""
     out = []
     for _, rows in _groups(batches, ["cluster", "pair"]):
-        rows = list({r[0]: r for r in rows}.values())
+        rows = list({(r[0], r[2]): r for r in rows}.values())
         sets = [np.frombuffer(s, np.uint64) for _, s, _ in rows]
         found = Clusters(len(rows), lambda a, b, sets=sets: similar(sets[a], sets[b]))
         found.run([len(s) for s in sets], [bitmap(s) for s in sets], [side for _, _, side in rows])
@@ -339,17 +341,56 @@ def _list_digest(node: str) -> list[F.Column]:
     return [F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("s1"), F.sum(F.shiftrightunsigned(h, 32)).alias("s2"), F.min(node).alias("lo"), F.max(node).alias("hi")]
 
 
-def _in_blocks(rows: DataFrame, blocks: F.Column) -> DataFrame:
-    """Each row once for every pair of blocks that its own block is in: pair (number), side (0 or 1)."""
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("_blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    rows = rows.withColumn("_blocks", F.greatest(blocks.cast("long"), F.lit(1).cast("long"))).withColumn("_own", own).withColumn("_other", other)
-    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
-    return rows.withColumn("pair", low * F.col("_blocks") + high).withColumn("side", (F.col("_own") > F.col("_other")).cast("long")).drop("_blocks", "_own", "_other")
+def _dealt(index: DataFrame, keep: list[str]) -> DataFrame:
+    """Each row once, in a block (pair) of its group; the group's hub comes in every block."""
+    own = F.array(F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    return index.select(*keep, "node", F.explode(F.when(F.col("node") == F.col("hub"), every).otherwise(own)).alias("pair"), F.lit(0).cast("long").alias("side"))
+
+
+def _dealt_again(index: DataFrame, rest: DataFrame, key: str) -> DataFrame:
+    """The rows that are left over (rest: key, node; side 0) against all rows of their group (side 1), in pairs of blocks."""
+    counts = rest.groupBy(key).agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("parts"))
+    sizes = index.select(key, "blocks").distinct().join(counts, key)
+    steps = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    block, part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(8)), F.col("parts"))
+    left = join_skewed(rest.select(key, "node"), sizes, [key]).withColumn("o", F.explode(steps("blocks"))).select(key, "node", (part * F.col("blocks") + F.col("o")).alias("pair"), F.lit(0).cast("long").alias("side"))
+    every = join_skewed(index.select(key, "node"), sizes, [key]).withColumn("o", F.explode(steps("parts"))).select(key, "node", (F.col("o") * F.col("blocks") + block).alias("pair"), F.lit(1).cast("long").alias("side"))
+    return left.unionByName(every)
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, n, node; links: a, b between nodes).  Links connect exactly the nodes that chains of similar sets connect."""
+def _linked(index: DataFrame, key: str, payload: Callable[[DataFrame], DataFrame], columns: list[str], find) -> tuple[DataFrame, DataFrame | None]:
+    """(links a, b; their components, where they had to be found) of the sets of each group, as `find` links them inside a block.
+
+    index (written): key, node, blocks, hub.  A group of several blocks is dealt out, its hub to every block, so
+    what a block connects with the hub is connected over all blocks.  Only sets that links of any group don't
+    connect with the hub are left over; they meet all sets of their group in pairs of blocks.  Links among sets
+    that are connected already are not needed, so nothing is lost, and a group of near copies costs its size.
+    payload: from the nodes (key) that are needed to node and the columns that find reads.
+    """
+    kept = [c for c in columns if c in index.columns and c != "node"]
+
+    def run(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+        rows = dealt.join(payload(nodes), "node").select(columns)
+        return materialise(rows.repartition(key, "pair").sortWithinPartitions(key, "pair").mapInArrow(find, "a long, b long"), "links")
+
+    links = run(_dealt(index, kept), index.select(F.col("node").alias("key")))
+    hot = index.where("blocks > 1")
+    if hot.isEmpty():
+        return links, None
+    labels = materialise(components(links), "labels")
+    hot = materialise(hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "hot-groups")
+    hubs = hot.where("node = hub").select(key, F.col("label").alias("hub_label"))
+    rest = materialise(join_skewed(hot, hubs, [key]).where("label <> hub_label").select(key, "node"), "rest")
+    if rest.isEmpty():
+        return links, labels
+    again = hot.join(rest.select(key).distinct(), key, "left_semi")
+    more = run(materialise(_dealt_again(materialise(again.select(key, "node", "blocks"), "again"), rest, key), "pairs"), again.select(F.col("node").alias("key")).distinct())
+    return links.unionByName(more), None
+
+
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(members: doc_id, n, node; links: a, b between nodes; their components, if they are known).  Links connect exactly the nodes that chains of similar sets connect."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -364,26 +405,26 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = materialise(rows.mapInArrow(_keys(frequent, key_filter(repeated)), kind), "keys")
     lists = keyed.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), *_list_digest("node")).where("lo < hi")
     chosen = lists.groupBy("sets", "s1", "s2", "lo", "hi").agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
-    chosen = materialise(chosen.select("key", "sets", "shingles"), "chosen")
+    # a set's bitmap has at most half a byte for each of its shingles
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / (2 * BLOCK_BYTES)))).cast("long")
+    chosen = materialise(chosen.select("key", blocks.alias("blocks"), F.col("lo").alias("hub")), "chosen")
     near = keyed.select("key", "node").mapInArrow(_filtered(key_filter(chosen)), "key long, node long")  # before the join shuffles it
     met = materialise(near.join(chosen, "key"), "met")
-    nodes = materialise(met.select(F.col("node").alias("key")).distinct(), "nodes")
-    signed = rows.mapInArrow(_fetched(key_filter(nodes), bitmap), "node long, n long, data binary")
-    signed = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("bits"))
-    # a set's bitmap has at most half a byte for each of its shingles
-    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / (2 * BLOCK_BYTES)))
-    groups = _in_blocks(met.join(signed, "node"), blocks).select("key", "pair", "node", "n", "bits", "side")
-    ordered = groups.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    loose = materialise(components(ordered.mapInArrow(_loose, "a long, b long")).withColumnRenamed("label", "cluster"), "loose")
-    discard(repeated, keyed, chosen, met, nodes)
+    discard(repeated, keyed, chosen)
+
+    def fetched(form: Callable[[np.ndarray], bytes]) -> Callable[[DataFrame], DataFrame]:
+        return lambda nodes: rows.mapInArrow(_fetched(key_filter(materialise(nodes.distinct(), "nodes")), form), "node long, n long, data binary").groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("data"))
+
+    links, loose = _linked(met, "key", fetched(bitmap), ["key", "pair", "node", "n", "data", "side"], _loose)
+    loose = materialise((components(links) if loose is None else loose).withColumnRenamed("label", "cluster"), "loose")
+    discard(met)
     first = materialise(members.where("n > 0").groupBy("node").agg(F.first("n").alias("n")).join(loose, "node"), "clusters")
     sizes = first.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    sets = rows.mapInArrow(_fetched(key_filter(first.select(F.col("node").alias("key"))), _packed), "node long, n long, data binary")
-    sets = sets.join(first.select("node"), "node", "left_semi").groupBy("node").agg(F.first("data").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") * 8 / BLOCK_BYTES))
-    pairs = _in_blocks(join_skewed(first, sizes, ["cluster"]), blocks).select("cluster", "pair", "node", "side").join(sets, "node").select("cluster", "pair", "node", "shingles", "side")
-    links = pairs.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(_verified, "a long, b long")
-    return members, links
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") * 8 / BLOCK_BYTES))).cast("long")
+    sizes = sizes.select("cluster", blocks.alias("blocks"))
+    index = materialise(join_skewed(first.select("cluster", "node"), sizes, ["cluster"]).withColumn("hub", F.col("cluster")), "index")
+    links, labels = _linked(index, "cluster", fetched(_packed), ["cluster", "pair", "node", "data", "side"], _verified)
+    return members, links, labels
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,8 +434,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null) has none and is linked with nothing.  Rows with equal sets are always linked.  Repeated ids are
     rows of their own; other columns are ignored.  Sets are told apart by 64-bit digests of them.
     """
-    members, links = similar_sets(docs, id_col, text_col)
-    labels = components(links)
+    members, links, labels = similar_sets(docs, id_col, text_col)
+    labels = components(links) if labels is None else labels
     # one row a set first, pre-aggregated where the rows lie: a set with many copies is one row a task
     sets = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(labels, "node", "left")
     sets = materialise(sets.select("node", "doc_id", F.coalesce("label", F.col("node")).alias("label")), "sets")

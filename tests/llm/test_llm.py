@@ -134,7 +134,8 @@ def brute_decontaminate(texts, items):
 
 
 @pytest.mark.parametrize("shard_words", [200_000, 20])
-def test_decontamination(spark, shard_words):
+def test_decontamination(spark, shard_words, monkeypatch):
+    monkeypatch.setattr(decontaminate, "TOGETHER", 2)
     rng = random.Random(2)
     word = lambda: rng.choice("ab") + rng.choice(["", "é", "0"])
     items = [(k, " ".join(word() for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 25])))) for k in range(25)] + [(90, None), (91, "...")]
@@ -305,10 +306,43 @@ def test_fingerprints(spark):
     spread = docs.withColumn("doc_id", F.when(F.col("doc_id") == 8, 10**15).otherwise(F.col("doc_id") * 7)).fillna("", ["text"])
     order = sorted(((r["doc_id"], r["text"]) for r in spread.collect()), reverse=True)
     for rows in (1, 3, 2000):
-        got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(fingerprint.with_fingerprint(spread), rows).collect()}
+        got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(spread.select("doc_id", "text"), rows).collect()}
         assert got == {k: order[(p + 1) % len(order)][1] for p, (k, _) in enumerate(order)}
 
 
+def brute_canonical(text):
+    nfc = lambda t: unicodedata.normalize("NFC", t)
+    return re.sub(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", nfc(nfc(text).casefold())).strip(" ")
+
+
+def test_fingerprint_query_by_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(["a", "B", " ", "é", "\n", "Σ"]) for _ in range(rng.choice([0, 1, 2, 3, 9]))) for _ in range(120)] + [None, "x" * 40000, "X" * 40000, "same", "Same ", "SAME"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    spark.createDataFrame([(7 * k, t, "en", "s", 0) for k, t in rows], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in fingerprint.op7_document_fingerprints(spark, str(tmp_path)).collect()}
+    plain = [t or "" for t in texts]
+    assert len(got) == len(plain)
+    same: dict = {}
+    for k, t in enumerate(plain):
+        follow = plain[k - 1] if k else plain[-1]  # the next lower id; after the least comes the highest
+        half = len(t) // 2
+        edited = t[: len(t) - half] + follow[:half]
+        r = got[7 * k]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["near_edited"] == float(brute_canonical(t) == brute_canonical(edited)) and r["near_next"] == float(brute_canonical(t) == brute_canonical(follow))
+        assert r["copies"] == sum(brute_canonical(u) == brute_canonical(t) for u in plain) and r["variants"] == 1
+        assert same.setdefault(brute_canonical(t), r["fingerprint"]) == r["fingerprint"]
+    assert len(set(same.values())) == len(same)
+
+
+def test_fingerprint_collisions_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "wide_hash", lambda text: F.lpad(F.char_length(text).cast("string"), 32, "0"))
+    groups = {r["doc_id"]: (r["variant"], r["copies"]) for r in fingerprint.fingerprint_groups(make(spark, ["aa", "bb", "AA", "ccc", "c", None])).collect()}
+    assert groups == {0: (0, 2), 2: (0, 2), 1: (1, 1), 3: (0, 1), 4: (0, 1), 5: (0, 1)}
+
+
 def test_canonical_form_is_normalised_and_folded(spark):
     same = [("\u00ea\u0323", "e\u0302\u0323", "\u1ec7", "e\u0323\u0302"), ("\u1f02\u0345", "\u1f82"), ("\u00e9\u0315", "e\u0315\u0301"), ("ΛΌΓΟΣ", "λόγος", "λο\u0301γοσ"), ("\u1112\u1161\u11ab", "\ud558\u11ab", "\ud55c"), ("\u0390", "\u03aa\u0301")]
     rng = random.Random(9)
@@ -355,6 +389,17 @@ def test_ngram_join(spark, corpus, block, monkeypatch):
     assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(corpus)
 
 
+def test_ngram_join_of_a_long_chain_in_small_blocks(spark, monkeypatch):
+    """Neighbours are alike, ends aren't: most blocks aren't connected with the hub at first."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    words = [f"w{k}" for k in range(260)]
+    texts = [" ".join([*words[3 * k : 3 * k + 60], *["same", "five", "words", "in", "all"]]) for k in range(60)]
+    random.Random(4).shuffle(texts)
+    texts += [" ".join(f"z{j}" for j in range(9 * k, 9 * k + 40)) for k in range(20)] + texts[:9]
+    got = ngram_join.near_duplicates(make(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts)
+
+
 def test_signature_bounds_lose_nothing():
     rng = np.random.default_rng(4)
     for _ in range(300):
@@ -488,6 +533,54 @@ def operators(docs, spark):
     }
 
 
+ODD = ["You stupid thing, mail a.b@c.de or call +1 (555) 123-4567. token=abcdef1234 AKIA" + "Q" * 16, None, "", "some words here that say little", "some words here that say little"]
+
+
+def own_values(name, out):
+    """What an operator says of each row, by doc_id."""
+    told = {"packing": ["doc_id", "piece", "start", "length", "ids_crc32"], "dedup": ["doc_id", "n_words", "n_removed", "kept_text"], "pii": ["doc_id", "base_spans", "pii_spans"], "fingerprint": ["doc_id", "fingerprint", "variant"]}
+    extra = {"toxicity": ["toxicity_score"], "quality": ["quality_score"]}
+    return sorted(map(repr, map(tuple, out.select(told.get(name, ["doc_id", "text", *extra.get(name, [])])).collect())))
+
+
+@pytest.mark.parametrize("kind", ["clashing", "repeated"])
+def test_odd_tables_change_no_value(spark, kind):
+    plain = make(spark, ODD)
+    odd = plain.select("*", *[F.lit("x").alias(c) for c in CLASHING]) if kind == "clashing" else plain.union(plain)
+    want, got = operators(plain, spark), operators(odd, spark)
+    for name in want:
+        if kind == "repeated" and name == "near":
+            continue  # rows that share the smallest id all stay
+        once = own_values(name, want[name]())
+        assert own_values(name, got[name]()) == (once if kind == "clashing" else sorted(once * 2)), name
+
+
+def test_one_very_long_text(spark):
+    part = "You are stupid. Call 555-123-4567, token=abcdef1234 é "
+    docs = make(spark, [part * 4000, "ok"])
+    assert docs.select(F.max(F.length("text"))).first()[0] > 200_000
+    pii_spans, secret_spans = (df.where("doc_id = 0").first()[c] for df, c in ((pii.find_pii(docs), "pii_spans"), (secrets.find_secrets(docs), "secret_spans")))
+    assert len(pii_spans) == 4000 and len(secret_spans) == 4000 and secret_spans[-1]["start"] == 3999 * len(part) + part.index("token")
+    scores = {r["doc_id"]: r["toxicity_score"] for r in toxicity.score_toxicity(docs, toxicity.ToxicityModel(toxicity.Grammar(), None)).collect()}
+    assert scores[0] > 0.5 > scores[1] == 0.0
+    assert {r["doc_id"]: len(r["fingerprint"]) for r in fingerprint.fingerprint_groups(docs).collect()} == {0: 32, 1: 32}
+    assert quality.score_quality(docs, None).count() == 2
+    chats = spark.createDataFrame([(1, 0, "user", part * 4000), (1, 1, "assistant", "fine")], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_chats(chats)).first()["loss_chars"] == 4
+
+
+def test_odd_conversations(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    empty = chat.format_chats(spark.createDataFrame([], schema))
+    assert empty.count() == 0 and chat.read_back(empty).count() == 0
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, None, None, None)]
+    df = spark.createDataFrame(rows, schema).select("*", *[F.lit("x").alias(c) for c in ("position", "segments", "state", "error", "loss")])
+    back = chat.read_back(chat.format_chats(df)).collect()
+    # a null turn comes first; equal turns go by role, then text; repeated rows are repeated turns
+    told = "".join(f"{r}\n{t}\n" for r, t in (("", ""), ("assistant", "b"), ("user", "a"), ("user", "a")))
+    assert len(back) == 1 and back[0]["n_turns"] == 4 and back[0]["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest() and not back[0]["valid"]
+
+
 @pytest.mark.parametrize("kind", ["empty", "nulls", "clashing", "repeated"])
 def test_odd_tables(spark, kind):
     docs = make(spark, ["some words here that say little", None, ""])
