@@ -254,5 +254,5 @@ UNION ALL SELECT 'patient', CASE k WHEN 0 THEN 'VAL_X3_RECIPIENT' WHEN 2 THEN 'V
 SELECT rel, CASE WHEN s_suppkey IS NULL THEN NULL WHEN s_suppkey % 3 > 0 THEN 'ORGANIZATION' ELSE 'OBJECT' END AS kind, count(*) AS n, CAST(round(sum(c), 3) AS DOUBLE) AS confidence FROM e LEFT JOIN supplier ON s_suppkey = dst GROUP BY 1, 2""",
     "graph_answers": "SELECT c_custkey AS id, 'CU-' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ' is in ' ELSE ' born in ' END || n_name || '.' AS text, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "distractor_pruning": "SELECT c_custkey AS id, ['media', 'military', 'disambiguation', NULL, 'sport'][c_custkey % 5 + 1] AS plain, [NULL, NULL, 'disambiguation', NULL, 'sport'][c_custkey % 5 + 1] AS asked FROM customer",
-    "formula_round_trip": "SELECT c_custkey AS id, true AS same, 12 AS parts FROM customer",
+    "formula_round_trip": "SELECT c_custkey AS id, true AS same, CAST(12 AS BIGINT) AS parts FROM customer",
 }

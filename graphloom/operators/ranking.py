@@ -307,16 +307,16 @@ ORACLE_SQL = {
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM r WHERE (exact OR score >= 0.5 OR rank = 1) AND (exact OR rank <= 6)),
 f AS (SELECT query_id, doc_id, score, tokens, exact, n, tokens AS used, true AS kept FROM k WHERE n = 1 UNION ALL SELECT k.query_id, k.doc_id, k.score, k.tokens, k.exact, k.n, CASE WHEN f.used + k.tokens <= CASE WHEN k.exact THEN 3500 ELSE 1000 END THEN f.used + k.tokens ELSE f.used END, f.used + k.tokens <= CASE WHEN k.exact THEN 3500 ELSE 1000 END FROM f JOIN k ON k.query_id = f.query_id AND k.n = f.n + 1)
 SELECT query_id, doc_id, score, tokens, exact FROM f WHERE kept""",
-    "rrf_exact_id": f"WITH {_ALL}, {_DENSE}, {_fused_sql('exact')} SELECT query_id, doc_id, score, place FROM g WHERE place <= 5",
+    "rrf_exact_id": f"WITH {_ALL}, {_DENSE}, {_fused_sql('exact')} SELECT query_id, doc_id, score, CAST(place AS INTEGER) AS place FROM g WHERE place <= 5",
     "rrf_bypass_rank": f"""WITH {_ALL}, {_DENSE}, {_fused_sql('exact AND query_id % 2 = 0')}, h AS (SELECT query_id FROM de GROUP BY query_id HAVING max(score) >= 0.4 EXCEPT SELECT query_id FROM a WHERE exact),
-z AS (SELECT query_id, doc_id, score, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS place FROM de WHERE query_id IN (SELECT query_id FROM h)) SELECT query_id, doc_id, score, place FROM g WHERE place <= 5 AND query_id NOT IN (SELECT query_id FROM h) UNION ALL SELECT * FROM z WHERE place <= 5""",
+z AS (SELECT query_id, doc_id, score, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS place FROM de WHERE query_id IN (SELECT query_id FROM h)) SELECT query_id, doc_id, score, CAST(place AS INTEGER) AS place FROM g WHERE place <= 5 AND query_id NOT IN (SELECT query_id FROM h) UNION ALL SELECT query_id, doc_id, score, CAST(place AS INTEGER) FROM z WHERE place <= 5""",
     "cascade_rerank": f"""WITH {_ALL}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk, count(*) OVER (PARTITION BY query_id) AS n FROM sc),
 x AS (SELECT r.query_id, r.doc_id, CASE WHEN rk <= greatest(2, least(n, greatest(n // 2, 6))) THEN round(1000.0 / (1000 + length(text)), 6) ELSE round(score * 0.1, 6) END AS score, CASE WHEN rk <= greatest(2, least(n, greatest(n // 2, 6))) THEN 2 ELSE 1 END AS stage FROM r JOIN d ON d.doc_id = r.doc_id) {retrieval._top('x', 12)}""",
     "mode_routes": retrieval.ORACLE_SQL["coverage_score"].replace("SELECT *, CASE WHEN coverage >= 0.75 THEN 'raw' ELSE 'hot' END AS mode FROM s", f"SELECT s.query_id, CASE WHEN m >= 0.4 OR coverage >= 0.75 THEN 'raw' ELSE 'hot' END AS mode, CASE WHEN m >= 0.4 THEN 1.0 ELSE coverage END AS coverage FROM s LEFT JOIN (WITH {_DENSE} SELECT query_id, max(score) AS m FROM de GROUP BY query_id) x ON x.query_id = s.query_id"),
     "passage_packing": f"""WITH RECURSIVE {retrieval._BM25}, top AS ({retrieval._top('bm', 30)}), p AS (SELECT query_id, top.doc_id, score, {_WC.format("coalesce(text, '')")} + 15 AS cost FROM top JOIN documents USING (doc_id) WHERE {_WC.format("coalesce(text, '')")} > 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n, sum(cost) OVER (PARTITION BY query_id) AS total FROM p),
 f AS (SELECT query_id, doc_id, cost, total, n, cost AS used, true AS kept FROM o WHERE n = 1 UNION ALL SELECT o.query_id, o.doc_id, o.cost, o.total, o.n, CASE WHEN f.used + o.cost <= 1127 OR o.total <= 1127 THEN f.used + o.cost ELSE f.used END, f.used + o.cost <= 1127 OR o.total <= 1127 FROM f JOIN o ON o.query_id = f.query_id AND o.n = f.n + 1),
-c AS (SELECT query_id, doc_id, sum(cost) OVER (PARTITION BY query_id ORDER BY doc_id) AS used, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS place FROM f WHERE kept) SELECT query_id, doc_id, place FROM c WHERE place = 0 OR used <= 1127""",
+c AS (SELECT query_id, doc_id, sum(cost) OVER (PARTITION BY query_id ORDER BY doc_id) AS used, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS place FROM f WHERE kept) SELECT query_id, doc_id, CAST(place AS INTEGER) AS place FROM c WHERE place = 0 OR used <= 1127""",
     "dense_rag_baseline": f"""WITH {_DENSE}, p AS (SELECT query_id, doc_id, score, greatest(1, CAST(floor({_WC.format("coalesce(text, '')")} * 1.33) AS BIGINT)) + 10 AS cost FROM de JOIN documents USING (doc_id)), r AS (SELECT *, row_number() OVER w AS rk, sum(cost) OVER (PARTITION BY query_id ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id))
 SELECT query_id, doc_id, CAST(used AS BIGINT) AS used FROM r WHERE (used <= 1200 OR rk = 1) AND rk <= 4""",
     "concept_overlap": f"""WITH k AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 100 AS c FROM lineitem), n AS (SELECT o, count(*) AS n FROM k GROUP BY o), m AS (SELECT q.o AS query_id, x.o AS doc_id, round(count(*) / max(n), 6) AS score FROM k q JOIN k x ON q.c = x.c AND q.o <> x.o JOIN n ON n.o = q.o WHERE q.o % 50 = 0 GROUP BY ALL) {retrieval._top('m', 5)}""",
