@@ -28,7 +28,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
     Spark reads both settings when a plan runs, so they stay set in the session; smaller ones of the caller are kept.
     """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)) or 0)
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
@@ -106,7 +106,7 @@ def join_skewed(many: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
     return near.unionByName(many.join(hot, key, "left_anti").join(one, key).select(columns))
 
 
-#: Bits of a key filter: about 32 for each key, between these bounds.  At the upper one (128 MB) fuller filters let more rows through, never fewer.
+#: Bits of a key filter: about 16 for each key, between these bounds.  At the upper one (128 MB) fuller filters let more rows through, never fewer.
 FILTER_BITS = (1 << 20, 1 << 30)
 
 
@@ -115,7 +115,7 @@ def key_filter(keys: DataFrame) -> Broadcast:
 
     The bits are combined by word on the executors; the driver gets the words that aren't zero.
     """
-    size = min(max(FILTER_BITS[0], 1 << (32 * keys.count()).bit_length()), FILTER_BITS[1])
+    size = min(max(FILTER_BITS[0], 1 << (16 * keys.count()).bit_length()), FILTER_BITS[1])
     bit = F.pmod(F.col("key"), F.lit(size))
     words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {size}L) & 63 as int))").alias("b"))
     bitmap = np.zeros(size // 64, np.int64)

@@ -142,6 +142,17 @@ def _matched(shard: Broadcast, window: int, carried: bool):
     return run
 
 
+def _chained(steps: list):
+    """The steps one after another in one Python worker, so that a task needs one whatever the number of automata."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return run
+
+
 def _cleaned(min_words: int, max_coverage: float):
     """From hits to counts, digest and clean text."""
 
@@ -212,20 +223,21 @@ def find_contamination(
     df = docs.select(docs[id_col].alias("doc_id"), *rest, docs[text_col].cast("string").alias("_text"))
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "_text")
     held: list[Broadcast] = []
+    steps: list = []
     written: DataFrame | None = None
     for k, shard in enumerate(_shards(bench, bench_id, bench_text, window, shard_words)):
         if len(held) == TOGETHER:
-            before, written = written, materialise(df, "matched")
+            before, written = written, materialise(df.mapInArrow(_chained(steps), f"{base}, _text string, {_STATE}"), "matched")
             df = written
             for automaton in held:
                 automaton.destroy()
-            held = []
+            held, steps = [], []
             if before is not None:
                 discard(before)
         held.append(spark.sparkContext.broadcast(shard))
-        df = df.mapInArrow(_matched(held[-1], window, k > 0), f"{base}, _text string, {_STATE}")
+        steps.append(_matched(held[-1], window, k > 0))
     out = f"{base}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string, over_coverage boolean, hit_ranges array<int>"
-    return df.mapInArrow(_cleaned(min_words, max_coverage), out)
+    return df.mapInArrow(_chained([*steps, _cleaned(min_words, max_coverage)]), out)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

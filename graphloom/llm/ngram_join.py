@@ -36,7 +36,7 @@ WORDS = 5
 #: Jaccard similarity of a link: overlap * DENOMINATOR >= union * NUMERATOR.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Sets, and bytes of shingles, that one task holds at once; larger groups are dealt out in blocks.
-BLOCK_SETS, BLOCK_BYTES = 1000, 32 << 20
+BLOCK_SETS, BLOCK_BYTES = 1000, 16 << 20
 _FANOUT = 8
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -118,14 +119,14 @@ def _encoder(path: str):
 
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
+    slow = lru_cache(1)(lambda: Tokenizer.from_file(path))  # only where a text needs it
     ranks = Path(path).with_suffix(".tiktoken")
     if not ranks.exists():
-        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+        return lambda text: np.array(slow().encode(text, add_special_tokens=False).ids, "<u4")
     import public_tokenizers
     import tiktoken
 
-    special = {t.content: k for k, t in slow.get_added_tokens_decoder().items()}
+    special = {t["content"]: t["id"] for t in json.loads(Path(path).read_text()).get("added_tokens", [])}
     pairs = (line.split() for line in ranks.read_bytes().splitlines() if line)
     fast = tiktoken.Encoding(
         ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens=special
@@ -133,7 +134,7 @@ def _encoder(path: str):
 
     def encode(text: str) -> np.ndarray:
         if _UNUSUAL.search(text):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+            return np.array(slow().encode(text, add_special_tokens=False).ids, "<u4")
         return fast.encode_to_numpy(text, allowed_special="all")
 
     return encode
