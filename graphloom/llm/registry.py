@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, decontaminate, fingerprint, ngram_join, packing, pii, quality, secrets, substring_dedup, toxicity
+from graphloom.llm import chat, decontaminate, fingerprint, merkle, ngram_join, packing, pii, quality, runs, secrets, sharding, substring_dedup, toxicity
 
 QUERIES: dict = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,9 @@ QUERIES: dict = {
     "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
     "op9_pii": pii.op9_pii,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 ORACLES: dict = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
@@ -22,4 +25,6 @@ ORACLES: dict = {
     "op4_chat_formatting": chat.OP4_SQL,
     "op8_ngram_jaccard_join": ngram_join.OP8_SQL,
     "op10_secret_scans": secrets.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_sharding": sharding.OP12_SQL,
 }
