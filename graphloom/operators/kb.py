@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import components
 from graphloom.sources.scratch import fixpoint
 from graphloom.sources.tables import table, triples
 
@@ -143,8 +144,8 @@ def q_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every node that leads anywhere: how many nodes it reaches, and whether itself."""
-    return closure(_up(spark, sf_dir)).groupBy("root").agg(F.count("*").alias("reached"), F.bool_or(F.col("root") == F.col("node")).alias("cyclic"))
+    """For every node the cycle-bound component that it belongs to, and whether a cycle passes it."""
+    return components(_up(spark, sf_dir))
 
 
 def resolved(values: DataFrame, names: DataFrame) -> DataFrame:
@@ -309,7 +310,7 @@ ORACLE_SQL = {
     "reverse_degree": f"WITH {T_SQL}, d AS (SELECT object AS node, count(*) AS degree FROM t GROUP BY object) SELECT *, CASE WHEN degree > 2 THEN round(least(log2(degree + 1), 1.5), 6) ELSE 1.0 END AS penalty FROM d",
     "dangling_edges": f"WITH {T_SQL} SELECT property, count(*) AS n, count(DISTINCT object) AS targets FROM t WHERE object NOT IN (SELECT subject FROM t) GROUP BY property",
     "hypernym_closure": _UP + " SELECT node, count(*) AS n, max(depth) AS depth FROM least_depth GROUP BY node",
-    "cycle_check": _UP + " SELECT root, count(*) AS reached, bool_or(root = node) AS cyclic FROM least_depth GROUP BY root",
+    "cycle_check": _UP + ", m AS (SELECT a.root, a.node FROM least_depth a JOIN least_depth b ON a.root = b.node AND a.node = b.root), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT n.node, coalesce(min(m.node), n.node) AS component, greatest(count(m.node), 1) AS members, count(m.node) > 0 AS cyclic FROM n LEFT JOIN m ON m.root = n.node GROUP BY n.node",
     "integrity_rules": _rules(),
     "path_resolved": "SELECT 'C:' || c_custkey AS root, 'R:' || n_regionkey AS node FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 < 3",
     "literal_lookup": """WITH w AS (SELECT DISTINCT p_partkey AS node, unnest(string_split(lower(p_name), ' ')) AS word FROM part), a AS (SELECT unnest(['red', 'bolts', 'widg', 'gear']) AS asked),

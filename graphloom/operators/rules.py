@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.scratch import grow
+from graphloom.operators.components import components
+from graphloom.sources.scratch import cut, grow
 from graphloom.sources.tables import fluents, slots, table
 
 #: Pairs of slots that exclude each other, by rule.
@@ -89,9 +90,14 @@ def role_conflicts(edges: DataFrame, facts: DataFrame) -> DataFrame:
 PRECEDENCE = {"BEFORE": True, "MEETS": True, "PRECEDES": True, "AFTER": False}
 
 
+def followed(edges: DataFrame) -> DataFrame:
+    """x, y: x is said to come before y, each pair once."""
+    return edges.where(F.col("rel").isin(*PRECEDENCE)).select(F.when(F.col("rel") == "AFTER", F.col("dst")).otherwise(F.col("src")).alias("x"), F.when(F.col("rel") == "AFTER", F.col("src")).otherwise(F.col("dst")).alias("y")).distinct()
+
+
 def precedence(edges: DataFrame) -> DataFrame:
     """x, y: x comes before y, directly or through others (transitive closure, each pair once)."""
-    direct = edges.where(F.col("rel").isin(*PRECEDENCE)).select(F.when(F.col("rel") == "AFTER", F.col("dst")).otherwise(F.col("src")).alias("x"), F.when(F.col("rel") == "AFTER", F.col("src")).otherwise(F.col("dst")).alias("y")).distinct()
+    direct = followed(edges)
     base = direct.select(F.col("x").alias("y"), F.col("y").alias("z"))
     return grow(direct, lambda new: new.join(base, "y").select("x", F.col("z").alias("y")), ["x", "y"])
 
@@ -107,7 +113,8 @@ def order_conflicts(edges: DataFrame, intervals: DataFrame) -> DataFrame:
     late = F.arrays_overlap("r", F.array(*[F.lit(x) for x in ("DURING", "EQUALS", "OVERLAPS", "AFTER")]))
     bad.append(kinds.where(early & late).select(F.lit("9B exclusive").alias("rule"), F.col("src").alias("x"), F.col("dst").alias("y")))
     before = precedence(edges)
-    bad.append(before.where("x = y").select(F.lit("9C cycle").alias("rule"), "x", "y"))
+    on_cycles = components(followed(edges).select(F.col("x").alias("src"), F.col("y").alias("dst"))).where("cyclic")
+    bad.append(on_cycles.select(F.lit("9C cycle").alias("rule"), F.col("node").alias("x"), F.col("node").alias("y")))
     i = lambda n: intervals.select(F.col("event").alias(n), F.col("t0").alias(f"{n}0"), F.col("t1").alias(f"{n}1"))
     timed = before.join(i("x"), "x").join(i("y"), "y").where((F.col("x1") > F.col("y0")) | (F.col("x0") > F.col("y1")))
     bad.append(timed.select(F.lit("9D clock").alias("rule"), "x", "y"))
@@ -119,13 +126,11 @@ def order_conflicts(edges: DataFrame, intervals: DataFrame) -> DataFrame:
 
 def open_recursions(edges: DataFrame, marked: DataFrame, bases: DataFrame) -> DataFrame:
     """node, marked, based: nodes on cycles of edges (src, dst); a sound cycle has a recursion marker and a base case (both: node), else one of its columns is false."""
-    start = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).distinct()
-    base = start.select(F.col("x").alias("y"), F.col("y").alias("z"))
-    reach = grow(start, lambda new: new.join(base, "y").select("x", F.col("z").alias("y")), ["x", "y"])
-    mutual = reach.join(reach.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"])  # on one cycle with each other
-    flag = lambda df, n: df.select(F.col("node").alias("y"), F.lit(True).alias(n)).distinct()
-    seen = mutual.join(flag(marked, "m"), "y", "left").join(flag(bases, "b"), "y", "left")
-    return seen.groupBy(F.col("x").alias("node")).agg(F.bool_or(F.coalesce("m", F.lit(False))).alias("marked"), F.bool_or(F.coalesce("b", F.lit(False))).alias("based"))
+    on_cycles = cut(components(edges).where("cyclic").select("node", "component"), "cycles")
+    flag = lambda df, n: df.select("node", F.lit(True).alias(n)).distinct()
+    seen = on_cycles.join(flag(marked, "m"), "node", "left").join(flag(bases, "b"), "node", "left")
+    sound = seen.groupBy("component").agg(F.bool_or(F.coalesce("m", F.lit(False))).alias("marked"), F.bool_or(F.coalesce("b", F.lit(False))).alias("based"))
+    return on_cycles.join(sound, "component").select("node", "marked", "based")
 
 
 def named_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

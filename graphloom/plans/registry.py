@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.operators import answers, discourse, graph, kb, lexicon, memory, metrics, nodes, quaternary, ranking, relational, resolve, retrieval, rules, spatial, stitch, temporal, text
+from graphloom.operators import answers, components, difference, discourse, graph, kb, lexicon, memory, metrics, nodes, quaternary, ranking, relational, resolve, retrieval, rules, spatial, stitch, temporal, text
 from graphloom.sources import generators, stores
 from graphloom.streaming import windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (text, discourse, answers, retrieval, ranking, quaternary, nodes, kb, graph, rules, lexicon, memory, temporal, metrics, resolve, stitch, spatial, relational, windows, stores, generators):
+for _module in (text, discourse, answers, retrieval, ranking, quaternary, nodes, kb, components, difference, graph, rules, lexicon, memory, temporal, metrics, resolve, stitch, spatial, relational, windows, stores, generators):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
 FLAGSHIP = "bm25_topk"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.parsers import CodeGraph, CodeNodes, FormulaNodes, SexprNodes, parse_formula, parse_sexpr, write_formula, write_sexpr
-from graphloom.operators import answers, discourse, graph, kb, lexicon, memory, metrics, quaternary, ranking, resolve, retrieval, rules, spatial, stitch, temporal, text
+from graphloom.operators import answers, difference, discourse, graph, kb, lexicon, memory, metrics, quaternary, ranking, resolve, retrieval, rules, spatial, stitch, temporal, text
 from graphloom.plans import registry
 from graphloom.sources import generators, scratch, stores
 from graphloom.streaming import windows
@@ -129,7 +129,7 @@ def test_as_of_is_half_open(spark):
 
 def test_difference_constraints(spark):
     c = spark.createDataFrame([(1, "a", "b", -2.0), (1, "b", "a", 1.0), (2, "a", "b", -2.0), (2, "b", "a", 3.0)], "problem long, x string, y string, c double")
-    assert {r["problem"]: r["consistent"] for r in temporal.inconsistent(c).collect()} == {1: False, 2: True}
+    assert {r["problem"]: r["consistent"] for r in difference.consistent(c).collect()} == {1: False, 2: True}
 
 
 def test_calibration_and_truth(spark):
@@ -252,7 +252,7 @@ def test_choices_numbers_and_extracts(spark):
 
 def test_allen_constraints_find_contradictions(spark):
     r = spark.createDataFrame([(1, "a", "BEFORE", "b"), (1, "b", "BEFORE", "c"), (1, "c", "BEFORE", "a"), (2, "a", "DURING", "b"), (2, "b", "BEFORE", "c"), (3, "a", "EQUALS", "b"), (3, "a", "BEFORE", "b")], "problem long, a string, rel string, b string")
-    assert {x["problem"]: x["consistent"] for x in temporal.inconsistent(temporal.allen_constraints(r)).collect()} == {1: False, 2: True, 3: False}
+    assert {x["problem"]: x["consistent"] for x in difference.consistent(temporal.allen_constraints(r)).collect()} == {1: False, 2: True, 3: False}
 
 
 def test_deletions_meet_within_two_edits(spark):
