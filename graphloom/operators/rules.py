@@ -32,11 +32,11 @@ EXCLUSIVE = {
 }
 #: Rule 21: two facts that exclude each other unless one of two others holds.
 NEGATED = ("21 negation", "NSM_TRUE", "LJB_NA_NEGATION", ("NSM_MAYBE", "MODALITY_FIGURATIVE"))
-#: A slot that is true makes others true.
+#: A slot that is true makes others true.
 DEDUCTIONS = (
     ("TYPE_ANIMATE", "ROLE_SENTIENT"), ("TYPE_ANIMATE", "ROLE_MOVEABLE"), ("TYPE_ATTRIBUTE_PROPERTY", "WN_ATTRIBUTE_PROP"), ("EPIST_DEDUCTIVE_INFERENCE", "SOLVER_PROOF_VALIDATED"), ("EPIST_AXIOMATIC_PREMISE", "SOLVER_CWA_CLOSED_WORLD"),
 )
-#: Rules 6 to 8 on the target of a role in a literal event: (rule, relation, slots (value 1) of which it needs one, those that may be unknown (3) as well, slots that forbid it, slots that excuse it).
+#: Rules 6 to 8 on the target of a role in a literal event: (rule, relation, slots (value 1) of which it needs one, those that may be unknown (3) as well, slots that forbid it, slots that excuse it).
 ROLES = (
     ("6 agent", "VAL_X1_AGENT", ("ROLE_AGENT_CAPABLE", "ROLE_VOLITIONAL_SOURCE", "TYPE_HUMAN", "TYPE_ANIMATE", "TYPE_ORGANIZATION", "GRAPH_VARIABLE_BIND"), ("TYPE_HUMAN", "TYPE_ANIMATE"), (), ("MODALITY_FIGURATIVE",)),
     ("6A artifact", "VAL_X1_AGENT", (), (), ("TYPE_ARTIFACT",), ("ROLE_AGENT_CAPABLE", "ROLE_VOLITIONAL_SOURCE", "MODALITY_FIGURATIVE")),

@@ -84,3 +84,37 @@ def test_negative_cycles(spark):
         assert [r["step"] for r in cycle] == list(range(len(cycle))) and len({r["y"] for r in cycle}) == len(cycle)
         assert cycle[0]["y"] == min(r["y"] for r in cycle) and all(a["x"] == b["y"] for a, b in zip(cycle, [*cycle[1:], cycle[0]], strict=True))
         assert all((r["x"], r["y"], r["c"]) in given[p] for r in cycle) and sum(r["c"] for r in cycle) < 0
+
+
+def test_cores_against_all_subsets(spark):
+    from itertools import combinations
+
+    from graphloom.operators import provenance
+
+    rng = random.Random(6)
+    names = "abcdefgh"
+    rules = (((("a", "b")), "x"), (("c",), "x"), (("x", "d"), "y"), (("e",), "y"), (("y",), "z"), (("z", "f"), "e"))
+    denials = (("1", ("x", "g"), ()), ("2", ("y", "h"), ("free",)), ("3", ("z", "x"), ()), ("4", ("a", "h"), ()))
+    nodes = {n: {x for x in [*names, "free"] if rng.random() < (0.5 if x != "free" else 0.2)} for n in range(25)}
+
+    def closed(facts):
+        out = set(facts)
+        while more := {c for p, c in rules if out >= set(p)} - out:
+            out |= more
+        return out
+
+    want = set()
+    for n, facts in nodes.items():
+        found = []
+        for rule, (a, b), excuses in denials:
+            if closed(facts) & set(excuses):
+                continue
+            enough = []
+            for s in (s for k in range(1, len(facts) + 1) for s in combinations(sorted(facts), k)):
+                if {a, b} <= closed(s) and not any(set(t) <= set(s) for t in enough):
+                    enough.append(s)
+            found += [(rule, n, a, b, s) for s in enough]
+        want |= {(*f, not any(set(g[4]) < set(f[4]) for g in found)) for f in found}
+    df = spark.createDataFrame([(n, x) for n, facts in nodes.items() for x in facts] * 2 + [(None, "a"), (3, None)], "node long, fact string")
+    got = {(r["rule"], r["node"], r["a"], r["b"], tuple(r["premises"]), r["irreducible"]) for r in provenance.cores(df, rules, denials).collect()}
+    assert got == want and len(want) > 20
