@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.operators import alias_automaton, answers, components, difference, discourse, graph, kb, lexicon, memory, metrics, nodes, provenance, quaternary, ranking, relational, resolve, retrieval, rules, spatial, stitch, temporal, text, vector_index
+from graphloom.operators import alias_automaton, answers, components, difference, discourse, graph, kb, lexicon, memory, metrics, nodes, provenance, quaternary, ranking, relational, resolve, retrieval, rules, span_align, spatial, stitch, temporal, text, vector_index
 from graphloom.sources import generators, stores
 from graphloom.streaming import windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (text, discourse, answers, retrieval, vector_index, ranking, quaternary, nodes, kb, components, difference, graph, rules, provenance, lexicon, memory, temporal, metrics, resolve, alias_automaton, stitch, spatial, relational, windows, stores, generators):
+for _module in (text, discourse, span_align, answers, retrieval, vector_index, ranking, quaternary, nodes, kb, components, difference, graph, rules, provenance, lexicon, memory, temporal, metrics, resolve, alias_automaton, stitch, spatial, relational, windows, stores, generators):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
 FLAGSHIP = "bm25_topk"
