@@ -12,8 +12,11 @@ from graphloom.sources.tables import table
 #: A full stop after one of these ends no sentence.
 ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "inc", "ltd", "co", "corp", "fig", "no", "vol")
 _ENDS_SHORT = rf"(?i)(?:^|[^A-Za-z])(?:{'|'.join(ABBREVIATIONS)})\.$"
-HEADING = r"(?i)^\s*(?:#{1,6}\s+|(?:chapter|part|book|section)\s+)(\S.*?)\s*$"
-SCENE_BREAK = r"^\s*(?:\*\s*){3,}\s*$|^\s*(?:-\s*){3,}\s*$"
+#: Words that head a numbered part, words that head a part of their own, words that head a numbered text.
+NUMBERED_PARTS, NAMED_PARTS, NUMBERED_TEXTS = ("act", "book", "chapter", "part", "section"), ("conclusion", "epilogue", "interlude", "introduction", "preface", "prologue"), ("document", "passage")
+#: A line that is a heading, with or without marks of Markdown; a number may be Roman.
+HEADING = rf"(?i)^\s*(?:#{{1,3}}\s+)?((?:(?:{'|'.join(NUMBERED_PARTS)})\s+[0-9ivxlcdm]+|{'|'.join(NAMED_PARTS)})(?:[:.–—-]?\s+\S.*?)?|(?:{'|'.join(NUMBERED_TEXTS)})\s*\[?[0-9]+\]?(?:[:.–—-]?\s*\S.*?)?)\s*$"
+SCENE_BREAK = r"^\s*(?:[*]{3,}|-{3,}|_{3,}|(?:[*]\s+){2,}[*]|(?:-\s+){2,}-)\s*$"
 #: Cue words of four families of sentences.
 CUES = {
     "hedged": r"(?i)\b(?:may|might|could|perhaps|possibly|probably|allegedly|reportedly|seems?|appears?)\b",
@@ -50,8 +53,8 @@ def headings(docs: DataFrame) -> DataFrame:
     """doc_id, line, chapter (id made of the title), title and scene of every heading and scene break."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s"))
     title = F.when(F.col("s").rlike(HEADING), F.regexp_extract("s", HEADING, 1))
-    slug = F.trim(F.regexp_replace(F.lower(title), r"[^a-z0-9_\s-]", ""))
-    chapter = F.regexp_replace(slug, r"[\s-]+", "_")
+    slug = F.regexp_replace(F.regexp_replace(F.lower(title), r"(?U)[^\w\s-]", ""), r"(?U)[\s-]+", "_")
+    chapter = F.regexp_replace(slug, r"^_+|_+$", "")
     out = lines.select("doc_id", "line", chapter.alias("chapter"), title.alias("title"), F.col("s").rlike(SCENE_BREAK).alias("scene"))
     return out.where("chapter IS NOT NULL OR scene")
 
@@ -229,7 +232,7 @@ def q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings and scene breaks of documents that are given both."""
     d = _docs(spark, sf_dir)
-    made = F.concat(F.format_string("Chapter %d: The Way-In\n", F.col("doc_id") % 7), F.col("text"), F.when(F.col("doc_id") % 2 == 0, "\n***\n# An end!").otherwise("\n- - -\nno heading"))
+    made = F.concat(F.format_string("Chapter %d: The Way-In\nPart of it is plain\n", F.col("doc_id") % 7), F.col("text"), F.when(F.col("doc_id") % 2 == 0, "\n***\n## Epilogue - An end!").otherwise("\n- - -\nno heading\n___\nPassage [3]: notes"))
     return headings(d.select("doc_id", made.alias("text")))
 
 
@@ -315,8 +318,9 @@ b AS (SELECT *, (k - 1 - coalesce(max(CASE WHEN NOT short THEN k END) OVER (PART
 n AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS number FROM b),
 g AS (SELECT doc_id, CAST(number AS BIGINT) AS number, trim(string_agg(piece, ' ' ORDER BY k)) AS sentence FROM n GROUP BY doc_id, number) SELECT * FROM g WHERE sentence <> ''""",
     "chapter_scenes": """WITH d AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)
-SELECT doc_id, CAST(0 AS INTEGER) AS line, (doc_id % 7) || '_the_way_in' AS chapter, (doc_id % 7) || ': The Way-In' AS title, false AS scene FROM d UNION ALL SELECT doc_id, CAST(n + 1 AS INTEGER), NULL, NULL, true FROM d
-UNION ALL SELECT doc_id, CAST(n + 2 AS INTEGER), 'an_end', 'An end!', false FROM d WHERE doc_id % 2 = 0""",
+SELECT doc_id, CAST(0 AS INTEGER) AS line, 'chapter_' || (doc_id % 7) || '_the_way_in' AS chapter, 'Chapter ' || (doc_id % 7) || ': The Way-In' AS title, false AS scene FROM d UNION ALL SELECT doc_id, CAST(n + 2 AS INTEGER), NULL, NULL, true FROM d
+UNION ALL SELECT doc_id, CAST(n + 3 AS INTEGER), 'epilogue_an_end', 'Epilogue - An end!', false FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, CAST(n + 4 AS INTEGER), NULL, NULL, true FROM d WHERE doc_id % 2 = 1
+UNION ALL SELECT doc_id, CAST(n + 5 AS INTEGER), 'passage_3_notes', 'Passage [3]: notes', false FROM d WHERE doc_id % 2 = 1""",
     "cue_predicates": f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') || CASE turn % 3 WHEN 0 THEN ' It was opened two hours later.' WHEN 1 THEN ' Perhaps it is because of that' ELSE ' afterwardsx' END AS t FROM conversations),
 f AS (SELECT conv_id, turn, {", ".join(f"regexp_matches(t, {_re(p)}) AS {n}" for n, p in CUES.items())}, regexp_matches(t, {_re(GAPS)}) AS gap FROM c)
 SELECT *, hedged OR CAST(hedged AS INTEGER) + CAST(causal AS INTEGER) + CAST(temporal AS INTEGER) + CAST(passive AS INTEGER) > 1 AS ambiguous FROM f""",

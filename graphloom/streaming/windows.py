@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.chunks import discourse_chunks
 from graphloom.sources.scratch import cut
 from graphloom.sources.tables import table
+from graphloom.streaming.state import closed_intervals
 
 
 def counts(events: DataFrame, size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
@@ -80,11 +81,16 @@ def lru_faults(accesses: DataFrame, capacity: int, pinned: list | None = None) -
     """
     keep = frozenset(pinned or ())
 
-    def replay(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        faults = evicted = 0
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sessions follow one another in a task; only the open one's cache is held."""
+        now, held, faults, evicted, any_ = None, {}, 0, 0, False
         for frame in frames:
-            for k in frame["key"]:
+            out = []
+            for session, k in zip(frame["session"].astype(object).where(frame["session"].notna(), None), frame["key"], strict=True):
+                if any_ and session != now:
+                    out.append((now, faults, evicted))
+                    held, faults, evicted = {}, 0, 0
+                now, any_ = session, True
                 faults += k not in held
                 held.pop(k, None)
                 held[k] = True
@@ -94,34 +100,22 @@ def lru_faults(accesses: DataFrame, capacity: int, pinned: list | None = None) -
                         raise MemoryError("every held key is pinned")
                     del held[victim]
                     evicted += 1
-        yield pd.DataFrame([(key[0], faults, evicted)], columns=["session", "faults", "evictions"])
+            yield pd.DataFrame(out, columns=["session", "faults", "evictions"])
+        if any_:
+            yield pd.DataFrame([(now, faults, evicted)], columns=["session", "faults", "evictions"])
 
     kind = accesses.schema["session"].dataType.simpleString()
     ordered = accesses.select("session", "seq", "key").repartition("session").sortWithinPartitions("session", "seq")
-    return ordered.groupBy("session").applyInPandas(_whole(replay), f"session {kind}, faults long, evictions long")
-
-
-def _whole(replay):
-    """A session's rows as one frame, in order."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return next(replay(key, iter([frame.sort_values("seq")])))
-
-    return run
+    return ordered.mapInPandas(replay, f"session {kind}, faults long, evictions long")
 
 
 def chunk_pipeline(texts: DataFrame, transduce, compile_rows) -> DataFrame:
-    """The three stages of ingestion, on a batch or a stream: texts (doc_id, text) in chunks, chunks to rows of facts, facts to graph rows.
+    """The three stages of ingestion, on a batch or a stream: texts (doc_id, text) in chunks (the same ones in both), chunks to rows of facts, facts to graph rows.
 
     transduce and compile_rows go from DataFrame to DataFrame; on a stream the source's trigger options limit how
     much is under way (maxFilesPerTrigger), and `drained` waits for the end.
     """
-    from graphloom.operators.text import micro_chunks
-
-    chunks = micro_chunks(texts).join(texts.select("doc_id", "text"), "doc_id") if not texts.isStreaming else texts.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("chunk", "piece"))
-    if not texts.isStreaming:
-        chunks = chunks.select("doc_id", "chunk", F.substring(F.col("text"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("piece"))
-    return compile_rows(transduce(chunks))
+    return compile_rows(transduce(discourse_chunks(texts)))
 
 
 def drained(query) -> dict:
@@ -131,22 +125,11 @@ def drained(query) -> dict:
     return {"batches": (last["batchId"] + 1) if last else 0, "rows": sum(p["numInputRows"] for p in query.recentProgress), "active": query.isActive}
 
 
-def latest_state(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Stateful stream operator: user_id, value, t_start, t_end of each state as it is closed by the next event in order of arrival."""
-
-    def close(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        value, since = state.get if state.exists else (None, None)
-        out = []
-        for batch in batches:
-            for t, kind in sorted(zip(batch["t"], batch["event_type"], strict=True)):
-                if value is not None:
-                    out.append((key[0], value, since, t))
-                value, since = kind, t
-        state.update((value, since))
-        yield pd.DataFrame(out, columns=["user_id", "value", "t_start", "t_end"])
-
-    e = events.select("user_id", "event_type", (F.unix_micros("ts") / 3.6e9).alias("t"))
-    return e.groupBy("user_id").applyInPandasWithState(close, "user_id long, value string, t_start double, t_end double", "value string, since double", "append", "NoTimeout")
+def latest_state(events: DataFrame, late: str = "keep") -> DataFrame:
+    """Stream of user_id, value, t_start, t_end of each state as it is closed by the next event (user_id, event_type, ts) to arrive; late: what `closed_intervals` does with late events."""
+    hours = F.unix_micros("ts") / 3.6e9
+    e = events.select(F.col("user_id").alias("entity"), F.lit("state").alias("slot"), F.col("event_type").alias("value"), hours.alias("t_start"), F.unix_micros("ts").alias("seq"), "ts")
+    return closed_intervals(e, late=late).select(F.col("entity").alias("user_id"), "value", "t_start", "t_end")
 
 
 def replay_lru(accesses: list, capacity: int, pinned: frozenset = frozenset()) -> list:
