@@ -26,9 +26,10 @@ CUES = {
 }
 #: Phrases after which time has passed.
 GAPS = r"(?i)\b(?:(?:seconds?|minutes?|hours?|days?|weeks?|months?|years?)\s+(?:later|after|passed)|the next (?:day|morning|week|month|year)|the following (?:day|morning|week|month|year)|some time later|long after|eventually|afterwards)\b"
-#: Directives that follow a question, and lines that only give directions.
-DIRECTIVES = r"(?is)\n*\s*(?:instructions?|format|output format|please answer|constraints?|guidelines?)\s*:.*$"
-DIRECTION_LINE = r"(?i)^\s*(?:(?:\d+[.)]|[-*•])\s*)?(?:conclude|do not|provide|return|answer in|strictly)\b"
+#: Labels of what tells how to answer (with all that stands below them, up to an empty line), and verbs of lines that do.
+DIRECTIVE_LABELS = ("constraint", "format", "guideline", "hint", "instruction", "note", "output", "requirement", "rule", "style")
+DIRECTIVE_VERBS = ("always", "answer", "avoid", "be", "do", "don't", "ensure", "give", "keep", "limit", "never", "only", "please", "provide", "reply", "respond", "return", "think", "use", "write")
+_BULLET = r"^\W*(?:[0-9]+[.)]\s*)?"
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -67,47 +68,62 @@ def cue_flags(text: Column) -> dict[str, Column]:
 
 
 def core_query(text: Column) -> Column:
-    """A question without its directives; the whole text if nothing else is left."""
-    cut = F.regexp_replace(text, DIRECTIVES, "")
-    lines = F.filter(F.transform(F.split(cut, "\n"), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(DIRECTION_LINE))
-    kept = F.array_join(lines, "\n")
+    """A question without what tells how to answer it; the whole text if nothing else is left.
+
+    Lines are read in order: a label opens a block of directives that an empty line closes, and a line that
+    begins with a directive verb and asks nothing goes alone.
+    """
+    labelled = lambda s: s.rlike(rf"(?i){_BULLET}(?:[a-z]+ )?(?:{'|'.join(DIRECTIVE_LABELS)})s?\s*:")
+    telling = lambda s: s.rlike(rf"(?i){_BULLET}(?:{'|'.join(DIRECTIVE_VERBS)})\b") & ~F.contains(s, F.lit("?"))
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = (acc["inside"] | labelled(s)) & (s != "")
+        kept = (s != "") & ~inside & ~telling(s)
+        return F.struct(inside.alias("inside"), F.when(kept, F.array_append(acc["lines"], s)).otherwise(acc["lines"]).alias("lines"))
+
+    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s))
+    kept = F.array_join(F.aggregate(lines, F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("lines")), step)["lines"], "\n")
     return F.when(kept != "", kept).otherwise(F.trim(text))
 
 
+#: Words inside a name that aren't capitalised.
+PARTICLES = ("d'", "da", "de", "del", "der", "di", "du", "la", "of", "the", "van", "von", "y")
+
+
 def target_entities(text: Column) -> Column:
-    """Entities that a question names, in order, different in more than case.
+    """Entities that a question names, different in more than case.
 
-    Quoted names, codes with hyphens or underscores, names of several words, capitalised words; and where
-    fewer than three are found, its other content words.
+    First what stands in quotes, then codes (words joined by hyphens or underscores), names of several capitalised words, and single
+    ones of three letters or more; where all of these are fewer than three, also its other content words.
     """
     q = core_query(text)
-    found = lambda pattern, group=0: F.regexp_extract_all(q, F.lit(pattern), F.lit(group))
-    words = F.transform(F.split(F.regexp_replace(q, r"\s+", " "), " "), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
-    quoted = F.filter(found("[\"']([^\"']{2,60})[\"']", 1), lambda w: ~F.contains(F.lower(w), F.lit("answer")))
-    capital = F.filter(words, lambda w: w.rlike("^[A-Z]") & (F.char_length(w) > 2))
-    named = F.concat(quoted, found("[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)+"), found("[A-Z][a-z]+(?: (?:(?:von|van|de|da|of|the) )?[A-Z][a-z]+)+"), capital)
-    usable = lambda a: F.filter(a, lambda w: ~F.lower(w).isin(STOPWORDS) & (F.char_length(w) >= 2))
+    every = lambda pattern, group=0: F.regexp_extract_all(q, F.lit(pattern), F.lit(group))
+    words = F.transform(every(r"\S+"), lambda w: F.regexp_replace(w, r"(?U)^\W+|\W+$", ""))
+    in_quotes = F.filter(F.transform(every(r"\"[^\"\n]+\"|(?<!\w)'[^'\n]+'(?!\w)|“[^”\n]+”"), lambda w: F.trim(F.substring(w, F.lit(2), F.char_length(w) - 2))), lambda w: F.char_length(w).between(2, 80))
+    codes = F.filter(words, lambda w: w.rlike(r"^[A-Za-z0-9]+(?:[_-][A-Za-z0-9]+)+$"))
+    capital = r"\p{Lu}[\p{L}]+"
+    names = every(rf"{capital}(?: (?:(?:{'|'.join(PARTICLES)}) )*{capital})+")
+    singles = F.filter(words, lambda w: w.rlike(r"^\p{Lu}.{2}"))
+    content = F.filter(words, lambda w: w.rlike(r"\p{L}") & (F.char_length(w) >= 3))
+
+    def told_apart(a: Column) -> Column:
+        """Without stopwords; of those that differ in case alone the first."""
+        a = F.filter(a, lambda w: (w != "") & ~F.lower(w).isin(STOPWORDS))
+        return F.filter(a, lambda w, k: ~F.exists(F.slice(a, F.lit(1), k), lambda x: F.lower(x) == F.lower(w)))
+
+    named = F.concat(in_quotes, codes, names, singles)
+    return F.when(F.size(told_apart(named)) >= 3, told_apart(named)).otherwise(told_apart(F.concat(named, content)))
 
-    def distinct(a: Column) -> Column:
-        low = F.transform(a, lambda w: F.lower(w))
-        return F.filter(a, lambda w, k: F.array_position(low, F.lower(w)) == k + 1)
 
-    strong = distinct(usable(named))
-    content = F.filter(words, lambda w: (F.char_length(w) >= 3) & ~w.rlike("^[0-9]+$"))
-    return F.when(F.size(strong) < 3, distinct(usable(F.concat(named, content)))).otherwise(strong)
+#: Signs that one thing is asked for by way of another: relative clauses, possession, ties of place and family.
+RELATIONS = (r"\w[,]?\s+(?:that|where|which|who|whom|whose)\b", r"\bof\b|'s\b", r"\b(?:adjacent|borders?|child|father|husband|married|mother|neighbou?rs?|parent|sibling|spouse|wife)\b")
 
 
 def hop_depth(text: Column) -> Column:
-    """How many steps a question asks for (2 to 4), by its relative clauses, its 'of the' links and the kinds of things it chains."""
+    """How many steps a question asks for: two, and one more for each two relations that it names, up to four."""
     q = F.lower(F.coalesce(text, F.lit("")))
-    count = lambda pattern: F.size(F.regexp_extract_all(q, F.lit(pattern), F.lit(0)))
-    clauses = count(r"\w\s+(?:where|whose|that|which|who)\b")
-    links = count(r"\b(?:of|in|from|to) the\b")
-    things = count(r"\b(?:country|nation|state|city|county|capital|university|college|founder|director|author|spouse|person|organization)\b")
-    nested = q.rlike(r"shares? a border with|(?:capital|state|country|nation|city) (?:of|in) the (?:state|country|nation|city) where|(?:mother|father|spouse) of the (?:mother|father|spouse)")
-    four = (clauses >= 3) | ((clauses >= 2) & (links >= 2)) | (nested & (clauses >= 2)) | (things >= 4)
-    three = nested | (clauses >= 2) | ((clauses >= 1) & (links >= 2)) | (things >= 3)
-    return F.when(four, 4).when(three, 3).otherwise(2)
+    named = sum((F.size(F.regexp_extract_all(q, F.lit(p), F.lit(0))) for p in RELATIONS), F.lit(0))
+    return F.least(F.lit(4), 2 + F.floor(named / 2)).cast("int")
 
 
 def task_boundary(text: Column) -> Column:
@@ -327,7 +343,7 @@ SELECT *, hedged OR CAST(hedged AS INTEGER) + CAST(causal AS INTEGER) + CAST(tem
     # what each form of question should give, stated without the patterns
     "question_parts": f"""WITH {_QSQL} SELECT id, core, CASE m WHEN 0 THEN c_name WHEN 1 THEN c_name || '|capital|country|founder|university|attended|born' WHEN 2 THEN 'Unit ' || c_nationkey || '|AB-' || id || '|Unit'
 WHEN 3 THEN 'Library of Alexandria|' || c_mktsegment || '|Library|Alexandria' WHEN 4 THEN 'Anna Maria Bell|Anna|Maria|Bell' ELSE 'context|goes|first|list|person|said|country|city|state|known' END AS entities,
-CASE m WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 5 THEN 4 ELSE 2 END AS depth, CASE m WHEN 0 THEN 'FALLBACK' WHEN 3 THEN 'EXPLICIT' WHEN 5 THEN 'DENSE' ELSE 'HEAD' END AS place,
+CAST(CASE m WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 2 END AS INTEGER) AS depth, CASE m WHEN 0 THEN 'FALLBACK' WHEN 3 THEN 'EXPLICIT' WHEN 5 THEN 'DENSE' ELSE 'HEAD' END AS place,
 CASE m WHEN 3 THEN 'name the director of the Library of Alexandria' WHEN 4 THEN 'Where does it end?' WHEN 5 THEN 'list which person said so? now' ELSE core END AS query,
 CASE m WHEN 0 THEN '' WHEN 1 THEN 'Instructions: be brief' WHEN 2 THEN '- Do not guess' WHEN 3 THEN 'The segment is ' || c_mktsegment || '.' WHEN 4 THEN 'Some context about Anna Maria Bell follows.' || chr(10) || 'It goes on.'
 ELSE 'Some context goes first.' || chr(10) || 'the country, the city and the state are known' END AS context FROM q""",

@@ -25,7 +25,7 @@ CATEGORIES = (
     ("organization", ("Q43229", "Q4830453", "Q3918", "Q7837", "Q7278", "Q327333")),
     ("creative_work", ("Q386724", "Q7725634", "Q11424", "Q571", "Q2188189", "Q482994", "Q2431196")),
 )
-#: A record of no category is kept if it has one of these.
+#: A record of no category is kept if it has one of these.
 KEEPING = ("P17", "P36", "P50", "P19", "P800")
 
 
