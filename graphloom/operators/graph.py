@@ -97,7 +97,7 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, iterations: int =
     if wanted.isEmpty():
         wanted = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("w", F.lit(1.0))
     p0 = wanted.join(F.broadcast(wanted.agg(F.sum("w").alias("total")))).select("node", (F.col("w") / F.col("total")).alias("p0"))
-    power = _power_local if t.count() <= local_edges else _power_joined
+    power = _power_local if t.count() <= local_edges and p0.limit(local_edges + 1).count() <= local_edges else _power_joined
     return power(t, p0, iterations, alpha, tolerance)
 
 
@@ -112,13 +112,13 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return induced(edges, near)
 
 
-def rank_nodes(edges: DataFrame, seeds: DataFrame, *, large: int = 10_000, hops: int = 4, least: float = 0.001, most: int = 10, tolerance: float = 1e-6, rounds: int = 50) -> DataFrame:
+def rank_nodes(edges: DataFrame, seeds: DataFrame, *, large: int | None = None, hops: int = 4, least: float = 0.001, most: int = 10, tolerance: float = 1e-6, rounds: int = 50) -> DataFrame:
     """The best nodes by PageRank to a tolerance: node, score of at least `least`, `most` of them (ties by node).
 
-    A graph of more than `large` nodes is cut to what lies within so many hops of the seeds first.
+    With `large`, a graph of more nodes than that is cut to what lies within so many hops of the seeds first, which gives other scores.
     """
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().count()
-    used = within_hops(edges, seeds, hops) if nodes > large and not seeds.where("weight > 0").isEmpty() else edges
+    cut_down = large is not None and edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().count() > large and not seeds.where("weight > 0").isEmpty()
+    used = within_hops(edges, seeds, hops) if cut_down else edges
     score = personalized_pagerank(used, seeds, rounds, tolerance=tolerance)
     return score.where(F.col("score") >= least).orderBy(F.desc(F.round("score", 9)), "node").limit(most)
 
@@ -317,6 +317,12 @@ def q_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("node", F.round("score", 6).alias("score"))
 
 
+def q_ppr_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores by joins alone, as on graphs that no driver holds."""
+    scores = personalized_pagerank(edges_of(spark, sf_dir), _seeds(spark, sf_dir), 20, local_edges=0)
+    return scores.select("node", F.round("score", 6).alias("score"))
+
+
 def q_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activation of customers carried to their orders."""
     energy = spread_activation(edges_of(spark, sf_dir), _seeds(spark, sf_dir), 2, threshold=0.1).select("node", F.col("energy").alias("score"))
@@ -424,6 +430,7 @@ QUERIES = {
     "edge_gate": edges_of,
     "transition_matrix": lambda s, d: transition(edges_of(s, d)).select("src", "dst", F.round("p", 9).alias("p")),
     "ppr_fixed": q_ppr,
+    "ppr_joined": q_ppr_joined,
     "bfs_activation": lambda s, d: spread_activation(edges_of(s, d), _seeds(s, d), 2, threshold=0.1),
     "induced_subgraph": lambda s, d: induced(edges_of(s, d), nodes_of(s, d).where("truth IN ('TRUE', 'UNKNOWN')")).groupBy("rel").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 3).alias("weight")),
     "bipartite_project": q_project,
@@ -462,6 +469,7 @@ ORACLE_SQL = {
     "edge_gate": f"WITH {_E} SELECT src, dst, rel, weight FROM e",
     "transition_matrix": f"WITH {_P} SELECT src, dst, round(p, 9) AS p FROM p",
     "ppr_fixed": f"WITH {_ppr_sql(20)} SELECT node, round(score, 6) AS score FROM s20 WHERE score > 0",
+    "ppr_joined": f"WITH {_ppr_sql(20)} SELECT node, round(score, 6) AS score FROM s20 WHERE score > 0",
     "ppr_top_nodes": f"WITH {_ppr_sql(50)} SELECT node, round(score, 4) AS score FROM s50 WHERE score >= 0.001 ORDER BY round(score, 9) DESC, node LIMIT 10",
     "ppr_uniform": "WITH " + "w AS (SELECT 'N:' || n_nationkey AS src, 'R:' || n_regionkey AS dst, 1.0 AS w FROM nation UNION ALL SELECT 'R:' || n_regionkey, 'N:' || n_nationkey, 0.8 FROM nation), p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w), n AS (SELECT src AS node, 1.0 / count(*) OVER () AS p0 FROM (SELECT DISTINCT src FROM p)), s0 AS (SELECT node, CAST(p0 AS DOUBLE) AS score FROM n), " + ", ".join(f"s{k + 1} AS MATERIALIZED (SELECT n.node, 0.15 * p0 + 0.85 * sum(p * score) AS score FROM p JOIN s{k} ON s{k}.node = src JOIN n ON n.node = dst GROUP BY n.node, p0)" for k in range(10)) + " SELECT node, round(score, 6) AS score FROM s10",
     "activation_penalised": f"""WITH {_E}, deg AS (SELECT dst, count(*) AS n FROM e GROUP BY dst), bad AS (SELECT node FROM n WHERE truth = 'CONTRADICTION'),

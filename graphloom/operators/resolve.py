@@ -92,14 +92,16 @@ def corrections(words: DataFrame, lexicon: DataFrame, most: int = 2) -> DataFram
     return best.select("word", F.col("b.entry").alias("correction"), F.col("b.distance").alias("distance"))
 
 
-def alias_scan(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
-    """doc_id, start (word), words, id: where aliases (id, alias) of up to `longest` words stand in texts; of overlapping ones the longest, then the first.
+def alias_scan(texts: DataFrame, aliases: DataFrame, longest: int | None = None) -> DataFrame:
+    """doc_id, start (word), words, id: where aliases (id, alias) of up to `longest` words (all, if not given) stand in texts; of overlapping ones the longest, then the first.
 
     Runs of words meet aliases by equality; the dictionary's first words filter them before.  The overlap of a
     match with a longer one, or an earlier one of its length, is settled inside its text.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[^\s.,;:!?()\"']+"), F.lit(0))
-    a = aliases.select("id", words(F.col("alias")).alias("w")).where(F.size("w").between(1, longest))
+    a = aliases.select("id", words(F.col("alias")).alias("w"))
+    longest = longest or a.agg(F.max(F.size("w"))).first()[0] or 1
+    a = a.where(F.size("w").between(1, longest))
     a = a.groupBy(F.array_join("w", " ").alias("run"), F.size("w").alias("n")).agg(F.min("id").alias("id"), F.first(F.get("w", F.lit(0))).alias("head"))
     t = texts.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", "w", F.posexplode("w").alias("start", "head"))
     t = t.join(small(a.select("head").distinct()), "head", "left_semi")

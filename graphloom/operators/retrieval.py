@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.text import normalize_answer, token_estimate, token_f1, tokens
-from graphloom.sources.tables import table
+from graphloom.sources.scratch import cut
+from graphloom.sources.tables import spread, table
 
 K1, B = 1.5, 0.75
 #: Words that a query drops unless nothing else is left.
@@ -40,24 +41,27 @@ def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Stands for a document's length among its terms; no token is like it.
+_LENGTH = "\u0001"
+
+
 def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score (6 digits): Okapi BM25 with idf ln((N - df + .5) / (df + .5) + 1); repeated query terms count repeatedly.
 
-    docs: doc_id, text; queries: query_id, text.  Only terms that some query has are kept after the scan, so
-    the shuffles follow the postings of the query vocabulary, not the corpus.
+    docs: doc_id, text; queries: query_id, text.  Texts are read and cut into tokens once: postings of the queries' terms
+    are counted where the texts lie and written, with a row for each document's length; everything else comes from these.
     """
-    terms = query_terms(queries)
-    tokened = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("len", F.size("t"))
-    stats = tokened.agg(F.count("*").alias("_n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("_avg"))
+    terms = cut(query_terms(queries), "terms")
+    tokened = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").alias("len"), F.explode(F.array_append("t", F.lit(_LENGTH))).alias("term"))
+    wanted = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([(_LENGTH,)], "term string"))
+    postings = cut(tokened.join(small(wanted), "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")), "postings")
+    stats = postings.where(F.col("term") == _LENGTH).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_n"), F.coalesce(F.sum(F.col("len") * F.col("tf")) / F.sum("tf"), F.lit(1.0)).alias("_avg"))
     n, average = F.col("_n"), F.when(F.col("_avg") > 0, F.col("_avg")).otherwise(1.0)
-    vocabulary = small(terms.select("term").distinct())
-    postings = tokened.select("doc_id", "len", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = postings.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = postings.where(F.col("term") != _LENGTH)
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))  # stats: one row
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
-    weighed = tf.join(df.join(F.broadcast(stats)), "term")  # stats: one row
-    return weighed.join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return tf.join(small(terms.join(df, "term")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, group: str = "query_id", score: str = "score", key: str = "doc_id") -> DataFrame:
@@ -77,7 +81,7 @@ def entity_boost(scores: DataFrame, docs: DataFrame, queries: DataFrame, per_ent
     """BM25 scores plus per_entity for each capitalised query word the document has, times factor if it has any."""
     names = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0)), lambda w: F.lower(w)))
     entities = queries.select("query_id", F.explode(names).alias("term")).where(~F.col("term").isin(STOPWORDS))
-    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+    words = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
     hits = words.join(entities, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
     joined = scores.join(hits, ["query_id", "doc_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return joined.withColumn("score", F.round(F.when(F.col("hits") > 0, (F.col("score") + per_entity * F.col("hits")) * factor).otherwise(F.col("score")), 6))
@@ -108,6 +112,10 @@ def against(rows: DataFrame, queries: DataFrame, pair: Callable[[DataFrame], Dat
     return out
 
 
+#: Rows that a task scores with one matrix product.
+ROWS_AT_ONCE = 2048
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray], *, key: str, most: int = 4096) -> DataFrame:
     """query_id, key, score, rank: the k rows of best score for every query of a stated set, itself excepted; ties by key.
 
@@ -124,21 +132,22 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.nda
         ids, matrix = block["query_id"].to_numpy(), np.stack(block["v"].to_numpy())
 
         def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+            scores, held = np.full((0, len(ids)), -np.inf), np.zeros((0, len(ids)), np.int64)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = batch.column(0).to_numpy()
-                found = score(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1), matrix)
-                for j in range(len(ids)):
-                    s, held = np.concatenate([best[j][0], found[:, j]]), np.concatenate([best[j][1], keys])
-                    s, held = s[held != ids[j]], held[held != ids[j]]
-                    if len(s) > 4 * k:  # only what reaches the k-th score is sorted
-                        near = s >= -np.partition(-s, k - 1)[k - 1]
-                        s, held = s[near], held[near]
-                    order = np.lexsort((held, -s))[:k]
-                    best[j] = s[order], held[order]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x[0]) for x in best])), pa.array(np.concatenate([x[1] for x in best])), pa.array(np.concatenate([x[0] for x in best]))], ["query_id", key, "score"])
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    piece = batch.slice(at, ROWS_AT_ONCE)
+                    keys = piece.column(0).to_numpy()
+                    found = score(piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1), matrix).astype(float)
+                    found[keys[:, None] == ids[None, :]] = -np.inf
+                    if len(keys) > k:  # all that reach each query's k-th score here, ties included
+                        found[found < np.partition(found, len(keys) - k, axis=0)[len(keys) - k]] = -np.inf
+                        near = np.isfinite(found).any(axis=1)
+                        found, keys = found[near], keys[near]
+                    every, owners = np.concatenate([scores, found]), np.concatenate([held, np.broadcast_to(keys[:, None], found.shape)])
+                    order = np.lexsort((owners, -every), axis=0)[:k]
+                    scores, held = np.take_along_axis(every, order, axis=0), np.take_along_axis(owners, order, axis=0)
+            r, q = np.nonzero(np.isfinite(scores))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(held[r, q]), pa.array(scores[r, q])], ["query_id", key, "score"])
 
         part = rows.select(F.col(key).cast("long"), "v").mapInArrow(run, f"query_id long, {key} long, score double")
         out = part if out is None else out.unionByName(part)

@@ -16,12 +16,16 @@ def _draw(seed: int, *columns: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in columns], F.lit(seed)), 2)
 
 
+def entities_from(rows: DataFrame) -> DataFrame:
+    """id, label, category, aliases of rows (k, code): their kinds take turns, the code names them."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("k") % len(KINDS) + 1).cast("int"))
+    return rows.select(F.concat(F.lit("Q"), F.col("k") + 1).alias("id"), F.concat_ws(" ", kind, "code").alias("label"), kind.alias("category"), F.array(F.col("code"), F.concat("code", F.lit("-"), F.col("k") % 10)).alias("aliases"))
+
+
 def made_entities(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     """id, label, category, aliases of n made entities; the same for a seed however the rows are dealt out."""
     e = spark.range(n).select(F.col("id").alias("k"))
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("k") % len(KINDS) + 1).cast("int"))
-    code = F.conv((_draw(seed, "k") % 1_679_616).cast("string"), 10, 36)
-    return e.select(F.concat(F.lit("Q"), F.col("k") + 1).alias("id"), F.concat_ws(" ", kind, code).alias("label"), kind.alias("category"), F.array(code, F.concat(code, F.lit("-"), F.col("k") % 10)).alias("aliases"))
+    return entities_from(e.select("k", F.conv((_draw(seed, "k") % 1_679_616).cast("string"), 10, 36).alias("code")))
 
 
 def made_claims(entities: DataFrame, n: int, each: int = 3, seed: int = 2) -> DataFrame:
@@ -33,11 +37,15 @@ def made_claims(entities: DataFrame, n: int, each: int = 3, seed: int = 2) -> Da
     return rows.select(F.col("id").alias("subject"), prop.alias("property"), F.concat(F.lit("Q"), to + 1).alias("object")).where("subject <> object").distinct()
 
 
+def corpus_from(rows: DataFrame, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """id, domain, text: a sentence for each row (id, fact, source), the domains taking turns."""
+    d = F.element_at(F.array(*map(F.lit, domains)), (F.col("id") % len(domains) + 1).cast("int"))
+    return rows.select("id", d.alias("domain"), F.concat_ws(" ", F.lit("Fact"), F.col("fact").cast("string"), F.lit("of"), d, F.lit("follows from fact"), F.col("source").cast("string")).alias("text"))
+
+
 def made_corpus(spark: SparkSession, n: int, domains: tuple[str, ...] = DOMAINS, seed: int = 3) -> DataFrame:
     """id, domain, text: n sentences over the domains in equal numbers; the first domains take what doesn't divide."""
-    d = F.element_at(F.array(*map(F.lit, domains)), (F.col("id") % len(domains) + 1).cast("int"))
-    number = (_draw(seed, "id") % 1000).cast("string")
-    return spark.range(n).select("id", d.alias("domain"), F.concat_ws(" ", F.lit("Fact"), number, F.lit("of"), d, F.lit("follows from fact"), (_draw(seed + 1, "id") % 1000).cast("string")).alias("text"))
+    return corpus_from(spark.range(n).select("id", (_draw(seed, "id") % 1000).alias("fact"), (_draw(seed + 1, "id") % 1000).alias("source")), domains)
 
 
 def haystacks(needles: DataFrame, filler: Column, words: int) -> DataFrame:
@@ -51,12 +59,17 @@ def haystacks(needles: DataFrame, filler: Column, words: int) -> DataFrame:
     return n.select("id", F.array_join(whole, " ").alias("context"), "position")
 
 
-def tracked_variables(spark: SparkSession, n: int, hops: int, seed: int = 4) -> DataFrame:
-    """id, text, answer: chains of assignments, each variable from the one before; the answer is the first one's number."""
-    value = (_draw(seed, "id") % 90000 + 10000).cast("string")
+def tracked(rows: DataFrame, hops: int) -> DataFrame:
+    """id, text, answer: for each row (id, value) a chain of assignments, each variable from the one before; the answer is the first one's value."""
     names = F.transform(F.sequence(F.lit(0), F.lit(hops)), lambda k: F.concat(F.lit("X"), F.col("id").cast("string"), F.lit("_"), k.cast("string")))
     lines = F.transform(F.sequence(F.lit(1), F.lit(hops)), lambda k: F.concat(F.lit("VAR "), F.get(names, k), F.lit(" = "), F.get(names, k - 1)))
-    return spark.range(n).select("id", F.concat(F.lit("VAR "), F.get(names, F.lit(0)), F.lit(" = "), value, F.lit("\n"), F.array_join(lines, "\n")).alias("text"), value.alias("answer"))
+    value = F.col("value").cast("string")
+    return rows.select("id", F.concat(F.lit("VAR "), F.get(names, F.lit(0)), F.lit(" = "), value, F.lit("\n"), F.array_join(lines, "\n")).alias("text"), value.alias("answer"))
+
+
+def tracked_variables(spark: SparkSession, n: int, hops: int, seed: int = 4) -> DataFrame:
+    """`tracked` for n made values of five digits."""
+    return tracked(spark.range(n).select("id", (_draw(seed, "id") % 90000 + 10000).alias("value")), hops)
 
 
 def quota(rows: DataFrame, group: str, most: int, seed: int = 5) -> DataFrame:
@@ -92,39 +105,35 @@ def read_samples(spark: SparkSession, path: str, suite: str, fields: dict[str, t
     return samples(spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path), suite, fields)
 
 
-def training_pairs(facts: DataFrame, spoil: int = 4, seed: int = 6) -> DataFrame:
-    """domain, input, output, repair: facts (domain, subject, relation, object) as s-expressions; every so many has its closing bracket lost, to be repaired."""
+def training_pairs(facts: DataFrame, spoil: int = 4, seed: int = 6, broken: Column | None = None) -> DataFrame:
+    """domain, input, output, repair: facts (domain, subject, relation, object) as s-expressions; every so many, or those that `broken` tells, have lost their closing bracket, to be repaired."""
     good = F.concat(F.lit("(fact ("), "relation", F.lit(" "), "subject", F.lit(" "), "object", F.lit("))"))
-    broken = _draw(seed, "subject", "relation", "object") % spoil == 0
+    broken = _draw(seed, "subject", "relation", "object") % spoil == 0 if broken is None else broken
     text = F.concat_ws(" ", "subject", "relation", "object")
     return facts.select("domain", F.when(broken, F.concat(F.lit("repair: "), F.substring(good, F.lit(1), F.char_length(good) - 1))).otherwise(F.concat(F.lit("parse: "), text)).alias("input"), good.alias("output"), broken.alias("repair"))
 
 
 def q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many made entities as there are parts, with their links: counts that hold for any seed."""
-    n = table(spark, sf_dir, "part").count()
-    e = made_entities(spark, n)
-    links = made_claims(e, n)
-    sound = links.join(e.select(F.col("id").alias("object")), "object", "left_anti").count() == 0
-    return e.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.min(F.size("aliases")).alias("aliases")).withColumn("sound", F.lit(sound))
+    """Parts as entities."""
+    e = entities_from(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("code")))
+    return e.withColumn("aliases", F.array_join("aliases", "|"))
 
 
 def q_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many made sentences as there are orders, by domain."""
-    return made_corpus(spark, table(spark, sf_dir, "orders").count()).groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.contains("text", F.concat(F.lit(" of "), "domain", F.lit(" "))).cast("long")).alias("of_domain"))
+    """Orders as sentences of customers and amounts."""
+    return corpus_from(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("fact"), F.floor("o_totalprice").alias("source")))
 
 
 def q_haystacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A needle for each customer at a depth of its key, in 300 words of the nations' names."""
+    """A needle for each customer at a depth of its key, in 300 words of seven letters' names."""
     needles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("The code of "), "c_name", F.lit(" is "), F.col("c_custkey") * 7).alias("needle"), ((F.col("c_custkey") % 11) / 10).alias("depth"))
     h = haystacks(needles, F.lit("alpha beta  gamma delta\nepsilon zeta eta"), 300)
     return h.select("id", "position", F.md5("context").alias("context"))
 
 
 def q_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of four assignments for each supplier: its lines, and whether it begins with its answer."""
-    v = tracked_variables(spark, table(spark, sf_dir, "supplier").count(), 4)
-    return v.select("id", F.size(F.split("text", "\n")).alias("lines"), F.startswith("text", F.concat(F.lit("VAR X"), F.col("id").cast("string"), F.lit("_0 = "), "answer", F.lit("\n"))).alias("begins"))
+    """A chain of four assignments for each supplier, that begins with its nation's number."""
+    return tracked(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") + 10_000).alias("value")), 4)
 
 
 def q_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,20 +145,19 @@ def q_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of customers as training pairs: by region, how many are whole and how many to be repaired, all balanced."""
+    """Facts of customers as training pairs, every fourth to be repaired."""
     t = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    p = training_pairs(t.select(F.concat(F.lit("r"), "n_regionkey").alias("domain"), F.concat(F.lit("C"), "c_custkey").alias("subject"), F.lit("nation").alias("relation"), F.col("n_name").alias("object")))
-    count = lambda text, what: F.size(F.split(text, what)) - 1
-    return p.groupBy("domain").agg(F.count("*").alias("n"), F.every((F.when(F.col("repair"), F.lit(1)).otherwise(0)) == F.when(F.startswith("input", F.lit("repair:")), 1).otherwise(0)).alias("marked"), F.every(count("output", r"\(") == count("output", r"\)")).alias("balanced"))
+    facts = t.select(F.concat(F.lit("r"), "n_regionkey").alias("domain"), F.concat(F.lit("C"), "c_custkey").alias("subject"), F.lit("nation").alias("relation"), F.col("n_name").alias("object"), "c_custkey")
+    return training_pairs(facts, broken=F.col("c_custkey") % 4 == 0)
 
 
 QUERIES = {"made_entities": q_entities, "made_corpus": q_corpus, "haystack_needles": q_haystacks, "variable_tracking": q_variables, "suite_samples": q_samples, "training_pairs": q_training}
 ORACLE_SQL = {
-    "made_entities": "WITH n AS (SELECT count(*) AS n FROM part), k AS (SELECT unnest(range(n)) % 4 AS k FROM n) SELECT ['human', 'location', 'organization', 'creative_work'][k + 1] AS category, count(*) AS n, count(*) AS ids, 2 AS aliases, true AS sound FROM k GROUP BY k",
-    "made_corpus": "WITH n AS (SELECT count(*) AS n FROM orders), k AS (SELECT unnest(range(n)) % 5 AS k FROM n) SELECT ['physics', 'biology', 'law', 'history', 'software'][k + 1] AS domain, count(*) AS n, count(*) AS of_domain FROM k GROUP BY k",
+    "made_entities": "SELECT 'Q' || (p_partkey + 1) AS id, c || ' ' || p_name AS label, c AS category, p_name || '|' || p_name || '-' || (p_partkey % 10) AS aliases FROM (SELECT *, ['human', 'location', 'organization', 'creative_work'][p_partkey % 4 + 1] AS c FROM part)",
+    "made_corpus": "SELECT o_orderkey AS id, d AS domain, 'Fact ' || o_custkey || ' of ' || d || ' follows from fact ' || CAST(floor(o_totalprice) AS BIGINT) AS text FROM (SELECT *, ['physics', 'biology', 'law', 'history', 'software'][o_orderkey % 5 + 1] AS d FROM orders)",
     "haystack_needles": """WITH w AS (SELECT list_transform(range(300), lambda k: ['alpha', 'beta', 'gamma', 'delta', 'epsilon', 'zeta', 'eta'][k % 7 + 1]) AS w), n AS (SELECT c_custkey AS id, 'The code of ' || c_name || ' is ' || (c_custkey * 7) AS needle, CAST(floor((c_custkey % 11) / 10 * 300) AS INTEGER) AS position FROM customer)
 SELECT id, position, md5(trim(regexp_replace(array_to_string(w[1:position], ' ') || ' ' || needle || ' ' || array_to_string(w[position + 1:], ' '), ' +', ' ', 'g'))) AS context FROM n, w""",
-    "variable_tracking": "SELECT k AS id, 5 AS lines, true AS begins FROM (SELECT unnest(range(count(*))) AS k FROM supplier)",
+    "variable_tracking": "SELECT s_suppkey AS id, 'VAR X' || s_suppkey || '_0 = ' || (s_nationkey + 10000) || array_to_string(list_transform([1, 2, 3, 4], lambda k: chr(10) || 'VAR X' || s_suppkey || '_' || k || ' = X' || s_suppkey || '_' || (k - 1)), '') AS text, CAST(s_nationkey + 10000 AS VARCHAR) AS answer FROM supplier",
     "suite_samples": """SELECT 'first' AS suite, CAST(item_id AS VARCHAR) AS id, text AS prompt, '' AS context, '' AS gold FROM benchmark UNION ALL SELECT 'second', CAST(item_id AS VARCHAR), text, '["p1","p2"]', 'true' FROM benchmark""",
-    "training_pairs": "SELECT 'r' || n_regionkey AS domain, count(*) AS n, true AS marked, true AS balanced FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    "training_pairs": "WITH f AS (SELECT 'r' || n_regionkey AS domain, 'C' || c_custkey AS s, n_name AS o, c_custkey % 4 = 0 AS repair FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT domain, CASE WHEN repair THEN 'repair: (fact (nation ' || s || ' ' || o || ')' ELSE 'parse: ' || s || ' nation ' || o END AS input, '(fact (nation ' || s || ' ' || o || '))' AS output, repair FROM f",
 }

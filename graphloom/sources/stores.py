@@ -163,12 +163,12 @@ def q_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in passages of 500 characters: which one holds the middle of a document, its parent's other ones, and how many are done."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("n", F.char_length("t")).where("n > 0")
     p = d.select("doc_id", "t", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 500).cast("int"))).alias("k"))
-    p = p.select((F.col("doc_id") * 1000 + F.col("k")).alias("passage_id"), "doc_id", (F.col("k") * 500).alias("start"), F.least(F.col("k") * 500 + 500, F.col("n")).alias("stop"), F.substring(F.col("t"), F.col("k") * 500 + 1, F.lit(500)).alias("text"), (F.col("doc_id") * 1000 + F.floor(F.col("k") / 4)).alias("parent"))
+    p = p.select((F.col("doc_id") * 1_000_000 + F.col("k")).alias("passage_id"), "doc_id", (F.col("k") * 500).alias("start"), F.least(F.col("k") * 500 + 500, F.col("n")).alias("stop"), F.substring(F.col("t"), F.col("k") * 500 + 1, F.lit(500)).alias("text"), (F.col("doc_id") * 1_000_000 + F.floor(F.col("k") / 4)).alias("parent"))
     states = p.select("passage_id", F.explode(F.array(F.struct(F.lit("new").alias("status"), F.lit(0).alias("seq")), F.struct(F.when(F.col("passage_id") % 3 > 0, "done").otherwise("failed").alias("status"), F.lit(1).alias("seq")))).alias("s")).select("passage_id", "s.*")
     store = Passages(p, states)
     held = store.at(d.select("doc_id", F.floor(F.col("n") / 2).alias("offset")))
     done = store.in_state("done").groupBy("doc_id").agg(F.count("*").alias("done"), F.sum(F.char_length("text")).alias("chars"))
-    family = store.children(p.where("passage_id % 1000 = 0").select("passage_id")).groupBy("doc_id").agg(F.count("*").alias("first_family"))
+    family = store.children(p.where("passage_id % 1000000 = 0").select("passage_id")).groupBy("doc_id").agg(F.count("*").alias("first_family"))
     return held.select("doc_id", "passage_id").join(done, "doc_id", "left").join(family, "doc_id", "left").fillna(0)
 
 
@@ -197,7 +197,7 @@ def q_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"passage_store": q_passages, "content_store": q_content, "node_upsert": q_upsert, "resume_run": q_resume}
 ORACLE_SQL = {
     "passage_store": """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents WHERE length(coalesce(text, '')) > 0), p AS (SELECT doc_id, n, unnest(range((n - 1) // 500 + 1)) AS k FROM d)
-SELECT doc_id, doc_id * 1000 + (n // 2) // 500 AS passage_id, count(*) FILTER ((doc_id * 1000 + k) % 3 > 0) AS done, CAST(coalesce(sum(least(500, n - k * 500)) FILTER ((doc_id * 1000 + k) % 3 > 0), 0) AS BIGINT) AS chars, count(*) FILTER (k < 4) AS first_family FROM p GROUP BY doc_id, n""",
+SELECT doc_id, doc_id * 1000000 + (n // 2) // 500 AS passage_id, count(*) FILTER ((doc_id * 1000000 + k) % 3 > 0) AS done, CAST(coalesce(sum(least(500, n - k * 500)) FILTER ((doc_id * 1000000 + k) % 3 > 0), 0) AS BIGINT) AS chars, count(*) FILTER (k < 4) AS first_family FROM p GROUP BY doc_id, n""",
     "content_store": "SELECT DISTINCT sha256(p_name || '|' || p_brand) AS cid, NOT ends_with(p_brand, '9') AS sound FROM part",
     "node_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END AS version, c_acctbal + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS c_acctbal, c_mktsegment FROM customer",
     "resume_run": "SELECT o_orderstatus, count(*) AS left FROM orders WHERE o_custkey % 3 > 0 GROUP BY o_orderstatus",

@@ -11,6 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table (by Spark's statistics) up to which `spread` deals its rows out.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that is heavy on each row: a small table, which may lie in one row group and so in one task, is dealt out over all cores; larger ones stay as they are."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject, property, object: the tables' foreign keys as a triple store."""
     t = lambda name: table(spark, sf_dir, name)
