@@ -11,7 +11,7 @@ trees, and the distances between nodes of what can't be contracted otherwise; ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.sources.scratch import cut, drop
@@ -152,6 +152,32 @@ def condensed(edges: DataFrame, placed: DataFrame) -> DataFrame:
     return edges.join(of("src"), "src").join(of("dst"), "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()
 
 
+def total_order(edges: DataFrame) -> DataFrame:
+    """node, place, component, cyclic: all nodes of edges (src, dst) in one order in which targets come before sources, places from 0.
+
+    Nodes on a cycle can't be ordered so: they stand together (cyclic), and the order holds between components.  Ties
+    go by height over the nodes without targets, then component, then node.  Places are dealt by ranges, so nothing is sorted in one task;
+    heights take as many rounds as the longest path between components.
+    """
+    from graphloom.operators.graph import heights
+
+    placed = cut(components(edges), "placed")
+    high = heights(condensed(edges, placed).select(F.col("dst").alias("child"), F.col("src").alias("parent")))
+    rows = placed.join(high.select(F.col("node").alias("component"), "level"), "component", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    parts = cut(rows.repartitionByRange("level", "component", "node").withColumn("_part", F.spark_partition_id()), "parts")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("level", "component", "node")) - 1
+    return parts.withColumn("_own", own).join(F.broadcast(before), "_part").select("node", (F.col("_before") + F.col("_own")).alias("place"), "component", "cyclic")
+
+
+def q_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and customers in one order, customers first, with a ring of two above some nations."""
+    t = triples(spark, sf_dir).where("property IN ('NATION', 'REGION')").select(F.col("object").alias("src"), F.col("subject").alias("dst"))
+    knots = table(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.lit("X:1").alias("src"), F.concat(F.lit("N:"), "n_nationkey").alias("dst"))
+    return total_order(t.unionByName(knots).unionByName(spark.createDataFrame([("X:2", "X:1"), ("X:3", "X:2"), ("X:2", "X:3")], "src string, dst string")))
+
+
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders, customers and nations, with links back from nations to the first order of every seventh customer and from parts in rings."""
     t = triples(spark, sf_dir).where("property IN ('CUSTOMER', 'NATION')").select(F.col("subject").alias("src"), F.col("object").alias("dst"))
@@ -164,7 +190,7 @@ def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(t.unionByName(back).unionByName(rings))
 
 
-QUERIES = {"graph_components": q_components}
+QUERIES = {"graph_components": q_components, "topo_order": q_order}
 ORACLE_SQL = {
     "graph_components": """WITH RECURSIVE o AS (SELECT o_custkey, min(o_orderkey) AS o FROM orders WHERE o_custkey % 7 = 0 GROUP BY 1), back AS (SELECT c_nationkey AS n, o, o_custkey AS c FROM customer JOIN o ON o_custkey = c_custkey WHERE c_nationkey % 3 = 0),
 round_trip AS (SELECT 'N:' || n AS node, n FROM back UNION SELECT 'O:' || o, n FROM back UNION SELECT 'C:' || c, n FROM back),
@@ -174,4 +200,8 @@ rings AS (SELECT 'P:' || k AS node, min('P:' || k) OVER w AS component, count(*)
 n AS (SELECT 'O:' || o_orderkey AS node FROM orders UNION SELECT 'C:' || o_custkey FROM orders UNION SELECT 'C:' || c_custkey FROM customer UNION SELECT 'S:' || s_suppkey FROM supplier UNION SELECT 'N:' || c_nationkey FROM customer UNION SELECT 'N:' || s_nationkey FROM supplier
 UNION SELECT 'P:' || k FROM p WHERE ring % 2 = 1 UNION SELECT 'P:' || (first - 40) FROM p WHERE ring % 2 = 1 AND first - 40 NOT IN (SELECT k FROM p))
 SELECT node, component, members, members > 1 AS cyclic FROM found UNION ALL SELECT * FROM rings UNION ALL SELECT node, node, 1, false FROM n WHERE node NOT IN (SELECT node FROM found) AND node NOT IN (SELECT node FROM rings)""",
+    "topo_order": """WITH RECURSIVE e AS (SELECT 'C:' || c_custkey AS c, 'N:' || c_nationkey AS p FROM customer UNION SELECT 'S:' || s_suppkey, 'N:' || s_nationkey FROM supplier UNION SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation UNION SELECT 'N:' || n_nationkey, 'X:1' FROM nation WHERE n_nationkey < 3 UNION SELECT 'X:1', 'X:2'),
+n AS (SELECT c AS node FROM e UNION SELECT p FROM e), h AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT p FROM e) UNION SELECT e.p, level + 1 FROM h JOIN e ON e.c = h.node),
+l AS (SELECT node, max(level) AS level, node AS component, node = 'X:2' AS cyclic FROM h GROUP BY node), w AS (SELECT * FROM l UNION ALL SELECT 'X:3', level, 'X:2', true FROM l WHERE node = 'X:2')
+SELECT node, row_number() OVER (ORDER BY level, component, node) - 1 AS place, component, cyclic FROM w""",
 }

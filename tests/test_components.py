@@ -118,3 +118,18 @@ def test_cores_against_all_subsets(spark):
     df = spark.createDataFrame([(n, x) for n, facts in nodes.items() for x in facts] * 2 + [(None, "a"), (3, None)], "node long, fact string")
     got = {(r["rule"], r["node"], r["a"], r["b"], tuple(r["premises"]), r["irreducible"]) for r in provenance.cores(df, rules, denials).collect()}
     assert got == want and len(want) > 20
+
+
+def test_total_order(spark):
+    from graphloom.operators.components import total_order
+
+    rng = random.Random(9)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)]
+    rows = total_order(spark.createDataFrame(edges, "src long, dst long")).collect()
+    want, place = brute_components(edges), {r["node"]: r["place"] for r in rows}
+    assert sorted(place.values()) == list(range(len(want)))
+    assert {r["node"]: (r["component"], r["cyclic"]) for r in rows} == {n: (c, cyclic) for n, (c, _, cyclic) in want.items()}
+    assert all(place[b] < place[a] for a, b in edges if want[a][0] != want[b][0])
+    for r in rows:  # a component stands together
+        own = [place[n] for n in want if want[n][0] == r["component"]]
+        assert max(own) - min(own) == len(own) - 1
