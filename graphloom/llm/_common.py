@@ -18,9 +18,19 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
+#: Bytes of documents up to which their rows are dealt out over all cores.
+SPREAD_BYTES = 24 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables.
+
+    Few documents may lie in one row group and so in one task, though each is much work; they are dealt out.
+    Larger tables are read as they lie, without a shuffle.
+    """
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small = name == "documents" and int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
+    return found.repartition(spark.sparkContext.defaultParallelism) if small else found
 
 
 def bounded_batches(spark: SparkSession) -> None:
