@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.resolve import kind_pairs
 from graphloom.sources.tables import table
 
 TOLERANCE, DEADBAND, NEAR, FAR = 1e-4, 0.05, 0.25, 0.65
@@ -44,11 +45,16 @@ def pairs(b: DataFrame) -> DataFrame:
     return one("a").join(one("b"), "scene").where("a_id < b_id")
 
 
-def q_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(boxes(spark, sf_dir))
+def related(p: DataFrame) -> DataFrame:
+    """p (corners of two boxes, a_x1 to b_y2) with their relation and direction."""
     c = lambda t: [F.col(f"{t}_{k}") for k in ("x1", "y1", "x2", "y2")]
     mid = lambda t: ((F.col(f"{t}_x1") + F.col(f"{t}_x2")) / 2, (F.col(f"{t}_y1") + F.col(f"{t}_y2")) / 2)
-    return p.select("a_id", "b_id", rcc8(c("a"), c("b")).alias("relation"), direction(*mid("a"), *mid("b")).alias("direction"))
+    return p.withColumns({"relation": rcc8(c("a"), c("b")), "direction": direction(*mid("a"), *mid("b"))})
+
+
+def q_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a scene in pairs; boxes with the same corners are related to others alike, so each two corners are compared once."""
+    return kind_pairs(boxes(spark, sf_dir), ["scene"], ["x1", "y1", "x2", "y2"], related)
 
 
 QUERIES = {"rcc8_directions": q_relations}
