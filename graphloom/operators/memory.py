@@ -7,14 +7,16 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.parsers import _code_edges
 from graphloom.operators import retrieval
 from graphloom.operators.kb import literal_index
-from graphloom.sources.tables import slots, table, triples
+from graphloom.sources.tables import quaternary, slots, table, triples
 
 
 def allowed(edges: DataFrame, relations: list[str] | None) -> DataFrame:
@@ -243,14 +245,40 @@ def q_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph(p.select("name", code.alias("code"))).groupBy("rel", F.regexp_replace("dst", "^m[0-9]+", "m").alias("dst")).agg(F.count("*").alias("n"))
 
 
+def distance_counts(rows: DataFrame, queries: DataFrame, prefixes: tuple[int, ...]) -> DataFrame:
+    """slots, d, n: how many pairs of a row (id, v: slot values) and another query (query_id, v) differ in d of their first slots.
+
+    Tasks count batches of rows against blocks of queries by matrix products; only counts leave them.
+    """
+    out = None
+    for ids, matrix in retrieval.query_blocks(queries, 4096):
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            total = {p: np.zeros(p + 1, np.int64) for p in prefixes}
+            for keys, v in retrieval.pieces(batches):
+                other = keys[:, None] != ids[None, :]
+                same, start = np.zeros(other.shape, np.float32), 0
+                for p in sorted(prefixes):
+                    same += retrieval.same_values(v[:, start:p], matrix[:, start:p])
+                    start = p
+                    total[p] += np.bincount((p - same[other]).astype(np.int64), minlength=p + 1)
+            for p, n in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(p + 1, p, np.int32)), pa.array(np.arange(p + 1, dtype=np.int32)), pa.array(n)], ["slots", "d", "n"])
+
+        part = rows.select("id", "v").mapInArrow(run, "slots int, d int, n long")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], "slots int, d int, n long")
+    return out.groupBy("slots", "d").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def q_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many vectors lie within each of six distances of a query (every 50th vector), over its first 16, 32 and 64 slots."""
-    s = slots(spark, sf_dir)
-    pairs = s.join(retrieval.small(s.where("id % 50 = 0").select(F.col("id").alias("query_id"), "slot", F.col("v").alias("u"))), "slot").where("id <> query_id")
-    d = pairs.groupBy("query_id", "id").agg(*[F.sum(((F.col("slot") < n) & (F.col("v") != F.col("u"))).cast("int")).alias(f"d{n}") for n in (16, 32, 64)])
-    rows = d.select("query_id", F.explode(F.array(*[F.struct(F.lit(n).alias("slots"), F.col(f"d{n}").alias("d")) for n in (16, 32, 64)])).alias("x")).select("query_id", "x.*")
-    near = rows.select("slots", F.explode(F.array(*[F.lit(x / 20) for x in (9, 10, 11, 12, 13, 14)])).alias("share"), "d").where(F.col("d") <= F.col("share") * F.col("slots"))
-    return near.groupBy("slots", "share").agg(F.count("*").alias("pairs"))
+    values = F.transform("embedding", lambda x: quaternary(x.cast("double")))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), values.alias("v"))
+    rows = distance_counts(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), (16, 32, 64))
+    near = rows.select("slots", F.explode(F.array(*[F.lit(x / 20) for x in (9, 10, 11, 12, 13, 14)])).alias("share"), "d", "n").where(F.col("d") <= F.col("share") * F.col("slots"))
+    return near.groupBy("slots", "share").agg(F.sum("n").alias("pairs"))
 
 
 QUERIES = {

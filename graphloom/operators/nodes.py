@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.quaternary import BAND, _next_pairs, band, entropy, fidelity, pairwise_information
-from graphloom.operators.retrieval import small
+from graphloom.operators.retrieval import best_queries
 from graphloom.sources.tables import slots, table
 
 
@@ -78,15 +79,19 @@ COST = ((0.0, 0.5, 0.5, 0.25), (0.5, 0.0, 1.0, 0.25), (0.5, 1.0, 0.0, 0.25), (0.
 def decoded(asked: DataFrame, concepts: DataFrame, accept: float = 0.15) -> DataFrame:
     """id, concept, distance: the concept (concept, slot, v) that costs least, averaged over the slots, if it costs at most `accept`; ties by concept.
 
-    asked: id, slot, v.  Both tables are grouped into arrays; concepts are a dictionary; it is broadcast if it is small.
+    asked: id, slot, v; both tables have the same slots.  They are grouped into arrays; tasks cost a batch of rows against a
+    block of concepts with one matrix product.
     """
-    dense = lambda df, key: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("w"))
-    a, c = dense(asked, "id"), dense(concepts, "concept").withColumnRenamed("w", "u")
-    cost = F.array(*[F.lit(x) for row in COST for x in row])
-    each = F.zip_with("w", "u", lambda x, y: F.get(cost, x * 4 + y))
-    pair = a.join(small(c)).select("id", "concept", F.round(F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size("w"), 6).alias("distance"))
-    best = pair.groupBy("id").agg(F.min(F.struct("distance", "concept")).alias("b"))
-    return best.select("id", F.when(F.col("b.distance") <= accept, F.col("b.concept")).alias("concept"), F.col("b.distance").alias("distance"))
+    dense = lambda df, key: df.groupBy(F.col(key).cast("long").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"].cast("int")).alias("v"))
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        coded = lambda m: np.concatenate([m == x for x in range(4)], axis=1).astype(np.float32)
+        costs = np.concatenate([np.array(COST, np.float32)[x][b] for x in range(4)], axis=1)
+        return -(coded(a) @ costs.T) / a.shape[1]
+
+    best = best_queries(dense(asked, "id"), dense(concepts, "concept").withColumnRenamed("concept", "query_id"), 1, near, key="id", itself=True)
+    distance = F.round(-F.col("score"), 6)
+    return best.select("id", F.when(distance <= accept, F.col("query_id")).alias("concept"), distance.alias("distance"))
 
 
 def projected(s: DataFrame, keep: int, named: dict[int, int]) -> DataFrame:

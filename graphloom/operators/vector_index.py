@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.retrieval import top_k
+from graphloom.operators.retrieval import ROWS_AT_ONCE, keep_best, top_k
 from graphloom.sources.scratch import scratch_dir
 from graphloom.sources.tables import table
 
@@ -137,26 +137,24 @@ def search(spark: SparkSession, index: VectorIndex, queries: DataFrame, *, thres
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix, of = shared.value
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys, cells = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                points = _matrix(batch.column(1), matrix.shape[1])
-                for cell in np.unique(cells):
-                    rows, who = np.flatnonzero(cells == cell), of[int(cell)]
-                    scores = np.round(points[rows] @ matrix[who].T, 6)
-                    r, q = np.nonzero(scores >= threshold)
-                    if k is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[who[q]]), pa.array(keys[rows[r]]), pa.array(scores[r, q])], ["query_id", index.key, "score"])
-                        continue
-                    for j in np.unique(q):
-                        s, held = best.get(int(who[j]), (np.zeros(0), np.zeros(0, np.int64)))
-                        s, held = np.concatenate([s, scores[r[q == j], j]]), np.concatenate([held, keys[rows[r[q == j]]]])
-                        order = np.lexsort((held, -s))[:k]
-                        best[int(who[j])] = s[order], held[order]
-            for j, (s, held) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[j])), pa.array(held), pa.array(s)], ["query_id", index.key, "score"])
+            best, held = np.full((k or 0, len(ids)), -np.inf), np.zeros((k or 0, len(ids)), np.int64)
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                    batch = whole.slice(at, ROWS_AT_ONCE)
+                    keys, cells = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                    points = _matrix(batch.column(1), matrix.shape[1])
+                    for cell in np.unique(cells):
+                        rows, who = np.flatnonzero(cells == cell), of[int(cell)]
+                        scores = np.round(points[rows] @ matrix[who].T, 6)
+                        if k is None:
+                            r, q = np.nonzero(scores >= threshold)
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[who[q]]), pa.array(keys[rows[r]]), pa.array(scores[r, q])], ["query_id", index.key, "score"])
+                            continue
+                        scores[scores < threshold] = -np.inf
+                        best[:, who], held[:, who] = keep_best(best[:, who], held[:, who], scores, keys[rows], k)
+            if k is not None:
+                r, q = np.nonzero(np.isfinite(best))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(held[r, q]), pa.array(best[r, q])], ["query_id", index.key, "score"])
 
         stored = spark.read.schema(f"{index.key} long, v array<double>, cell int").parquet(f"{index.path}/rows").where(F.col("cell").isin(list(of)))
         out = out.unionByName(stored.mapInArrow(run, schema))
