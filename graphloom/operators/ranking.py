@@ -49,8 +49,7 @@ def entity_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 def tiered(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score, exact: BM25 plus the bonuses, times a factor where there is any; documents that only entities find come too."""
-    base, hits = retrieval.bm25(docs, queries), entity_hits(docs, queries)
-    j = base.join(hits, ["query_id", "doc_id"], "full")
+    j = retrieval.bm25(docs, queries, hits=entity_hits(docs, queries))
     exact, number = F.coalesce("exact", F.lit(False)), "decimal(18,6)"  # decimals, so that halves are rounded alike everywhere
     s, b = (F.coalesce(c, F.lit(0.0)).cast(number) for c in ("score", "bonus"))
     factor = F.when(exact, FACTOR_ID).otherwise(FACTOR).cast("decimal(2,1)")
@@ -61,7 +60,7 @@ def scaled(scores: DataFrame) -> DataFrame:
     """scores scaled to [0, 1] in their query; 0 where all are equal.  Extremes are aggregated, not windowed."""
     ends = scores.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"))
     span = F.col("high") - F.col("low")
-    return scores.join(retrieval.small(ends), "query_id").withColumn("score", F.when(span > 0, F.round((F.col("score") - F.col("low")) / span, 6)).otherwise(0.0)).drop("low", "high")
+    return scores.join(F.broadcast(ends), "query_id").withColumn("score", F.when(span > 0, F.round((F.col("score") - F.col("low")) / span, 6)).otherwise(0.0)).drop("low", "high")
 
 
 def keep_units(units: DataFrame, *, threshold: float | None = None, most: int | None = None, budget: int | None = None) -> DataFrame:
@@ -75,6 +74,9 @@ def keep_units(units: DataFrame, *, threshold: float | None = None, most: int |
     columns = ["query_id", "doc_id", "score", "tokens", "exact"]
     if threshold is None and most is None and budget is None:
         return units.select(columns).orderBy("query_id", "doc_id")
+    if threshold is not None:  # what is left out here comes after all that can stay, so ranks don't change
+        best = units.groupBy("query_id").agg(F.max("score").alias("_best"))
+        units = units.join(F.broadcast(best), "query_id").where(F.col("exact") | (F.col("score") >= threshold) | F.col("score").eqNullSafe(F.col("_best"))).drop("_best")
     w = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("score"), "doc_id")
     ranked = units.withColumn("rank", F.row_number().over(w))
     if threshold is not None:
