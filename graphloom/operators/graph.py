@@ -245,22 +245,22 @@ def chains(links: DataFrame) -> DataFrame:
     """root, node, place: nodes along single successors (src, dst) from the nodes that follow none; places from 0, by doubling of steps.
 
     A node with several successors goes on to the least of them; nodes on a cycle have no root and don't appear.
+    Only nodes that haven't reached their root yet are looked at again and written, so rounds follow the logarithm of
+    the longest chain, and what they write the length of the chains that are left.
     """
     after = links.groupBy("src").agg(F.min("dst").alias("dst"))
-    back = cut(after.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("up")), "back")
-    ends = after.select(F.col("src").alias("node")).union(after.select("dst")).distinct()
-    start = ends.join(back, "node", "left").select("node", F.coalesce("up", "node").alias("at"), F.col("up").isNotNull().cast("long").alias("place"))
-
-    def double(now: DataFrame) -> DataFrame:
-        far = now.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("place").alias("more"))
-        return now.join(far, "at").select("node", F.col("next").alias("at"), (F.col("place") + F.col("more")).alias("place"))
-
-    n, rounds, now = ends.count(), 1, cut(start, "chain")
-    while (1 << rounds) <= 2 * n:
-        before, now, rounds = now, cut(double(now), "chain"), rounds + 1
-        drop(before)
-    roots = ends.join(back.select("node"), "node", "left_anti")
-    return now.join(roots.select(F.col("node").alias("at")), "at").select(F.col("at").alias("root"), "node", "place")
+    ends = after.select(F.col("dst").alias("node"), F.col("src").alias("up")).unionByName(after.select(F.col("src").alias("node"), F.lit(None).cast(after.schema["src"].dataType).alias("up")))
+    start = ends.where("node IS NOT NULL").groupBy("node").agg(F.min("up").alias("up"))
+    is_root = F.col("up").isNull()
+    state = start.select("node", F.coalesce("up", "node").alias("at"), (~is_root).cast("long").alias("place"), is_root.alias("done"))
+    new = cut(state, "chain")
+    n, rounds, done = new.count(), 0, new.where("done")
+    left = new.where(~F.col("done"))
+    while (1 << rounds) <= 2 * n and not left.isEmpty():
+        far = done.unionByName(left).select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("place").alias("more"), F.col("done").alias("arrived"))
+        new = cut(left.select("node", "at", "place").join(far, "at").select("node", F.col("next").alias("at"), (F.col("place") + F.col("more")).alias("place"), F.col("arrived").alias("done")), "chain")
+        done, left, rounds = done.unionByName(new.where("done")), new.where(~F.col("done")), rounds + 1
+    return done.select(F.col("at").alias("root"), "node", "place")
 
 
 def briefing(edges: DataFrame, by: str = "src") -> DataFrame:
