@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.parsers import formula_nodes, parse_formula, write_formula
 from graphloom.operators.discourse import CUES, target_entities
 from graphloom.operators.kb import closure
-from graphloom.sources.tables import table
+from graphloom.sources.tables import spread, table
 
 #: Suffixes that a word sheds to reach its entry, in this order, and the concepts of shapes that no dictionary has.
 SUFFIXES = ("s", "es", "ed", "ing")
@@ -210,7 +210,9 @@ def q_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions for the nation of every customer, answered from edges, and the edges said in words."""
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     edges = c.select(F.concat(F.lit("CU-"), "c_custkey").alias("src"), F.when(F.col("c_custkey") % 2 == 0, "LOCATION").otherwise("BORN_IN").alias("rel"), F.col("n_name").alias("dst"))
-    q = c.select(F.col("c_custkey").alias("id"), F.explode(question_pattern(F.format_string("Where is CU-%d now?", "c_custkey"))).alias("p")).select("id", "p.*")
+    asked = spread(c.select("c_custkey")).select(F.col("c_custkey").alias("id"), F.format_string("Where is CU-%d now?", "c_custkey").alias("text"))
+    # outer, as Spark adds a filter to a plain explode that makes the array once more
+    q = asked.select("id", F.explode_outer(question_pattern(F.col("text"))).alias("p")).where("p IS NOT NULL").select("id", "p.*")
     said = sentences_of(edges).select(F.substring("src", 4, 20).cast("long").alias("id"), "text")
     return said.join(answers(q, edges), "id", "left").select("id", "text", "answer")
 
