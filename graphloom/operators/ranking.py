@@ -47,9 +47,12 @@ def entity_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return single.unionByName(several).join(asked, "phrase").groupBy("query_id", "doc_id").agg(F.sum(bonus).alias("bonus"), F.bool_or(F.col("tier") == "id").alias("exact"))
 
 
-def tiered(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score, exact: BM25 plus the bonuses, times a factor where there is any; documents that only entities find come too."""
-    j = retrieval.bm25(docs, queries, hits=entity_hits(docs, queries))
+def tiered(docs: DataFrame, queries: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score, exact: BM25 plus the bonuses, times a factor where there is any; documents that only entities find come too.
+
+    among (doc_id): the documents that are scored, if not all.
+    """
+    j = retrieval.bm25(docs, queries, hits=entity_hits(docs, queries), among=among)
     exact, number = F.coalesce("exact", F.lit(False)), "decimal(18,6)"  # decimals, so that halves are rounded alike everywhere
     s, b = (F.coalesce(c, F.lit(0.0)).cast(number) for c in ("score", "bonus"))
     factor = F.when(exact, FACTOR_ID).otherwise(FACTOR).cast("decimal(2,1)")
@@ -96,38 +99,56 @@ def keep_units(units: DataFrame, *, threshold: float | None = None, most: int |
     return ranked.select(columns).orderBy("query_id", "doc_id")
 
 
-def fused(lexical: DataFrame, dense: DataFrame, *, k: int = 30, w_lexical: float = 0.2, w_dense: float = 0.8, bypass: float | None = None) -> DataFrame:
-    """query_id, doc_id, score, place: reciprocal ranks of both lists, 1 more for an exact identifier.
+def fused(lexical: DataFrame, dense: DataFrame, n: int, *, k: int = 30, w_lexical: float = 0.2, w_dense: float = 0.8, bypass: float | None = None) -> DataFrame:
+    """query_id, doc_id, score, place: the n best by reciprocal ranks of both lists, 1 more for an exact identifier.
 
     lexical: query_id, doc_id, score, exact; dense: query_id, doc_id, score.  With bypass, a query whose best
     dense score reaches it and that has no exact unit is ranked by the dense list alone, equal scores on equal places.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    a = lexical.select("query_id", "doc_id", "exact", F.row_number().over(order).alias("ra"))
-    b = dense.select("query_id", "doc_id", F.row_number().over(order).alias("rb"))
-    part = lambda w, r: F.coalesce(w / (k + F.col(r)), F.lit(0.0))
-    both = a.join(b, ["query_id", "doc_id"], "full").select("query_id", "doc_id", F.round(part(w_lexical, "ra") + part(w_dense, "rb") + F.coalesce("exact", F.lit(False)).cast("int"), 8).alias("score"))
-    out = both.withColumn("place", F.row_number().over(order))
+    both = retrieval.both_lists(lexical, dense)
+    best = lambda rows: retrieval.best_fused(rows, n, k=k, w_lexical=w_lexical, w_dense=w_dense)
     if bypass is None:
-        return out
-    hot = dense.groupBy("query_id").agg(F.max("score").alias("m")).where(F.col("m") >= bypass).select("query_id")
-    hot = hot.join(lexical.where("exact").select("query_id").distinct(), "query_id", "left_anti")
-    alone = dense.join(hot, "query_id", "left_semi").select("query_id", "doc_id", "score", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"))).alias("place"))
-    return out.join(hot, "query_id", "left_anti").unionByName(alone)
+        return best(both)
+    hot = both.groupBy("query_id").agg(F.max("dense").alias("m"), F.bool_or("exact").alias("e")).where((F.col("m") >= bypass) & ~F.col("e")).select("query_id")
+    place = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    alone = both.where("dense IS NOT NULL").join(hot, "query_id", "left_semi").select("query_id", "doc_id", F.col("dense").alias("score")).withColumn("place", place).where(F.col("place") <= n)
+    return best(both.join(hot, "query_id", "left_anti")).unionByName(alone)
+
+
+#: Ranges that a list's scores are counted in to find its middle.
+RANGES = 1000
 
 
 def cascade(scores: DataFrame, second: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """query_id, doc_id, score, stage: the better half of each query's list (six at least, two if there are no more) is scored again; what is rejected keeps a tenth of its score.
 
-    second: from candidates (query_id, doc_id) to query_id, doc_id, score.
+    scores: query_id, doc_id, score and what second needs, read several times; second: from candidates (columns of scores)
+    to query_id, doc_id, score.  No list is sorted: the last score that is chosen is found by counts of ranges of
+    scores, then of the scores of one range; only rows of that score are ranked, by doc_id.
     """
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    n = F.count("*").over(Window.partitionBy("query_id"))
-    ranked = scores.withColumn("rank", F.row_number().over(w)).withColumn("n", n)
-    ranked = ranked.withColumn("chosen", F.col("rank") <= F.greatest(F.lit(2), F.least(F.col("n"), F.greatest(F.floor(F.col("n") / 2), F.lit(6)))))
-    again = second(ranked.where("chosen").select("query_id", "doc_id"))
-    kept = again.select("query_id", "doc_id", "score", F.lit(2).alias("stage"))
-    return kept.unionByName(ranked.where(~F.col("chosen")).select("query_id", "doc_id", F.round(F.col("score") * 0.1, 6).alias("score"), F.lit(1).alias("stage")))
+    ends = scores.groupBy("query_id").agg(F.min("score").alias("_low"), F.max("score").alias("_high"), F.count("*").alias("_n"))
+    ends = ends.withColumn("_take", F.greatest(F.lit(2), F.least(F.col("_n"), F.greatest(F.floor(F.col("_n") / 2), F.lit(6)))))
+    span = F.col("_high") - F.col("_low")
+    at = F.when(span > 0, F.floor((F.col("score") - F.col("_low")) / span * RANGES)).otherwise(F.lit(0).cast("long"))
+
+    def reaching(counted: DataFrame, step: str) -> DataFrame:
+        """The step (from above) with which the counted rows (query_id, step, c, _take) reach what is taken; _take is what is taken of it."""
+        w = Window.partitionBy("query_id").orderBy(F.desc(step))
+        t = counted.withColumn("_sum", F.sum("c").over(w)).withColumn("_more", F.lead(F.lit(1)).over(w).isNull())
+        t = t.where((F.col("_sum") - F.col("c") < F.col("_take")) & ((F.col("_sum") >= F.col("_take")) | F.col("_more")))
+        return t.select("query_id", F.col(step).alias(f"_{step}"), (F.col("_take") - (F.col("_sum") - F.col("c"))).alias("_take"))
+
+    ranged = scores.join(retrieval.small(ends), "query_id").withColumn("range", at)
+    middle = reaching(ranged.groupBy("query_id", "range", "_take").agg(F.count("*").alias("c")), "range")
+    within = ranged.drop("_take").join(retrieval.small(middle), "query_id").where(F.col("range") == F.col("_range"))
+    bar = cut(reaching(within.groupBy("query_id", "score", "_take").agg(F.count("*").alias("c")), "score"), "bars")
+    ties = scores.join(retrieval.small(bar), "query_id").where(F.col("score") == F.col("_score")).select("query_id", "doc_id", "_score", "_take")
+    ties = ties.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("_r") <= F.col("_take"))
+    bar = cut(ties.groupBy("query_id", "_score").agg(F.max("doc_id").alias("_last")), "bars")
+    met = scores.join(retrieval.small(bar), "query_id")
+    chosen = (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("doc_id") <= F.col("_last")))
+    kept = second(met.where(chosen).select(*scores.columns)).select("query_id", "doc_id", "score", F.lit(2).alias("stage"))
+    return kept.unionByName(met.where(~chosen).select("query_id", "doc_id", F.round(F.col("score") * 0.1, 6).alias("score"), F.lit(1).alias("stage")))
 
 
 def route(coverage: Column, dense: Column, hot: float = 0.8, enough: float = 0.75) -> Column:
@@ -252,22 +273,25 @@ def q_keep_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     asked = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return retrieval.cosine_scores(v, asked).withColumnRenamed("vec_id", "doc_id").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi")
+    known = v.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return retrieval.cosine_scores(known, asked).withColumnRenamed("vec_id", "doc_id")
 
 
 def q_fused_exact(spark: SparkSession, sf_dir: str, bypass: float | None = None) -> DataFrame:
     """Lexical and dense ranks fused, for documents that have a vector; exact identifiers lead.  With a bypass only the queries of even id have identifiers."""
-    lexical = tiered(*_inputs(spark, sf_dir)).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    lexical = tiered(*_inputs(spark, sf_dir), among=table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")))
     if bypass is not None:
         lexical = lexical.withColumn("exact", F.col("exact") & (F.col("query_id") % 2 == 0))
-    return fused(lexical, _dense(spark, sf_dir), bypass=bypass).where("place <= 5")
+    return fused(lexical, _dense(spark, sf_dir), 5, bypass=bypass)
 
 
 def q_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 lists whose better half is scored again by the share of the document's length; counted by stage."""
     d, q = _inputs(spark, sf_dir)
-    length = d.select("doc_id", F.round(F.lit(1000.0) / (1000 + F.char_length("text")), 6).alias("score"))
-    return retrieval.top_k(cascade(scaled(tiered(d, q)).select("query_id", "doc_id", "score"), lambda c: c.join(length, "doc_id")), 12)
+    length = d.select("doc_id", F.round(F.lit(1000.0) / (1000 + F.char_length("text")), 6).alias("again"))
+    # scores lie by document, so the lengths join them there; what is written is read by all steps
+    rows = cut(tiered(d, q).join(length, "doc_id").select("query_id", "doc_id", "score", "again"), "scores")
+    return retrieval.top_k(cascade(scaled(rows), lambda c: c.select("query_id", "doc_id", F.col("again").alias("score"))), 12)
 
 
 def q_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
