@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import retrieval
-from graphloom.operators.discourse import target_entities
+from graphloom.operators.discourse import once, target_entities
 from graphloom.operators.text import WORDS_TO_TOKENS, token_estimate, tokens, word_count
 from graphloom.sources.scratch import cut
-from graphloom.sources.tables import table
+from graphloom.sources.tables import spread, table
 
 #: What a match adds by its tier, and what it multiplies the score by.
 BONUS = {"id": 8.0, "phrase": 6.0, "word": 4.0}
@@ -26,25 +26,33 @@ def tier(entity: Column) -> Column:
     return F.when(code, "id").when(F.contains(entity, F.lit(" ")), "phrase").when(F.char_length(entity) > 2, "word")
 
 
-def entity_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, bonus, exact: summed bonuses of the entities of a query that stand in a document, and whether an identifier does.
+def entity_marks(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark: entities that stand in a document; query_id, mark, bonus, exact: what they are worth to a query).
 
     Entities meet documents by their words (an index of the queries' words alone); entities of several words
     are looked for in the documents that have them all.
     """
     spoken = lambda c: F.array_join(tokens(c), " ")
-    asked = queries.select("query_id", F.explode(target_entities(F.col("text"))).alias("e")).select("query_id", spoken(F.col("e")).alias("phrase"), tier(F.col("e")).alias("tier"))
-    asked = asked.where("tier IS NOT NULL AND phrase <> ''").groupBy("query_id", "phrase").agg(F.min("tier").alias("tier"))
-    words = asked.select("phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term")).distinct()
-    of_phrase = words.groupBy("phrase").agg(F.count("*").alias("n"))
+    asked = queries.select("query_id", F.explode(target_entities(F.col("text"))).alias("e")).select("query_id", spoken(F.col("e")).alias("mark"), tier(F.col("e")).alias("tier"))
+    asked = cut(asked.where("tier IS NOT NULL AND mark <> ''").groupBy("query_id", "mark").agg(F.min("tier").alias("tier")), "entities")
+    words = asked.select("mark", F.explode(F.array_distinct(F.split("mark", " "))).alias("term")).distinct()
+    of_several = words.where(F.contains("mark", F.lit(" ")))
+    wanted = of_several.groupBy("mark").agg(F.count("*").alias("n"))
     # the queries' words bound what is exploded of a document
-    terms = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term")).join(retrieval.small(words.select("term").distinct()), "term", "left_semi")
-    have = terms.join(words, "term").groupBy("phrase", "doc_id").agg(F.count("*").alias("k")).join(of_phrase, "phrase").where("k = n")
-    single = have.where("n = 1").select("phrase", "doc_id")
-    texts = docs.select("doc_id", F.concat(F.lit(" "), spoken(F.coalesce("text", F.lit(""))), F.lit(" ")).alias("t"))
-    several = have.where("n > 1").select("phrase", "doc_id").join(texts, "doc_id").where(F.contains("t", F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("phrase", "doc_id")
+    terms = cut(spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term")).join(retrieval.small(words.select("term").distinct()), "term", "left_semi"), "words")
+    single = terms.join(retrieval.small(words.where("mark = term").select("term")), "term", "left_semi").select("doc_id", F.col("term").alias("mark"))
+    have = terms.join(retrieval.small(of_several), "term").groupBy("mark", "doc_id").agg(F.count("*").alias("k")).join(retrieval.small(wanted), "mark").where("k = n")
+    held = have.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")).join(docs.select("doc_id", "text"), "doc_id")
+    said = once(F.concat(F.lit(" "), spoken(F.coalesce("text", F.lit(""))), F.lit(" ")), lambda t: F.filter("marks", lambda m: F.contains(t, F.concat(F.lit(" "), m, F.lit(" ")))))
+    several = held.select("doc_id", F.explode_outer(said).alias("mark")).where("mark IS NOT NULL")
     bonus = F.element_at(F.create_map(*[F.lit(x) for pair in BONUS.items() for x in pair]), F.col("tier"))
-    return single.unionByName(several).join(asked, "phrase").groupBy("query_id", "doc_id").agg(F.sum(bonus).alias("bonus"), F.bool_or(F.col("tier") == "id").alias("exact"))
+    return single.unionByName(several), asked.select("query_id", "mark", bonus.alias("bonus"), (F.col("tier") == "id").alias("exact"))
+
+
+def entity_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, bonus, exact: summed bonuses of the entities of a query that stand in a document, and whether an identifier does."""
+    found, worth = entity_marks(docs, queries)
+    return found.join(worth, "mark").groupBy("query_id", "doc_id").agg(F.sum("bonus").alias("bonus"), F.bool_or("exact").alias("exact"))
 
 
 def tiered(docs: DataFrame, queries: DataFrame, among: DataFrame | None = None) -> DataFrame:
@@ -52,7 +60,7 @@ def tiered(docs: DataFrame, queries: DataFrame, among: DataFrame | None = None)
 
     among (doc_id): the documents that are scored, if not all.
     """
-    j = retrieval.bm25(docs, queries, hits=entity_hits(docs, queries), among=among)
+    j = retrieval.bm25(docs, queries, marks=entity_marks(docs, queries), among=among)
     exact, number = F.coalesce("exact", F.lit(False)), "decimal(18,6)"  # decimals, so that halves are rounded alike everywhere
     s, b = (F.coalesce(c, F.lit(0.0)).cast(number) for c in ("score", "bonus"))
     factor = F.when(exact, FACTOR_ID).otherwise(FACTOR).cast("decimal(2,1)")
