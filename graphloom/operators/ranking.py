@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -174,7 +178,99 @@ def concept_overlap(units: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 #: Codes up to which all subsets of a set are listed.
-SUBSET_CODES = 14
+SUBSET_CODES = 16
+#: Bits of the filter of asked subsets: about 16 for each, between these bounds (at most 64 MB); a fuller filter lets more rows through, never fewer.
+PART_BITS = (1 << 16, 1 << 29)
+#: Bits of the filter that one task makes, and subsets that a task holds before it gives them out.
+PIECE_BITS, PARTS_AT_ONCE = 1 << 20, 1 << 20
+
+
+def _mixed(codes: np.ndarray, seed: int) -> np.ndarray:
+    """Codes as 64-bit hashes (splitmix64)."""
+    x = codes.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _subsets(keys: np.ndarray, codes: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """key, a, b, n: the subsets of the sets of codes that are not empty, with their sizes; a and b, sums of hashes, are 128 bits that tell subsets apart."""
+    values, ends = codes.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(pc.list_value_length(codes)))
+    sizes = np.diff(ends, prepend=0)
+    for k in np.unique(sizes[sizes > 0]):
+        rows, step = np.nonzero(sizes == k)[0], max(1, PARTS_AT_ONCE >> int(k))
+        count = np.zeros(1, np.int32)
+        for _ in range(k):
+            count = np.concatenate([count, count + 1])
+        for at in range(0, len(rows), step):
+            piece = rows[at : at + step]
+            held, sums = values[(ends[piece] - k)[:, None] + np.arange(k)], []
+            for seed in (0x1234567, 0x7654321):
+                h, made = _mixed(held, seed), np.zeros((len(piece), 1), np.uint64)
+                for j in range(k):
+                    made = np.concatenate([made, made + h[:, j : j + 1]], axis=1)
+                sums.append(made[:, 1:].ravel())
+            yield np.repeat(keys[piece], len(count) - 1), sums[0], sums[1], np.tile(count[1:], len(piece))
+
+
+def _looked(asked: DataFrame) -> DataFrame:
+    """a, b, id, n: the subsets of asked sets (id, codes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, a, b, n in _subsets(batch.column(0).to_numpy(), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(key), pa.array(n)], ["a", "b", "id", "n"])
+
+    return asked.select("id", "codes").mapInArrow(run, "a long, b long, id long, n int")
+
+
+def _part_filter(looked: DataFrame) -> Broadcast:
+    """A bitmap of the asked subsets by their first key; its pieces are made in the tasks."""
+    size = min(max(PART_BITS[0], 1 << (16 * looked.count()).bit_length()), PART_BITS[1])
+    bit = F.col("a").bitwiseAND(size - 1)
+
+    def piece(table_: pa.Table) -> pa.Table:
+        bits = np.zeros(min(size, PIECE_BITS), bool)
+        bits[table_.column("bit").to_numpy() & (PIECE_BITS - 1)] = True
+        return pa.table({"place": table_.column("place").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    made = looked.select(bit.alias("bit"), F.shiftright(bit, PIECE_BITS.bit_length() - 1).alias("place")).groupBy("place").applyInArrow(piece, "place long, bits binary")
+    out = np.zeros(size // 8, np.uint8)
+    for row in made.toLocalIterator():
+        out[row.place * PIECE_BITS // 8 :][: len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return looked.sparkSession.sparkContext.broadcast(out)
+
+
+def _first_of_parts(units: DataFrame, filled: Broadcast, most: int) -> DataFrame:
+    """a, b, doc_id: subsets of units (doc_id, codes) that the filter may hold, of each the `most` first units of a stretch of rows or fewer left out."""
+
+    def firsts(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((key, b, a))
+        a, b, key = a[order], b[order], key[order]
+        kept = np.ones(len(a), bool)
+        kept[most:] = (a[most:] != a[:-most]) | (b[most:] != b[:-most])
+        return a[kept], b[kept], key[kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held, n = filled.value, [], 0
+        last = np.uint64(8 * len(bits) - 1)
+        out = lambda a, b, key: pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(key)], ["a", "b", "doc_id"])
+        for batch in batches:
+            for key, a, b, _ in _subsets(batch.column(0).to_numpy(), batch.column(1)):
+                bit = a & last
+                met = np.nonzero(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)[0]
+                held.append((a[met], b[met], key[met]))
+                n += len(met)
+                if n >= 2 * PARTS_AT_ONCE:
+                    now = firsts(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, n = [now], len(now[0])
+                    if n >= PARTS_AT_ONCE:
+                        yield out(*now)
+                        held, n = [], 0
+        if n:
+            yield out(*firsts(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return units.select("doc_id", "codes").mapInArrow(run, "a long, b long, doc_id long")
 
 
 def best_by_concepts(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -184,29 +280,29 @@ def best_by_concepts(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     the k + 1 best of a query has fewer than k + 1 before it, and all units that hold what it shares with the query and
     have smaller ids are before it; so it is among the first k + 1 units of that subset of the query's codes, and no more
     are kept of any subset.  Classes of more than SUBSET_CODES codes are few and meet the others code by code.
+
+    Subsets are many more than the sets that are read, which Spark's sizes of tables don't see; so joins of them are by
+    sorting, and only a filter of a bounded size is broadcast.
     """
     most = k + 1
     codes = F.array_sort(F.array_distinct(F.col("codes").cast("array<long>"))).alias("codes")
-    first = lambda df, of: df.withColumn("_r", F.row_number().over(Window.partitionBy(of).orderBy("doc_id"))).where(F.col("_r") <= most).drop("_r")
+    first = lambda df, *of: df.withColumn("_r", F.row_number().over(Window.partitionBy(*of).orderBy("doc_id"))).where(F.col("_r") <= most).drop("_r")
     # written, as the branches below read them several times
-    reps = cut(first(units.select("doc_id", codes).where(F.size("codes") > 0), "codes"), "units")
+    reps = cut(first(units.select(F.col("doc_id").cast("long"), codes).where(F.size("codes") > 0), "codes"), "units")
     wanted = cut(queries.select("query_id", codes).where(F.size("codes") > 0), "asked")
-    asked = wanted.select("codes").distinct()
+    asked = cut(wanted.select("codes").distinct().withColumn("id", F.monotonically_increasing_id()), "classes")
     few = F.size("codes") <= SUBSET_CODES
-    empty = F.array().cast("array<array<bigint>>")
-    subsets = F.aggregate("codes", F.array(F.array().cast("array<bigint>")), lambda acc, c: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, c))))
-    subsets = F.explode(F.when(few, subsets).otherwise(empty)).alias("part")
-    looked = asked.where(few).select("codes", subsets).where(F.size("part") > 0)
-    held = reps.where(few).select("doc_id", subsets).where(F.size("part") > 0).join(retrieval.small(looked.select("part").distinct()), "part", "left_semi")
-    found = looked.join(first(held, "part"), "part").groupBy("codes", "doc_id").agg(F.max(F.size("part")).alias("n"))
+    looked = _looked(asked.where(few))
+    held = first(_first_of_parts(reps.where(few), _part_filter(looked), most), "a", "b")
+    found = looked.hint("merge").join(held, ["a", "b"]).groupBy("id", "doc_id").agg(F.max("n").alias("n"))
 
     def plain(u: DataFrame, q: DataFrame) -> DataFrame:
-        return u.select("doc_id", F.explode("codes").alias("code")).join(q.select("codes", F.explode("codes").alias("code")), "code").groupBy("codes", "doc_id").agg(F.count("*").cast("int").alias("n"))
+        return u.select("doc_id", F.explode("codes").alias("code")).join(q.select("id", F.explode("codes").alias("code")).hint("merge"), "code").groupBy("id", "doc_id").agg(F.count("*").cast("int").alias("n"))
 
     found = found.unionByName(plain(reps.where(~few), asked)).unionByName(plain(reps.where(few), asked.where(~few)))
-    place = F.row_number().over(Window.partitionBy("codes").orderBy(F.desc("n"), "doc_id"))
-    best = found.withColumn("_r", place).where(F.col("_r") <= most)
-    scores = wanted.join(best, "codes").where("query_id <> doc_id").select("query_id", "doc_id", F.round(F.col("n") / F.size("codes"), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "doc_id"))
+    best = found.withColumn("_r", place).where(F.col("_r") <= most).join(asked.hint("merge"), "id")
+    scores = best.join(wanted.hint("merge"), "codes").where("query_id <> doc_id").select("query_id", "doc_id", F.round(F.col("n") / F.size("codes"), 6).alias("score"))
     return retrieval.top_k(scores, k)
 
 
