@@ -78,6 +78,102 @@ def scaled(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(ends), "query_id").withColumn("score", F.when(span > 0, F.round((F.col("score") - F.col("low")) / span, 6)).otherwise(0.0)).drop("low", "high")
 
 
+#: Numbers of a matrix that a task holds while it scores pairs.
+CELLS_AT_ONCE = 4_000_000
+
+
+def tiered_scaled(docs: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """query_id, doc_id, score, exact: `tiered`, scaled as by `scaled`, of the units that are exact, reach the threshold (of 0 to 1) or are the best of their query; some others come too.
+
+    All pairs are scored, once, in matrix products where a document's postings lie.  Scores are 0 or more, so what is below
+    the threshold times the best score that a task has met can't reach it; a task gives out the rest, and the ends of its scores.
+    """
+    terms, postings, stats = retrieval.postings_of(docs, queries)
+    found, worth = entity_marks(docs, queries)
+    total, average = stats.first()
+    tf = postings.where(F.col("term") != retrieval._LENGTH)
+    asked = terms.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").where("query_id IS NOT NULL").select("query_id", "term", "qtf", "df").toArrow()
+    given = worth.where("query_id IS NOT NULL").select("query_id", "mark", "bonus", "exact").toArrow()
+    queries_, (of_term, of_mark) = _numbered(asked.column("query_id"), given.column("query_id"))
+    words, (word,) = _numbered(asked.column("term"))
+    marks, (mark,) = _numbered(given.column("mark"))
+    df = asked.column("df").to_numpy()
+    weight = np.log((float(total) - df + 0.5) / (df + 0.5) + 1) * asked.column("qtf").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast((queries_.to_numpy(), len(words), len(marks), (word, of_term, weight), (mark, of_mark, given.column("bonus").to_numpy(), given.column("exact").to_numpy(zero_copy_only=False))))
+    names = docs.sparkSession.createDataFrame(pa.table({"term": words.cast(pa.string()), "at": pa.array(np.arange(len(words)))}))
+    names_of_marks = docs.sparkSession.createDataFrame(pa.table({"mark": marks.cast(pa.string()), "at": pa.array(np.arange(len(marks)) + len(words))}))
+    norm = F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("len") / (average if average > 0 else 1.0))
+    rows = tf.join(retrieval.small(names), "term").select("doc_id", "at", (F.col("tf") * (retrieval.K1 + 1) / norm).alias("w"))
+    rows = rows.unionByName(found.join(retrieval.small(names_of_marks), "mark").select("doc_id", "at", F.lit(1.0).alias("w"))).where("doc_id IS NOT NULL")
+    bar = min(1.0, max(0.0, threshold - 1e-6))  # scaled scores are rounded
+
+    def dense(entries: tuple[np.ndarray, np.ndarray, np.ndarray], rows_: int, first: int, last: int) -> np.ndarray:
+        met = (entries[1] >= first) & (entries[1] < last)
+        return np.bincount(entries[0][met] * (last - first) + entries[1][met] - first, entries[2][met], rows_ * (last - first)).reshape(rows_, last - first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, n_words, n_marks, by_term, by_mark = shared.value
+        wide = max(1, n_words + n_marks)
+        width = min(max(1, len(ids)), max(1, CELLS_AT_ONCE // wide))
+        many = max(1, CELLS_AT_ONCE // max(wide, width))
+        low, high = np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), -1)
+        made = {}
+
+        def weights(first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            if first not in made:
+                made.clear()  # one block is held
+                made[first] = dense(by_term, n_words, first, last), dense(by_mark[:3], n_marks, first, last), dense((*by_mark[:2], by_mark[3].astype(float)), n_marks, first, last)
+            return made[first]
+
+        def scored(key: np.ndarray, at: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+            own, place = np.unique(key, return_inverse=True)
+            cuts = np.searchsorted(place, np.arange(0, len(own) + many, many))
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                held = own[k * many : (k + 1) * many]
+                x = np.bincount((place[a:b] - k * many) * wide + at[a:b], w[a:b], len(held) * wide).reshape(len(held), wide)
+                for first in range(0, len(ids), width):
+                    last = min(len(ids), first + width)
+                    of_words, bonus, exact = weights(first, last)
+                    raw, more, sure = x[:, :n_words] @ of_words, x[:, n_words:] @ bonus, x[:, n_words:] @ exact > 0
+                    t, extra = np.rint(raw * 1e6).astype(np.int64), np.rint(more * 1e6).astype(np.int64)
+                    tenths = np.where(sure, round(FACTOR_ID * 10), round(FACTOR * 10))
+                    t = np.where(extra > 0, ((t + extra) * tenths * 2 + 10) // 20, t)  # halves are rounded up
+                    there = (raw > 0) | (extra > 0)
+                    low[first:last] = np.minimum(low[first:last], np.where(there, t, np.iinfo(np.int64).max).min(axis=0))
+                    high[first:last] = np.maximum(high[first:last], np.where(there, t, -1).max(axis=0))
+                    r, q = np.nonzero(there & (sure | (t >= bar * high[first:last])))
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[first + q]), pa.array(held[r]), pa.array(t[r, q] / 1e6), pa.array(sure[r, q]), pa.nulls(len(r), pa.float64()), pa.nulls(len(r), pa.float64())], columns)
+
+        columns, rest = ["query_id", "doc_id", "score", "exact", "low", "high"], [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:  # sorted by document; the last one may go on in the next batch
+            rest = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(rest)]
+            done = np.searchsorted(rest[0], rest[0][-1]) if len(rest[0]) else 0
+            if done:
+                yield from scored(*(x[:done] for x in rest))
+                rest = [x[done:] for x in rest]
+        if len(rest[0]):
+            yield from scored(*rest)
+        met = np.nonzero(high >= 0)[0]
+        nothing = lambda kind: pa.nulls(len(met), kind)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[met]), nothing(pa.int64()), nothing(pa.float64()), nothing(pa.bool_()), pa.array(low[met] / 1e6), pa.array(high[met] / 1e6)], columns)
+
+    pairs = float(total) * len(queries_)
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, 1 + int(pairs) // (5 * retrieval.PAIRS_AT_ONCE))
+    dealt = rows.select(F.col("doc_id").cast("long"), F.col("at").cast("long"), "w").repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    out = cut(dealt.mapInArrow(run, "query_id long, doc_id long, score double, exact boolean, low double, high double"), "scores")
+    ends = out.where("doc_id IS NULL").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    span = F.col("high") - F.col("low")
+    scores = out.where("doc_id IS NOT NULL").select("query_id", "doc_id", "score", "exact").join(F.broadcast(ends), "query_id")
+    return scores.select("query_id", "doc_id", F.when(span > 0, F.round((F.col("score") - F.col("low")) / span, 6)).otherwise(0.0).alias("score"), "exact")
+
+
+def _numbered(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """The different values of all columns, and the places of each column's values among them."""
+    every = pa.chunked_array([c for x in columns for c in x.chunks], columns[0].type).unique()
+    return every, [np.asarray(pc.index_in(x, every)).astype(np.int64) for x in columns]
+
+
 def keep_units(units: DataFrame, *, threshold: float | None = None, most: int | None = None, budget: int | None = None) -> DataFrame:
     """The kept units of each query in document order: query_id, doc_id, score, tokens, exact.
 
@@ -99,15 +195,19 @@ def keep_units(units: DataFrame, *, threshold: float | None = None, most: int |
     if most is not None:
         ranked = ranked.where(F.col("exact") | (F.col("rank") <= most))
     if budget is not None:
-        row = F.struct("rank", "doc_id", "score", "tokens", "exact")
-        start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<rank: int, doc_id: long, score: double, tokens: long, exact: boolean>>").alias("kept"))
-
-        def step(acc: Column, x: Column) -> Column:
-            fits = (F.size(acc["kept"]) == 0) | (acc["used"] + x["tokens"] <= F.when(x["exact"], max(budget, ID_BUDGET)).otherwise(budget))
-            return F.struct((acc["used"] + F.when(fits, x["tokens"]).otherwise(0)).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
-
-        folded = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("u"))
-        ranked = folded.select("query_id", F.explode(F.aggregate("u", start, step)["kept"]).alias("x")).select("query_id", *[F.col(f"x.{c}").alias(c) for c in columns[1:]])
+        most_of = F.when(F.col("exact"), max(budget, ID_BUDGET)).otherwise(budget).cast("long")
+        # what is beyond the whole budget never fits
+        rows = ranked.select(*columns, "rank", most_of.alias("_most")).where((F.col("rank") == 1) | (F.col("tokens") <= F.col("_most")))
+
+        def fold(group: pa.Table) -> pa.Table:
+            group, used, kept = group.sort_by("rank"), 0, []
+            for k, (cost, limit) in enumerate(zip(group.column("tokens").to_pylist(), group.column("_most").to_pylist(), strict=True)):
+                if not kept or used + cost <= limit:
+                    used = float("inf") if cost is None else used + cost  # nothing fits after a unit of unknown cost
+                    kept.append(k)
+            return group.select(columns).take(kept)
+
+        ranked = rows.groupBy("query_id").applyInArrow(fold, units.select(columns).schema)
     return ranked.select(columns).orderBy("query_id", "doc_id")
 
 
@@ -365,13 +465,12 @@ def q_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(tiered(*_inputs(spark, sf_dir)), 10)
 
 
-def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, q = _inputs(spark, sf_dir)
-    return scaled(tiered(d, q)).join(d.select("doc_id", token_estimate(F.col("text")).alias("tokens")), "doc_id")
-
-
 def q_keep_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_units(_units(spark, sf_dir), threshold=0.5, most=6, budget=1000)
+    """Documents of every item that its keep policy leaves, at least half of the best score or with its code."""
+    d, q = _inputs(spark, sf_dir)
+    # written, as the policy reads them twice
+    units = cut(tiered_scaled(d, q, 0.5).join(spread(d).select("doc_id", token_estimate(F.col("text")).alias("tokens")), "doc_id"), "units")
+    return keep_units(units, threshold=0.5, most=6, budget=1000)
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
